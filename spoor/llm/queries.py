@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spoor.llm import simhash
-from spoor.llm.common import documents
+from spoor.llm import packing, simhash, token_counts, token_files
+from spoor.llm.common import documents, scratch
+from spoor.llm.encoder import vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,8 +17,21 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a cache of its own, so that every call does the whole work."""
+    return token_counts.token_counts(documents(spark, sf_dir), vocabulary(), scratch(spark, "token-cache"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(documents(spark, sf_dir), scratch(spark, "token-files"), vocabulary(), end_id=2)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), vocabulary(), end_id=0)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash,)}
+    return {f.__name__: f for f in (op1_simhash, op3_token_counts, op5_token_files, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
