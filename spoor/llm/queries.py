@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spoor.llm import decontamination, packing, simhash, token_counts, token_files
+from spoor.llm import decontamination, packing, quality, simhash, token_counts, token_files
 from spoor.llm.common import documents, scratch
 from spoor.llm.encoder import vocabulary
 
@@ -22,6 +22,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), vocabulary(), scratch(spark, "token-cache"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(documents(spark, sf_dir))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(documents(spark, sf_dir), scratch(spark, "token-files"), vocabulary(), end_id=2)
 
@@ -35,8 +39,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op3_token_counts, op5_token_files, op9_decontamination, op10_packing)}
+    return {f.__name__: f for f in (op1_simhash, op3_token_counts, op4_quality, op5_token_files, op9_decontamination, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_quality": quality.SQL, "op9_decontamination": decontamination.SQL}
