@@ -43,22 +43,24 @@ class IdEncoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = re.compile(splitter(pattern)).findall
         self.limit = memo
+        space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.opens[[i for w, i in self.tokenizer.get_vocab().items() if w.startswith(space)]] = True
         self.memo: dict[str, bytes] = {}
 
     def _library(self, texts: Sequence[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
     def _learn(self, missing: list[str]) -> None:
-        """Encode new pre-tokens. Those that open with a space stay apart when joined, so one call takes them all."""
+        """Encode new pre-tokens. Those that open with a space stay apart when joined: an id that opens with a space opens one."""
         apart = [w for w in missing if w[0] == " " and len(w) > 1 and w[1:].isalpha()]
         if len(apart) > 64:
-            e = self.tokenizer.encode("".join(apart), add_special_tokens=False)
-            words = np.array(e.word_ids, np.int64)
-            ends = np.flatnonzero(np.diff(words, append=-1)) + 1
-            if len(ends) == len(apart):
-                ids = np.array(e.ids, "<u4").tobytes()
-                cuts = [0, *(4 * ends).tolist()]
-                self.memo.update(zip(apart, (ids[a:b] for a, b in zip(cuts, cuts[1:]))))
+            joined = ["".join(apart[i : i + 512]) for i in range(0, len(apart), 512)]
+            ids = np.array([i for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], "<u4")
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) == len(apart):
+                raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+                self.memo.update(zip(apart, map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
                 known = set(apart)
                 missing = [w for w in missing if w not in known]
         if missing:
@@ -66,24 +68,35 @@ class IdEncoder:
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        whole, parts = [], []
+        if len(self.memo) > self.limit:
+            self.memo.clear()
+        get = self.memo.get
+        whole: list[int] = []
+        parts: list[tuple[int, list[str], list, list[int]]] = []
         for i, t in enumerate(texts):
             raw = t.encode("utf-8", "surrogatepass")
             if len(raw.translate(None, _BEYOND)) != len(raw) or any(a in t for a in self.added):
                 whole.append(i)
-            elif t:
-                parts.append((i, self.split(t)))
+                continue
+            words = self.split(t)
+            got = list(map(get, words))
+            holes, at = [], -1
+            for _ in range(got.count(None)):
+                at = got.index(None, at + 1)
+                holes.append(at)
+            if holes:
+                parts.append((i, words, got, holes))
+            else:
+                out[i] = b"".join(got)
         if whole:
             for i, ids in zip(whole, self._library([texts[i] for i in whole])):
                 out[i] = ids
-        if len(self.memo) > self.limit:
-            self.memo.clear()
-        missing = set().union(*(p for _, p in parts)).difference(self.memo) if parts else ()
-        if missing:
-            self._learn(list(missing))
-        get = self.memo.__getitem__
-        for i, p in parts:
-            out[i] = b"".join(map(get, p))
+        if parts:
+            self._learn(list({words[h] for _, words, _, holes in parts for h in holes}))
+        for i, words, got, holes in parts:
+            for h in holes:
+                got[h] = get(words[h])
+            out[i] = b"".join(got)
         return out
 
 
