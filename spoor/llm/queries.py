@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spoor.llm import decontamination, langid, packing, quality, simhash, token_counts, token_files, toxicity
+from spoor.llm import decontamination, langid, packing, pii, quality, simhash, token_counts, token_files, toxicity
 from spoor.llm.common import documents, scratch
 from spoor.llm.encoder import vocabulary
 
@@ -17,6 +17,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a cache of its own, so that every call does the whole work."""
     return token_counts.token_counts(documents(spark, sf_dir), vocabulary(), scratch(spark, "token-cache"))
@@ -47,7 +51,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op3_token_counts, op4_quality, op5_token_files, op6_langid, op8_toxicity, op9_decontamination, op10_packing)}
+    return {f.__name__: f for f in (op1_simhash, op2_pii, op3_token_counts, op4_quality, op5_token_files, op6_langid, op8_toxicity, op9_decontamination, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
