@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spoor.llm import decontamination, langid, packing, pii, quality, simhash, token_counts, token_files, toxicity
+from spoor.llm import decontamination, langid, lm, packing, pii, quality, simhash, token_counts, token_files, toxicity
 from spoor.llm.common import documents, scratch
 from spoor.llm.encoder import vocabulary
 
@@ -38,6 +38,10 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(documents(spark, sf_dir))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.report(documents(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -51,7 +55,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_pii, op3_token_counts, op4_quality, op5_token_files, op6_langid, op8_toxicity, op9_decontamination, op10_packing)}
+    return {f.__name__: f for f in (op1_simhash, op2_pii, op3_token_counts, op4_quality, op5_token_files, op6_langid, op7_lm, op8_toxicity, op9_decontamination, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
