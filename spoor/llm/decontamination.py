@@ -232,19 +232,28 @@ def _spans(text: bytes, words: list[tuple[int, int]]) -> list[dict]:
     return [{"start": len(text[:a].decode()), "end": len(text[:b].decode())} for a, b in at]
 
 
+def _blocks(benchmark: DataFrame, block_words: int) -> tuple[DataFrame, int]:
+    """The items as (name, text), and the number of blocks of bounded size to take them in."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return items, max(1, -(-total // (6 * block_words)))
+
+
+def _phrases(items: DataFrame, blocks: int, k: int, window: int) -> Phrases:
+    block = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == k).collect()  # a block of bounded size
+    return Phrases([(r.name, r.text.encode()) for r in block], window)
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, n_words, n_hit, spans, items): hit words, removal spans in code points, and the items found."""
     spark = docs.sparkSession
     common.reachable(spark)
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // (6 * block_words)))
+    items, blocks = _blocks(benchmark, block_words)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, n_hit long, words array<struct<start:long,end:long>>, spans array<struct<start:long,end:long>>, items array<string>"
 
     def passed(k: int, source: DataFrame, schema: str) -> DataFrame:
-        block = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == k).collect()  # a block of bounded size
-        sent = spark.sparkContext.broadcast(Phrases([(r.name, r.text.encode()) for r in block], window))
+        sent = spark.sparkContext.broadcast(_phrases(items, blocks, k, window))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             phrases = sent.value
@@ -320,6 +329,51 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs without the rows that hold a window of the benchmark; whole rows pass through each block's index."""
+    spark = docs.sparkSession
+    common.reachable(spark)
+    items, blocks = _blocks(benchmark, block_words)
+    at = docs.columns.index("text")
+
+    def passed(source: DataFrame, k: int) -> DataFrame:
+        sent = spark.sparkContext.broadcast(_phrases(items, blocks, k, window))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, shard = [], _Shard(sent.value)
+
+            def clean() -> Iterator[pa.RecordBatch]:
+                hit = np.zeros(len(shard.counts), bool)
+                hit[shard.hits()[0]] = True
+                done = 0
+                for b in held:
+                    yield b.filter(pa.array(~hit[done : done + b.num_rows]))
+                    done += b.num_rows
+
+            for b in batches:
+                raw = common.as_bytes(b.column(at))
+                start = 0
+                while start < len(raw):
+                    end, size = start, 0
+                    while end < len(raw) and size < 2 << 20:
+                        size += len(raw[end])
+                        end += 1
+                    shard.add(raw[start:end])
+                    held.append(b.slice(start, end - start))
+                    start = end
+                    if shard.size >= SHARD_BYTES:
+                        yield from clean()
+                        held, shard = [], _Shard(sent.value)
+            yield from clean()
+
+        return source.mapInArrow(run, source.schema)
+
+    for k in range(blocks):
+        docs = passed(docs, k)
+    return docs
+
+
 SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from spoor.llm import decontamination, langid, lm, packing, pii, quality, simhash, token_counts, token_files, toxicity
@@ -55,7 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_pii, op3_token_counts, op4_quality, op5_token_files, op6_langid, op7_lm, op8_toxicity, op9_decontamination, op10_packing)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_simhash, op2_pii, op3_token_counts, op4_quality, op5_token_files, op6_langid, op7_lm, op8_toxicity, op9_decontamination, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

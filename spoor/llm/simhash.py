@@ -43,16 +43,16 @@ def fingerprint(text: bytes, width: int = WIDTH, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, h, fp): fp is the fingerprint as a signed long, h a hash of the text as it stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, width) for t in common.as_bytes(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t, width) for t in common.as_bytes(b.column(2))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], ["doc_id", "h", "fp"])
 
     common.reachable(docs.sparkSession)
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, fp long")
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, h long, fp long")
 
 
 def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
@@ -64,7 +64,8 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
     if distance != 2:
         raise ValueError("the ball is built for two bits: one on either side")
     masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in range(64)])
-    ball = distinct.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ball = distinct.repartition(parts, "fp").select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
     met = ball.select("fp", F.min("fp").over(Window.partitionBy("variant")).alias("least"))
     near = met.where((F.col("fp") != F.col("least")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= distance))
     return near.select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
@@ -92,21 +93,35 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             common.remove(spark, path)
 
 
+def _rooted(rows: DataFrame) -> DataFrame:
+    """(fp, first_id, root) for each distinct fingerprint of rows; root is one fingerprint of its component."""
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    stars = components(links(distinct.select("fp")))
+    out = distinct.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left")
+    return out.select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """(doc_id, fingerprint as 16 hex digits, component_id): the groups that links of two bits or fewer connect."""
     rows = common.cut(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    stars = components(links(distinct.select("fp")))
-    rooted = distinct.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left")
-    rooted = rooted.select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(rows)
     heads = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(heads, "root").select("fp", "component_id")
     return rows.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs with one row of each near-duplicate group: that of the component's least doc_id."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    out = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
-    ids = docs.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    return out if ids.n == ids.d else out.dropDuplicates(["doc_id"])
+    """docs with one row of each near-duplicate group: that of the least doc_id, null ids last.
+
+    A kept row is known by its id and its text's hash, so rows without an id, or with a shared one, are told
+    apart; only where a row repeats in both is a further deduplication needed.
+    """
+    rows = common.cut(fingerprints(docs), "fingerprints")
+    roots = _rooted(rows).select("fp", "root")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")
+    own = rows.groupBy("fp").agg(F.min(place).alias("row"))
+    kept = common.cut(own.join(roots, "fp").groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("k_id"), F.col("row.h").alias("k_h")), "kept")
+    h = F.xxhash64("text")
+    out = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("k_id")) & (h == F.col("k_h")), "left_semi").select(docs.columns)
+    repeated = rows.join(kept, rows["doc_id"].eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h")), "left_semi").groupBy("doc_id", "h").count().where("count > 1")
+    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])
