@@ -81,12 +81,37 @@ class Model:
         return best, p[np.arange(len(p)), best]
 
 
+class Sparse:
+    """Rows of n-gram counts as (buckets, counts); only slices of rows are ever dense."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, which: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(which), BUCKETS), np.float32)
+        for row, k in zip(out, which):
+            at, n = self.rows[k]
+            row[at] = n
+        return out
+
+
+def _slices(rows: np.ndarray, size: int = 64) -> Iterator[np.ndarray]:
+    for at in range(0, len(rows), size):
+        yield rows[at : at + size]
+
+
 def thinned(counts: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
     """Rows as texts of about so many n-grams would have them."""
-    return rng.poisson(averaged(counts) * size).astype(np.float32)
+    out = np.zeros_like(counts)
+    there = counts > 0
+    out[there] = rng.poisson(averaged(counts)[there] * size)
+    return out
 
 
-def train(counts: np.ndarray, y: np.ndarray, langs: list[str], seed: int = 0) -> Model:
+def train(counts: Sparse, y: np.ndarray, langs: list[str], seed: int = 0) -> Model:
     """Fit on rows of n-gram counts; every fifth row, after shuffling, is held back for calibration."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(counts))
@@ -100,7 +125,8 @@ def train(counts: np.ndarray, y: np.ndarray, langs: list[str], seed: int = 0) ->
         rows = rng.permutation(rows)
         for at in range(0, len(rows), BATCH):
             some = rows[at : at + BATCH]
-            for x in (averaged(counts[some]), averaged(thinned(counts[some], 48, rng))):
+            dense = counts[some]
+            for x in (averaged(dense), averaged(thinned(dense, 48, rng))):
                 hidden = x @ e
                 d = _softmax(hidden @ w + b)
                 d[np.arange(len(some)), y[some]] -= 1
@@ -113,10 +139,10 @@ def train(counts: np.ndarray, y: np.ndarray, langs: list[str], seed: int = 0) ->
     model = Model(langs, (e @ w).astype(np.float32), b, np.ones(len(SIZES)))
     target, grid = y[back], np.geomspace(0.1, 8, 40)
     for i, size in enumerate(SIZES):
-        z = averaged(thinned(counts[back], size, rng)) @ model.table + b
+        z = np.concatenate([averaged(thinned(counts[some], size, rng)) @ model.table + b for some in _slices(back)])
         loss = [-np.log(np.maximum(_softmax(z / g)[np.arange(len(target)), target], 1e-12)).mean() for g in grid]
         model.temperatures[i] = grid[int(np.argmin(loss))]
-    best, p = model.predict(counts[back])
+    best, p = (np.concatenate(c) for c in zip(*(model.predict(counts[some]) for some in _slices(back))))
     for accept in (1 / k, *np.linspace(max(1 / k, 0.3), 0.9, 13)):
         on = p >= accept
         if on.any() and (best[on] == target[on]).mean() >= PRECISION:
@@ -128,14 +154,14 @@ def train(counts: np.ndarray, y: np.ndarray, langs: list[str], seed: int = 0) ->
 def fit(docs: DataFrame, labelled: DataFrame | None = None) -> Model | None:
     """Train on a bounded sample of docs' rows with a language; labelled, if given, are the rows to learn from."""
     common.reachable(docs.sparkSession)
-    rows = (docs if labelled is None else labelled).where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
+    known = (docs if labelled is None else labelled).where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
     if not counts:
         return None
     share = F.lit(0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, PER_LANG / n) * (1 << 20)))).otherwise(share)
-    taken = rows.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("langid")), F.lit(1 << 20)) < share)
+    taken = known.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("langid")), F.lit(1 << 20)) < share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,10 +174,8 @@ def fit(docs: DataFrame, labelled: DataFrame | None = None) -> Model | None:
     if not sample:
         return None
     langs = sorted({r.lang for r in sample})
-    x = np.zeros((len(sample), BUCKETS), np.float32)
-    for row, r in zip(x, sample):
-        row[np.frombuffer(r.at, "<u2")] = np.frombuffer(r.n, "<f4")
-    return train(x, np.array([langs.index(r.lang) for r in sample]), langs)
+    rows = Sparse([(np.frombuffer(r.at, "<u2"), np.frombuffer(r.n, "<f4")) for r in sample])
+    return train(rows, np.array([langs.index(r.lang) for r in sample]), langs)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
