@@ -28,7 +28,7 @@ from spoor.llm import common
 
 BUCKETS, WIDTH = 1 << 14, 16
 PER_LANG, MOST_LANGS = 1000, 256
-EPOCHS, BATCH, RATE = 8, 32, 4.0
+EPOCHS, BATCH, RATE, LEAST_STEPS = 8, 32, 4.0, 500
 PRECISION = 0.99
 #: Numbers of n-grams at which confidence is calibrated; short texts are simulated by thinning held-back rows.
 SIZES = (8, 32, 128, 512, 4096)
@@ -120,8 +120,9 @@ def train(counts: Sparse, y: np.ndarray, langs: list[str], seed: int = 0) -> Mod
     k = len(langs)
     e = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     w, b = rng.normal(0, 0.1, (WIDTH, k)).astype(np.float32), np.zeros(k, np.float32)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(rows)))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         rows = rng.permutation(rows)
         for at in range(0, len(rows), BATCH):
             some = rows[at : at + BATCH]
@@ -131,11 +132,12 @@ def train(counts: Sparse, y: np.ndarray, langs: list[str], seed: int = 0) -> Mod
                 d = _softmax(hidden @ w + b)
                 d[np.arange(len(some)), y[some]] -= 1
                 d *= rate / len(some)
-                behind = d @ w.T
+                # averages are small, so embeddings take longer steps, bounded where a few n-grams hold all weight
+                behind = (d @ w.T) * np.minimum(10, 0.1 / np.maximum((x * x).sum(axis=1, keepdims=True), 1e-9))
                 w -= hidden.T @ d
                 b -= d.sum(axis=0)
                 used = np.flatnonzero(x.any(axis=0))
-                e[used] -= x[:, used].T @ behind * 10  # averages are small; embeddings take longer steps
+                e[used] -= x[:, used].T @ behind
     model = Model(langs, (e @ w).astype(np.float32), b, np.ones(len(SIZES)))
     target, grid = y[back], np.geomspace(0.1, 8, 40)
     for i, size in enumerate(SIZES):

@@ -118,8 +118,13 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that no rule rejects."""
-    return judge(docs, text_col).where("kept").select("row.*")
+    """The rows of docs that no rule rejects.
+
+    The random column holds the filter above the measures: pushed below them, it would repeat the measures'
+    expressions inside one another, and split a text once for each of its windows.
+    """
+    held = judge(docs, text_col).withColumn("hold", F.rand())
+    return held.where(F.col("kept") & (F.col("hold") >= 0)).select("row.*")
 
 
 SQL = r"""

@@ -121,7 +121,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")
     own = rows.groupBy("fp").agg(F.min(place).alias("row"))
     kept = common.cut(own.join(roots, "fp").groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("k_id"), F.col("row.h").alias("k_h")), "kept")
-    h = F.xxhash64("text")
-    out = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("k_id")) & (h == F.col("k_h")), "left_semi").select(docs.columns)
-    repeated = rows.join(kept, rows["doc_id"].eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h")), "left_semi").groupBy("doc_id", "h").count().where("count > 1")
+    left = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id"), F.xxhash64("text").alias("h"))
+    on = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h"))
+    out = left.join(kept.hint("shuffle_hash"), on, "left_semi").select("row.*")
+    repeated = rows.join(kept, on, "left_semi").groupBy("doc_id", "h").count().where("count > 1")
     return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])

@@ -4,8 +4,8 @@ A count belongs to (digest of the text, digest of the tokenizer file). Rows are
 by digest, one row of each digest that isn't stored is encoded, and the new counts are appended. The content
 is normalised no further than null to the empty text: anything more would change the counts.
 
-Defined cases: null and empty texts have no tokens; copies are encoded once; rows that share an id are
-separate rows; an empty table gives an empty one and appends nothing.
+Defined cases: null and empty texts have no tokens; copies are encoded once, save rows that repeat in id and
+text, whose counts are stored once all the same; rows that share an id are separate rows; an empty table gives an empty one and appends nothing.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ def token_counts(docs: DataFrame, vocab: str, cache: str, limit: int = LIMIT) ->
     left = docs.select("doc_id", "text", digest.alias("digest")).alias("l")
     right = misses.alias("r").hint("shuffle_hash")  # a row of 40 bytes for each miss, against whole texts
     todo = left.join(right, (F.col("l.digest") == F.col("r.digest")) & F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")), "left_semi")
-    fresh = todo.select("l.digest", "l.text").mapInArrow(run, "digest binary, n_tokens long")
+    fresh = todo.select("l.digest", "l.text").mapInArrow(run, "digest binary, n_tokens long").dropDuplicates(["digest"])
     fresh.withColumn("version", F.lit(tag)).write.mode("append").parquet(cache)
     out = keyed.join(_stored(spark, cache, tag), "digest", "left")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
