@@ -81,7 +81,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A stand-in as a DataFrame, over the driver's files."""
     sql = TABLES[name]
     source = sql.split(" FROM ")[-1].split()[0]
-    return spark.sql(sql.replace(f" FROM {source}", " FROM {source}").replace('{"', '{{"').replace('"}', '"}}').replace("true}", "true}}"), source=spark.read.parquet(f"{sf_dir}/{source}.parquet"))
+    escaped = sql.replace("{", "{{").replace("}", "}}").replace(f" FROM {source}", " FROM {source}")
+    return spark.sql(escaped, source=spark.read.parquet(f"{sf_dir}/{source}.parquet"))
 
 
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

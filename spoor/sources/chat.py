@@ -31,6 +31,7 @@ FILE_TYPES = {
     "text": ("txt",),
     "document": ("pdf", "doc", "docx", "xls", "xlsx", "odt"),
 }
+TASKS = {"audio": "transcribe", "video": "extract_audio", "image": "visual_analysis", "document": "extract_document"}
 LRM = "\u200e"
 
 
@@ -127,6 +128,14 @@ def file_type(name: text.ColumnOrName) -> Column:
     return out.otherwise("other")
 
 
+def downstream_task(kind: text.ColumnOrName) -> Column:
+    """The task a file of a type calls for; null for none."""
+    out = F
+    for name, task in TASKS.items():
+        out = out.when(text.col(kind) == name, task)
+    return out.otherwise(None)
+
+
 def census(spark: SparkSession, path: str) -> DataFrame:
     """(path, file_id, sha256, size_bytes, file_type) of all files under path."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

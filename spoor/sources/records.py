@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -80,18 +81,29 @@ def prune(value: Any) -> Any:
     return value
 
 
-def merge_by_id(old: Any, new: Any) -> Any:
-    """Deep merge: maps by key, lists of maps with an id by that id, anything else is replaced."""
+def merge(old: Any, new: Any) -> Any:
+    """Deep merge: maps by key, lists joined, where an item whose id is there already is left out; else new wins."""
     if isinstance(old, dict) and isinstance(new, dict):
-        return old | {k: merge_by_id(old[k], v) if k in old else v for k, v in new.items()}
-    if isinstance(old, list) and isinstance(new, list) and all(isinstance(x, dict) and "id" in x for x in old + new):
-        at = {x["id"]: x for x in old}
-        for x in new:
-            at[x["id"]] = merge_by_id(at[x["id"]], x) if x["id"] in at else x
-        return list(at.values())
+        return old | {k: merge(old[k], v) if k in old else v for k, v in new.items()}
+    if isinstance(old, list) and isinstance(new, list):
+        known = {x["id"] for x in old if isinstance(x, dict) and "id" in x}
+        return old + [x for x in new if not (isinstance(x, dict) and x.get("id") in known)]
     return new
 
 
+def last_json(text: str) -> dict | None:
+    """The last fenced JSON object of a text, else what stands between its outermost braces."""
+    fenced = re.findall(r"```(?:json)?\s*(\{[\s\S]*?\})\s*```", text)
+    for candidate in [*fenced[-1:], text[text.find("{") : text.rfind("}") + 1]]:
+        try:
+            found = json.loads(candidate)
+        except ValueError:
+            continue
+        if isinstance(found, dict):
+            return found
+    return None
+
+
 def dump_sorted(value: Any) -> str:
     """JSON with sorted keys, non-ASCII kept: the form that dossiers are hashed in."""
     return json.dumps(value, sort_keys=True, ensure_ascii=False)

@@ -204,7 +204,8 @@ def test_batch_lines(spark):
 
 
 def test_merge_and_prune():
-    assert records.merge_by_id({"a": [{"id": 1, "x": 1}]}, {"a": [{"id": 1, "y": 2}, {"id": 2}]}) == {"a": [{"id": 1, "x": 1, "y": 2}, {"id": 2}]}
+    assert records.merge({"a": [{"id": 1, "x": 1}], "b": {"c": 1}}, {"a": [{"id": 1, "y": 2}, {"id": 2}], "b": {"c": 2}}) == {"a": [{"id": 1, "x": 1}, {"id": 2}], "b": {"c": 2}}
+    assert records.last_json('x ```json {"a": 1} ``` y ```{"b": 2}```') == {"b": 2} and records.last_json("so {\"c\": 3} ok") == {"c": 3} and records.last_json("{no}") is None
     assert records.prune({"a": None, "b": {"c": ""}, "d": [None, 1]}) == {"d": [1]}
     assert records.dump_sorted({"b": "ç", "a": 1}) == '{"a": 1, "b": "ç"}'
 
@@ -219,3 +220,28 @@ def test_streams_match_batches(spark, tmp_path):
         live.drain(live.append_once(live.payment_context(e, p), f"{tmp_path}/out", ["primary_event_ref", "related_event_ref"], f"{tmp_path}/ck"))
     got = spark.read.parquet(f"{tmp_path}/out").collect()
     assert [(r.related_event_ref, r.time_gap_seconds, r.confidence) for r in got] == [("c_1", -900, 1.0)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from spoor import cli
+
+    (tmp_path / "_chat.txt").write_text(CHAT.split("\n", 1)[1])
+    args = ["ingest", "--vault", f"file://{tmp_path}/v", "--corpus", "o", "--chat", f"file://{tmp_path}/_chat.txt"]
+    for want in ('{"inserted": 8, "skipped": 0}', '{"inserted": 0, "skipped": 8}'):
+        assert cli.main(args) == 0
+        assert capsys.readouterr().out.strip().endswith(want)
+
+
+def test_markdown():
+    from spoor.operators import reports
+
+    got = reports.to_html("# Título\n\num **dois** <b>\ntrês\n- a\n- b\n\n---")
+    assert got == "<h3>Título</h3>\n<p>um <strong>dois</strong> &lt;b&gt; três</p>\n<ul><li>a</li><li>b</li></ul>\n<hr>"
+
+
+def test_payment_contract(spark):
+    from spoor.operators import contracts
+
+    rows = [('{"doc_type": "PIX", "valor_centavos": "R$ 3.500,00", "confidence": 2, "descricao": " "}',), ('{"doc_type": "x", "valor_centavos": 350000, "moeda": "USD"}',), ("nada",)]
+    got = [r.p for r in spark.createDataFrame(rows, "j string").select(contracts.payment("j").alias("p")).collect()]
+    assert [(p.doc_type, p.valor_centavos, p.moeda, p.descricao, p.confidence) for p in got] == [("pix", 350000, "BRL", None, 1.0), ("outro", 350000, "USD", None, 0.0), ("outro", None, "BRL", None, 0.0)]
