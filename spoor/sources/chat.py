@@ -6,6 +6,7 @@ partitioned by file and ordered by line, which keeps a message whole wherever Sp
 
 from __future__ import annotations
 
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -46,11 +47,24 @@ def encoding_of(path: str, probe: int = 65536) -> str:
     return "utf-8"
 
 
+def _copied(spark: SparkSession, path: str, name: str) -> str:
+    """A copy of a file under a name that Spark reads, in the folder that all executors share if there is one."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    base = spark.conf.get("spark.checkpoint.dir", None) or path.rsplit("/", 1)[0]
+    src, dst = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{base}/.spoor-{uuid.uuid4().hex}/{name}")
+    jvm.org.apache.hadoop.fs.FileUtil.copy(src.getFileSystem(conf), src, dst.getFileSystem(conf), dst, False, conf)
+    return dst.toString()
+
+
 def read_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
     """(file, line, value): lines numbered from one within each file, in the file's order.
 
     A file is one row of its bytes and is cut into lines on the executors; a chat is far below a row's 2 GB.
+    Spark passes over names that open with an underscore, which chats have; such a file is read from a copy.
     """
+    name = path.rsplit("/", 1)[-1]
+    if name.startswith(("_", ".")):
+        return read_lines(spark, _copied(spark, path, name.lstrip("_.")), encoding).withColumn("file", F.lit(path))
     whole = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", encoding).alias("t"))
     lines = F.split(F.regexp_replace("t", "\n$", ""), "\n")
     return whole.select("file", F.posexplode(lines).alias("n", "value")).select("file", (F.col("n") + 1).alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
