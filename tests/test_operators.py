@@ -245,3 +245,23 @@ def test_payment_contract(spark):
     rows = [('{"doc_type": "PIX", "valor_centavos": "R$ 3.500,00", "confidence": 2, "descricao": " "}',), ('{"doc_type": "x", "valor_centavos": 350000, "moeda": "USD"}',), ("nada",)]
     got = [r.p for r in spark.createDataFrame(rows, "j string").select(contracts.payment("j").alias("p")).collect()]
     assert [(p.doc_type, p.valor_centavos, p.moeda, p.descricao, p.confidence) for p in got] == [("pix", 350000, "BRL", None, 1.0), ("outro", 350000, "USD", None, 0.0), ("outro", None, "BRL", None, 0.0)]
+
+
+def test_ground_truth(spark):
+    import json
+
+    import pytest
+
+    from spoor.sources import truth
+
+    whole = {
+        "obra_real": {"nome": "n", "contratada": "c"},
+        "canal": {"id": "1", "tipo": "t", "parte_A": {"nome": "a", "papel": "p"}, "parte_B": {"nome": "b", "papel": "p"}},
+        "contratos": [{"id": "C1", "escopo": "e", "valor_total": 10}],
+        "pagamentos_confirmados": [{"valor": 3, "data": "2026-04-06"}],
+    }
+    t = truth.tables(spark, truth.loads(json.dumps(whole)))
+    assert [t[k].count() for k in ("contracts", "paid", "pending")] == [1, 1, 0] and t["contracts"].first().valor_total == 10.0
+    del whole["canal"]["parte_B"]["papel"], whole["contratos"][0]["id"]
+    with pytest.raises(ValueError, match=r"canal.parte_B.papel, contratos\[0\].id"):
+        truth.validated(whole)
