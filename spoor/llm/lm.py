@@ -1,17 +1,21 @@
 """Language-model scores: prediction by partial matching over bytes, beside a smoothed unigram base.
 
 One pass over the training rows gathers word counts and counts of five-byte grams; every further statistic is
-derived from those. The model is a trie of byte contexts up to four bytes. A context that was chosen keeps all
-its symbols; the probability of a symbol is that of its count under escape method C, falling back to shorter
-contexts with the symbols already offered excluded. As the counts are fixed, this is computed once for each
-(context, symbol), and scoring a text is a few table lookups a byte.
+derived from those. The model is all byte contexts up to four bytes that occur in the training rows; the
+probability of a symbol is that of its count under escape method C, falling back to shorter contexts with the
+symbols already offered excluded. As the counts are fixed, this is computed once for each (context, symbol).
+
+The most frequent contexts of four bytes go to the tasks in a table of bounded size, where scoring is a few lookups
+a byte. A text's other grams are counted and joined to their probabilities (``probabilities``), which are computed
+with joins over the counts for the distinct grams wanted. Both ways give the same figures, so the table's size
+changes the time only.
 
 The base needs each word's count. The ``FREQUENT`` most frequent words go to the tasks in a table of bounded
 size; only the others are joined, by word, so no hot key is ever shuffled with its occurrences.
 
-Bounds: of four-byte contexts the ``CONTEXTS`` most frequent, of three- and of two-byte ones half as many and
-the suffixes of the longer ones (rarer contexts back off to shorter ones), so the tables take at most
-(5 * CONTEXTS + 257) * 256 floats. All training rows are counted, and all texts scored whole.
+Bounds: the table has the ``CONTEXTS`` most frequent contexts of four bytes, half as many of three and of two, and
+the suffixes of the longer ones, at most (5 * CONTEXTS + 257) * 256 floats. A context outside it is less frequent
+than those in it, so no hot gram is joined. All training rows are counted and used, and all texts scored whole.
 
 Defined cases: a null or empty text has the end alone; without training rows every word is unknown and bytes
 are uniform; a text's end is scored as byte zero; repeated rows are scored each; ties in frequency go to the
@@ -28,7 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoor.llm import common
@@ -98,7 +102,11 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Trie:
-    """The chosen contexts of four, three and two bytes, and a row of log10 probabilities for each context."""
+    """The chosen contexts of four, three and two bytes, and a row of log10 probabilities for each context.
+
+    Rows of four-byte contexts are final. The others hold only where no longer context was seen, which the trie
+    can't tell, as it has some contexts only.
+    """
 
     chosen: list[np.ndarray]
     table: np.ndarray  # rows: four bytes, three, two, the 256 of one byte, the empty one
@@ -117,16 +125,22 @@ class Trie:
         longest[last[four & 0xFFFFFF], four >> 24] = np.arange(a)
         return last, longest
 
-    def score(self, text: bytes, index: tuple[np.ndarray, np.ndarray]) -> float:
-        """log10 of the text's probability, its end included."""
+    def score(self, text: bytes, index: tuple[np.ndarray, np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
+        """log10 of the probability of the symbols, the text's end included, that follow a chosen context of four
+        bytes; and the grams of the other symbols, with their counts."""
         last, longest = index
-        total = 0.0
+        total, others = 0.0, []
         for at in range(0, len(text) + 1, PIECE):
             code = _codes(text[max(0, at - ORDER) : at + PIECE])
             code = code[min(ORDER, at) :] if at + PIECE >= len(text) + 1 else code[min(ORDER, at) : -1]
             row = longest[last[code >> 8 & 0xFFFFFF], code >> 32]
-            total += float(self.table[row, code & 255].sum(dtype=np.float64))
-        return total
+            known = row < len(self.chosen[0])
+            total += float(self.table[row[known], code[known] & 255].sum(dtype=np.float64))
+            others.append(np.unique(code[~known], return_counts=True))
+        if len(others) == 1:
+            return total, *others[0]
+        grams, inverse = np.unique(np.concatenate([g for g, _ in others]), return_inverse=True)
+        return total, grams, np.bincount(inverse, np.concatenate([n for _, n in others]), len(grams)).astype(np.int64)
 
 
 def _under_exclusion(chain: list[np.ndarray]) -> np.ndarray:
@@ -168,9 +182,10 @@ def build(levels: list[tuple[np.ndarray, np.ndarray]]) -> Trie:
     return Trie(places[:3], np.concatenate(parts))
 
 
-def fit(counted: DataFrame, contexts: int = CONTEXTS) -> Trie:
+def fit(counted: DataFrame, contexts: int | None = None) -> Trie:
     """The trie over the most frequent contexts; what comes to the driver is bounded by their number."""
     spark = counted.sparkSession
+    contexts = CONTEXTS if contexts is None else contexts
     grams = counted.where("gram is not null").select("gram", "c")
     levels: list[tuple[np.ndarray, np.ndarray]] = []
     longer = np.zeros(0, np.int64)
@@ -186,6 +201,47 @@ def fit(counted: DataFrame, contexts: int = CONTEXTS) -> Trie:
     return build(levels)
 
 
+def probabilities(counted: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(gram, p): log10 of the last byte's probability after the four before it, for the distinct grams wanted.
+
+    What longer contexts offered is what the next longer one did, as their symbols are among its own. So a context's
+    share under exclusion follows from its count and kinds, less the sum of its counts and the number of the symbols
+    that the longer one has.
+    """
+    seen = counted.where("gram is not null").select("gram", "c")
+    levels = []
+    for size in range(ORDER, -1, -1):
+        low = F.col("gram").bitwiseAND((1 << 8 * size) - 1)
+        shorter = F.sum("c").over(Window.partitionBy(low)) if size else F.lit(0)  # at most 256 rows each
+        contexts = seen.select(F.shiftright("gram", 8).alias("context"), "c", shorter.alias("s")).groupBy("context").agg(F.sum("c").alias("n"), F.count("*").alias("kinds"), F.sum("s").alias("under"))
+        levels.append((size, seen, contexts))
+        if size:
+            seen = seen.groupBy(low.alias("gram")).agg(F.sum("c").alias("c"))
+    zero = F.lit(0).cast("long")
+    out = wanted.select("gram", F.lit(None).cast("double").alias("p"), F.lit(0.0).alias("escape"), zero.alias("gone_n"), zero.alias("gone_kinds"))
+    done = None
+    for size, grams, contexts in levels:
+        if size <= 1:
+            grams, contexts = F.broadcast(grams), F.broadcast(contexts)  # at most 65,536 and 256 rows
+        low = F.col("gram").bitwiseAND((1 << 8 * (size + 1)) - 1)
+        here = out.withColumns({"g": low, "context": F.shiftright(low, 8)}).join(contexts, "context", "left").join(grams.select(F.col("gram").alias("g"), "c"), "g", "left")
+        n, kinds = (F.coalesce(F.col(x), zero) - F.col(f"gone_{x}") for x in ("n", "kinds"))
+        here = here.withColumns({"left_n": n, "left_kinds": kinds})
+        whole = F.col("left_n") + F.col("left_kinds")
+        out = here.select(
+            "gram",
+            F.coalesce("p", F.when(F.col("c").isNotNull(), F.col("escape") + F.log10(F.col("c") / whole))).alias("p"),
+            (F.col("escape") + F.when(F.col("left_n") > 0, F.log10(F.col("left_kinds") / whole)).otherwise(0.0)).alias("escape"),
+            F.coalesce("under", zero).alias("gone_n"),
+            F.coalesce("kinds", zero).alias("gone_kinds"),
+        )
+        if size == ORDER:  # most grams end here
+            done = common.cut(out, "lm-grams")
+            out = done.where("p is null")
+    rest = out.select("gram", F.coalesce("p", F.col("escape") - F.log10(F.greatest(256 - F.col("gone_kinds"), F.lit(1)))).alias("p"))
+    return done.where("p is not null").select("gram", "p").unionAll(rest)
+
+
 def _parts(b: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about so many bytes each, so that memory follows texts and not row counts."""
     rows = max(1, b.num_rows * size // max(1, b.nbytes))
@@ -210,10 +266,12 @@ def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
         get, index = lp.get, None
         row = TaskContext.get().partitionId() << 36
         kind = [pa.field("word", pa.binary()), pa.field("tf", pa.int64())]
+        gram_kind = [pa.field("gram", pa.int64()), pa.field("tf", pa.int64())]
         for b in (part for whole_batch in batches for part in _parts(whole_batch)):
             index = trie.index() if index is None else index
             n_tokens, n_known, base, score = [], [], [], []
             words, tfs, ends = [], [], [0]
+            others, times, stops = [], [], [0]
             for t in common.as_bytes(b.column(1)):
                 low = t.lower()
                 ws = [*low.split(), END]
@@ -227,22 +285,31 @@ def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
                 n_tokens.append(len(ws))
                 n_known.append(len(ws) - holes)
                 base.append(sum(v for v in got if v is not None) if holes else sum(got))
-                score.append(trie.score(low, index))
+                total, g, n = trie.score(low, index)
+                score.append(total)
+                others.append(g)
+                times.append(n)
+                stops.append(stops[-1] + len(g))
             rows = pa.array(range(row, row + len(score)), pa.int64())
             row += len(score)
             rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(tfs, pa.int64())], fields=kind))
-            arrays = [b.column(0), rows, pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), rare]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "n_tokens", "n_known", "base", "score", "rare"])
+            unlisted = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.StructArray.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (others, times)], fields=gram_kind))
+            arrays = [b.column(0), rows, pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), rare, unlisted]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "n_tokens", "n_known", "base", "score", "rare", "grams"])
 
     picked = docs.select("doc_id", "text")
-    schema = f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, row long, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,tf:bigint>>"
+    schema = f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, row long, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,tf:bigint>>, grams array<struct<gram:bigint,tf:bigint>>"
     with common.batches_of(spark, ROWS):
         first = common.cut(picked.mapInArrow(run, schema), "lm-scores")
     rare = first.select("row", F.inline("rare"))
     c = F.coalesce("c", F.lit(0))
-    counts = rare.join(words, "word", "left").groupBy("row").agg(F.sum(F.col("tf") * F.log10((c + 1) / F.lit(float(whole)))).alias("more"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("k"))
-    joined = first.drop("rare").join(counts, "row", "left")
-    return joined.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(totals.n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+    grams = first.select("row", F.inline("grams"))
+    p = probabilities(counted, grams.select("gram").distinct())
+    of_words = rare.join(words, "word", "left").select("row", (F.col("tf") * F.log10((c + 1) / F.lit(float(whole)))).alias("more"), F.when(c > 0, F.col("tf")).otherwise(0).alias("k"), F.lit(0.0).alias("s"))
+    of_grams = grams.join(p, "gram").select("row", F.lit(0.0).alias("more"), F.lit(0).cast("long").alias("k"), (F.col("tf") * F.col("p")).alias("s"))
+    counts = of_words.unionAll(of_grams).groupBy("row").agg(F.sum("more").alias("more"), F.sum("k").alias("k"), F.sum("s").alias("s"))
+    joined = first.drop("rare", "grams").join(counts, "row", "left")
+    return joined.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(totals.n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -404,6 +404,22 @@ def test_lm(spark, monkeypatch):
     assert lm.report(rows.limit(0)).count() == 0
 
 
+def test_lm_uses_every_context(spark, monkeypatch):
+    """With a table of almost no contexts the scores are those of all of them."""
+    rnd = random.Random(4)
+    made = [(i, " ".join(rnd.choices(["alpha", "alphabet", "beta", "Gamma", "é", "ção", "x"], k=rnd.randint(0, 12)))) for i in range(40)] + [(None, None), (70, "nunca visto alphas")]
+    rows = spark.createDataFrame(made, "doc_id long, text string")
+    scored = brute_lm(made)
+    for contexts, piece in ((2, 1 << 20), (8, 16)):
+        monkeypatch.setattr(lm, "CONTEXTS", contexts)
+        monkeypatch.setattr(lm, "PIECE", piece)
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in lm.report(rows).collect())
+        want = sorted((-1 if i is None else i, scored(t)[4]) for i, t in made)
+        assert len(got) == len(want)
+        for a, b in zip(got, want):
+            assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-3
+
+
 def test_probabilities_sum_to_one():
     grams = np.array([(97 << 32 | 98 << 24 | 99 << 16 | 100 << 8 | s) for s in (97, 98)], np.int64)
     level = lambda k: (grams & ((1 << 8 * (k + 1)) - 1), np.array([3, 1]))
