@@ -134,6 +134,12 @@ def j9_renegotiation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edge(detectors.contract_renegotiation(table(spark, sf_dir, "happenings"), window=2 * 86400))
 
 
+@query("j9_renegotiation_month", oracle(_RENEGOTIATED.replace("{days}", "30"), "happenings"))
+def j9_renegotiation_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the operator's own window of thirty days."""
+    return _edge(detectors.contract_renegotiation(table(spark, sf_dir, "happenings")))
+
+
 @query(
     "k_mentions",
     oracle(contexts_sql() + " SELECT id, m AS cents, kind FROM kinds WHERE m > 0", "happenings"),

@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from spoor.operators import detectors, hub, joins, media, narratives, state, usage
 from spoor.sources import chat, records
 from spoor.streaming import live
@@ -54,6 +55,16 @@ def test_renegotiation(spark):
     assert got[0].rationale == "renegociação detectada: R$10.000,00 → R$7.000,00 (variação 30%); 2 stems HIGH, diff sweet-spot"
 
 
+def test_renegotiation_query_has_the_whole_window(spark, tmp_path):
+    """Two events 4.2 days apart, as in the reference's fixture."""
+    at = [dt.datetime(2026, 4, 4, 10), dt.datetime(2026, 4, 8, 15)]
+    rows = [(12, at[0], 100.0), (56, at[1], 70.0)]
+    made = spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, value double").selectExpr("event_id", "ts", "1L AS user_id", "'view' AS event_type", "value")
+    made.write.parquet(f"{tmp_path}/events.parquet")
+    got = __spark_entry__.queries()["j9_renegotiation_month"](spark, str(tmp_path)).collect()
+    assert [(r.primary_event_ref, r.related_event_ref, r.time_gap_seconds) for r in got] == [("c_12", "c_56", 363600)]
+
+
 def test_within_is_a_nested_loop(spark):
     rnd = random.Random(3)
     at = lambda: PAID + dt.timedelta(microseconds=rnd.randrange(0, 5_000_000_000))
