@@ -263,6 +263,22 @@ def t5_chronology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dossier.chronology(e, table(spark, sf_dir, "payments").where("id % 200 = 0")).withColumn("place", F.col("place").cast("long"))
 
 
+@query(
+    "t5_chronology_whole",
+    oracle(
+        f""", p AS (SELECT obra, ts, id, 'pagamento' AS kind, concat({_BRL}, '. ', trim(description)) AS content, 0 AS tier, 0 AS a, 0.0e0 AS b, epoch_us(ts) AS c FROM payments),
+        s AS (SELECT obra, ts, id, 'mensagem' AS kind, text AS content, 1 AS tier, -CAST(id % 2 AS INT) AS a, -((id * 7 % 100) / 100.0e0) AS b, 0 AS c FROM happenings WHERE category <> 'pagamento' AND length(trim(text)) >= 20),
+        u AS (SELECT *, row_number() OVER (PARTITION BY obra ORDER BY tier, a, b, c, id) AS place FROM (SELECT * FROM p UNION ALL SELECT * FROM s)) SELECT obra, strftime(ts, '%d/%m/%Y') AS date, strftime(ts, '%H:%M') AS time, kind, content, place FROM u WHERE place <= 20""",
+        "payments",
+        "happenings",
+    ),
+)
+def t5_chronology_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all payments: the earliest take the room, and messages fill what is left."""
+    e = table(spark, sf_dir, "happenings").withColumns({"reviewed": (F.col("id") % 2).cast("int"), "confidence": (F.col("id") * 7 % 100) / 100.0})
+    return dossier.chronology(e, table(spark, sf_dir, "payments")).withColumn("place", F.col("place").cast("long"))
+
+
 @query("a17_period", oracle(" SELECT obra, count(*) AS n, strftime(min(ts), '%d/%m/%Y') AS first, strftime(max(ts), '%d/%m/%Y') AS last, CAST(date_diff('day', min(ts), max(ts)) + 1 AS INT) AS days FROM happenings GROUP BY 1", "happenings"))
 def a17_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dossier.period(table(spark, sf_dir, "happenings"))

@@ -65,6 +65,17 @@ def test_renegotiation_query_has_the_whole_window(spark, tmp_path):
     assert [(r.primary_event_ref, r.related_event_ref, r.time_gap_seconds) for r in got] == [("c_12", "c_56", 363600)]
 
 
+def test_chronology_query_takes_all_payments(spark, tmp_path):
+    """No id is divisible by 200; obra_1 has more payments than room, obra_2 two and messages that fill the rest."""
+    start = dt.datetime(2026, 4, 4)
+    rows = [(i, start + dt.timedelta(minutes=500 - i), 10.0, 1, "purchase") for i in range(1, 26)] + [(i, start, 10.0, 2, "purchase") for i in (31, 32)] + [(57, start, 10.0, 2, "view")]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, value double, user_id bigint, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = __spark_entry__.queries()["t5_chronology_whole"](spark, str(tmp_path)).collect()
+    by = lambda obra: [(r.kind, r.time) for r in sorted(got, key=lambda r: r.place) if r.obra == obra]
+    assert by("obra_1") == [("pagamento", (start + dt.timedelta(minutes=500 - i)).strftime("%H:%M")) for i in range(25, 5, -1)]
+    assert [k for k, _ in by("obra_2")] == ["pagamento", "pagamento", "mensagem"]
+
+
 def test_within_is_a_nested_loop(spark):
     rnd = random.Random(3)
     at = lambda: PAID + dt.timedelta(microseconds=rnd.randrange(0, 5_000_000_000))
