@@ -1,25 +1,30 @@
-"""Language-model scores: prediction by partial matching over bytes, beside a smoothed unigram base.
-
-One pass over the training rows gathers word counts and counts of five-byte grams; every further statistic is
-derived from those. The model is all byte contexts up to four bytes that occur in the training rows; the
-probability of a symbol is that of its count under escape method C, falling back to shorter contexts with the
-symbols already offered excluded. As the counts are fixed, this is computed once for each (context, symbol).
-
-The most frequent contexts of four bytes go to the tasks in a table of bounded size, where scoring is a few lookups
-a byte. A text's other grams are counted and joined to their probabilities (``probabilities``), which are computed
-with joins over the counts for the distinct grams wanted. Both ways give the same figures, so the table's size
-changes the time only.
-
-The base needs each word's count. The ``FREQUENT`` most frequent words go to the tasks in a table of bounded
-size; only the others are joined, by word, so no hot key is ever shuffled with its occurrences.
-
-Bounds: the table has the ``CONTEXTS`` most frequent contexts of four bytes, half as many of three and of two, and
-the suffixes of the longer ones, at most (5 * CONTEXTS + 257) * 256 floats. A context outside it is less frequent
-than those in it, so no hot gram is joined. All training rows are counted and used, and all texts scored whole.
-
-Defined cases: a null or empty text has the end alone; without training rows every word is unknown and bytes
-are uniform; a text's end is scored as byte zero; repeated rows are scored each; ties in frequency go to the
-lesser context or word; an empty table gives an empty one.
+"""Language-model scores: prediction by partial matching over a byte-context trie, beside a smoothed unigram base.
+
+One pass over the training rows gathers counts of words, of grams (``ORDER`` bytes and the one after them) and of
+edges (see below); all else is derived from those. A symbol's probability after a context of up to ``ORDER`` bytes
+follows escape method C: what the context has counted is offered, and what escapes goes to the context a byte
+shorter, with the symbols already offered excluded. A context seen fewer than ``SURE`` times says less than the
+shorter one, so it escapes for certain.
+
+Beyond ``ORDER`` bytes the trie is path-compressed: texts are cut into segments after bytes where a hash of the
+last gram allows it (``SEGMENT`` bytes apart on average), and an edge leads from a segment to the whole one after
+it. An edge grows when the training rows have it a second time. A segment with an edge from the one before it costs
+that edge; another one costs the escape there, if any edge leaves, and then its bytes. So text that stands in
+the training rows more than once costs next to nothing, and all other text what its bytes cost.
+
+The probabilities of the most frequent grams go to the tasks in a table of at most ``LISTED`` rows, where scoring
+is one lookup a byte. All other grams are counted and joined to theirs (``probabilities``), which are computed with
+joins over the counts. Both ways give the same figures, so the table's size changes the time only. Likewise the
+``FREQUENT`` most frequent words are sent and the others joined. So no hot gram or word is shuffled with its
+occurrences; a hot segment is, in rows of a few numbers, and adaptive execution splits its key.
+
+Bounds: 12 bytes for a listed gram; ``HELD`` counts in a counting task. All training rows are counted and used, and
+all texts scored whole, in pieces of ``PIECE`` bytes. Segments are told apart by 64-bit hashes, edges by two.
+
+Defined cases: a null or empty text has the end alone; very long texts are taken in pieces; without training rows
+every word is unknown and bytes are uniform; repeated rows are scored each, and count as often as they stand in the
+training rows; ties in frequency between words go to the lesser word; an empty table gives an empty one; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -31,190 +36,191 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoor.llm import common
 
-ORDER, CONTEXTS, FREQUENT = 4, 16_384, 100_000
-HELD_WORDS, HELD_BYTES, PIECE = 250_000, 2 << 20, 1 << 20
+ORDER, SURE, SEGMENT = 6, 16, 128
+LISTED, FREQUENT = 1 << 22, 100_000
+HELD, HELD_WORDS, PIECE = 2_000_000, 250_000, 1 << 22
+#: Input partitions that one counting task takes, so that more is combined before the shuffle.
+TOGETHER = 4
 #: Rows of an Arrow batch.
 ROWS = 1000
+#: The end among the words.
 END = b""
+#: Upper-case letters don't occur in lowered texts, so two of them mark a text's end and what stands before it.
+LAST, BEFORE = 0x41, 0x42
+#: The bytes of lowered texts, and the end.
+SYMBOLS = 256 - 26 + 1
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(grams: np.ndarray, bits: int) -> np.ndarray:
+    return (grams.view(np.uint64) * _MIX >> np.uint64(64 - bits)).view(np.int64)
+
+
+def _pieces(raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For texts laid end to end, each within its marks: places of symbols, the gram that ends at each, and whether
+    a segment does."""
+    a = np.frombuffer(raw, np.uint8)
+    for at in range(ORDER, len(a), PIECE):
+        stop = min(len(a), at + PIECE)
+        gram = a[at - ORDER : stop - ORDER].astype(np.int64)
+        for k in range(1, ORDER + 1):
+            gram <<= 8
+            gram |= a[at - ORDER + k : stop - ORDER + k]
+        symbols = np.flatnonzero(a[at:stop] != BEFORE)
+        gram = gram[symbols]
+        yield symbols + at, gram, (_mixed(gram, SEGMENT.bit_length() - 1) == 0) | (gram & 255 == LAST)
+
+
+def _laid(texts: list[bytes]) -> bytes:
+    before, last = bytes([BEFORE]) * ORDER, bytes([LAST])
+    return b"".join(x for t in texts for x in (before, t, last))
 
 
-def _codes(text: bytes) -> np.ndarray:
-    """The five-byte gram that ends at each byte of the text and at its end; zeros stand before it."""
-    a = np.frombuffer(b"\0" * ORDER + text + b"\0", np.uint8).astype(np.int64)
-    code = a[:-ORDER]
-    for k in range(1, ORDER + 1):
-        code = code << 8 | a[k : len(a) - ORDER + k]
-    return code
+def _edges(raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For segments by the places of their last symbols: the hash of the segment before, zero at a text's start, the
+    own hash, and whether the text ends."""
+    lasts = np.frombuffer(raw, np.uint8)[ends] == LAST
+    starts = np.concatenate([[ORDER], ends[:-1] + 1 + ORDER * lasts[:-1]])
+    own = np.array([xxhash.xxh64_intdigest(raw[a : b + 1]) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64).view(np.int64)
+    before = np.concatenate([[0], np.where(lasts[:-1], 0, own[:-1])]).astype(np.int64)
+    return before, own, lasts
+
+
+def _merged(ids: np.ndarray, ns: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted grams with counts, after more grams."""
+    new, n = np.unique(more, return_counts=True)
+    both, counts = np.concatenate([ids, new]), np.concatenate([ns, n])
+    order = np.argsort(both, kind="stable")  # two sorted runs: one merge
+    both, counts = both[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+    return both[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """(word, gram, c): counts of words and of five-byte grams over all rows; one of word and gram is null."""
+    """(word, segment, gram, c): counts over all rows of words, of grams, and of edges seen twice or more, as the
+    segment before and, in gram, the one after; what doesn't apply is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
         ids, ns = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        parts, size = [], 0
 
-        def out(keys, grams, counts) -> Iterator[pa.RecordBatch]:
+        def out(counts, **columns) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(counts), 1 << 16):
-                k, g, c = (None if x is None else x[at : at + (1 << 16)] for x in (keys, grams, counts))
-                n = len(c)
-                columns = [pa.array(k, pa.binary()) if k is not None else pa.nulls(n, pa.binary()), pa.array(g, pa.int64()) if g is not None else pa.nulls(n, pa.int64()), pa.array(c, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["word", "gram", "c"])
-
-        def fold():
-            nonlocal ids, ns, parts, size
-            new, n = np.unique(np.concatenate(parts), return_counts=True)
-            ids, inverse = np.unique(np.concatenate([ids, new]), return_inverse=True)
-            ns = np.bincount(inverse, np.concatenate([ns, n]), len(ids)).astype(np.int64)
-            parts, size = [], 0
-
-        for b in batches:
-            for t in (t for part in _parts(b) for t in common.as_bytes(part.column(0))):
-                low = t.lower()
+                c = pa.array(counts[at : at + (1 << 16)], pa.int64())
+                some = [pa.array(columns[k][at : at + (1 << 16)], t) if k in columns else pa.nulls(len(c), t) for k, t in (("word", pa.binary()), ("segment", pa.int64()), ("gram", pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*some, c], ["word", "segment", "gram", "c"])
+
+        for part in (part for b in batches for part in _parts(b)):
+            lows = [t.lower() for t in common.as_bytes(part.column(0))]
+            for low in lows:
                 words.update(low.split())
-                words[END] += 1
-                parts.append(_codes(low))
-                size += len(low)
-                if size >= HELD_BYTES:
-                    fold()
+            words[END] += len(lows)
+            raw, ends = _laid(lows), []
+            for places, grams, closes in _pieces(raw):
+                ends.append(places[closes])
+                ids, ns = _merged(ids, ns, grams)
+                if len(ids) >= HELD:
+                    yield from out(ns, gram=ids)
+                    ids, ns = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if ends:
+                before, own, _ = _edges(raw, np.concatenate(ends))
+                yield from out(np.ones(len(own), np.int64), segment=before, gram=own)
             if len(words) >= HELD_WORDS:
-                yield from out(list(words.keys()), None, list(words.values()))
+                yield from out(list(words.values()), word=list(words.keys()))
                 words.clear()
-            if len(ids) >= 2 * HELD_WORDS:
-                yield from out(None, ids, ns)
-                ids, ns = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if parts:
-            fold()
-        yield from out(list(words.keys()), None, list(words.values()))
-        yield from out(None, ids, ns)
+        yield from out(list(words.values()), word=list(words.keys()))
+        yield from out(ns, gram=ids)
 
-    rows = docs.select("text").mapInArrow(run, "word binary, gram long, c long")
-    with common.batches_of(docs.sparkSession, ROWS):
-        return common.cut(rows.groupBy("word", "gram").agg(F.sum("c").alias("c")), "lm-counts")
+    spark = docs.sparkSession
+    picked = docs.select("text")
+    fewer = max(spark.sparkContext.defaultParallelism, -(-picked.rdd.getNumPartitions() // TOGETHER))
+    rows = picked.coalesce(fewer).mapInArrow(run, "word binary, segment long, gram long, c long")
+    with common.batches_of(spark, ROWS):
+        counts = rows.groupBy("word", "segment", "gram").agg(F.sum("c").alias("c"))
+        return common.cut(counts.where("segment is null or c > 1"), "lm-counts")
 
 
 @dataclass
-class Trie:
-    """The chosen contexts of four, three and two bytes, and a row of log10 probabilities for each context.
-
-    Rows of four-byte contexts are final. The others hold only where no longer context was seen, which the trie
-    can't tell, as it has some contexts only.
-    """
-
-    chosen: list[np.ndarray]
-    table: np.ndarray  # rows: four bytes, three, two, the 256 of one byte, the empty one
-
-    def index(self) -> tuple[np.ndarray, np.ndarray]:
-        """The row of the longest chosen context of up to three bytes, for each value of the last three; and, by
-        that row and the byte before, the row of the longest of all."""
-        four, three, two = self.chosen
-        a, b, c = (len(x) for x in self.chosen)
-        kind = np.uint16 if len(self.table) < 1 << 16 else np.uint32
-        last = np.empty(1 << 24, kind)
-        last.reshape(65536, 256)[:] = a + b + c + np.arange(256)
-        last.reshape(256, 65536)[:, two] = a + b + np.arange(c)
-        last[three] = a + np.arange(b)
-        longest = np.repeat(np.arange(len(self.table), dtype=kind)[:, None], 256, axis=1)
-        longest[last[four & 0xFFFFFF], four >> 24] = np.arange(a)
-        return last, longest
-
-    def score(self, text: bytes, index: tuple[np.ndarray, np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
-        """log10 of the probability of the symbols, the text's end included, that follow a chosen context of four
-        bytes; and the grams of the other symbols, with their counts."""
-        last, longest = index
-        total, others = 0.0, []
-        for at in range(0, len(text) + 1, PIECE):
-            code = _codes(text[max(0, at - ORDER) : at + PIECE])
-            code = code[min(ORDER, at) :] if at + PIECE >= len(text) + 1 else code[min(ORDER, at) : -1]
-            row = longest[last[code >> 8 & 0xFFFFFF], code >> 32]
-            known = row < len(self.chosen[0])
-            total += float(self.table[row[known], code[known] & 255].sum(dtype=np.float64))
-            others.append(np.unique(code[~known], return_counts=True))
-        if len(others) == 1:
-            return total, *others[0]
-        grams, inverse = np.unique(np.concatenate([g for g, _ in others]), return_inverse=True)
-        return total, grams, np.bincount(inverse, np.concatenate([n for _, n in others]), len(grams)).astype(np.int64)
-
-
-def _under_exclusion(chain: list[np.ndarray]) -> np.ndarray:
-    """log10 probabilities of all symbols, given the counts of each context from the longest to the empty one."""
-    out = np.zeros(chain[0].shape, np.float32)
-    gone = np.zeros(chain[0].shape, bool)
-    escape = np.zeros((len(out), 1), np.float32)
-    for c in chain:
-        left = np.where(gone, 0, c)
-        seen = left > 0
-        n, kinds = left.sum(axis=1, keepdims=True), seen.sum(axis=1, keepdims=True)
-        whole = np.where(n > 0, n + kinds, 1)
-        np.copyto(out, escape + np.log10(np.maximum(left, 1) / whole), where=seen)
-        escape = escape + np.where(n > 0, np.log10(np.maximum(kinds, 1) / whole), 0)
-        gone |= seen
-    rest = np.maximum(256 - gone.sum(axis=1, keepdims=True), 1)
-    np.copyto(out, (escape - np.log10(rest)).astype(np.float32), where=~gone)
-    return out
-
-
-def build(levels: list[tuple[np.ndarray, np.ndarray]]) -> Trie:
-    """From the grams and counts of the chosen contexts of four, three, two and one bytes. Each shorter level
-    holds the suffixes of the longer one, so a context's whole chain is there."""
-    places, counts = [], []
-    for grams, n in levels:
-        contexts = np.arange(256) if len(places) == 3 else np.unique(grams >> 8)
-        c = np.zeros((len(contexts), 256), np.float32)
-        c[np.searchsorted(contexts, grams >> 8), grams & 255] = n
-        places.append(contexts)
-        counts.append(c)
-    counts.append(counts[-1].sum(axis=0, keepdims=True))
-    places.append(np.zeros(1, np.int64))
-    masks = [0xFFFFFFFF, 0xFFFFFF, 0xFFFF, 0xFF, 0]
-    parts = []
-    for level, contexts in enumerate(places):
-        for at in range(0, len(contexts), 2048):
-            some = contexts[at : at + 2048]
-            parts.append(_under_exclusion([c[np.searchsorted(places[k], some & masks[k])] for k, c in enumerate(counts) if k >= level]))
-    return Trie(places[:3], np.concatenate(parts))
-
-
-def fit(counted: DataFrame, contexts: int | None = None) -> Trie:
-    """The trie over the most frequent contexts; what comes to the driver is bounded by their number."""
-    spark = counted.sparkSession
-    contexts = CONTEXTS if contexts is None else contexts
-    grams = counted.where("gram is not null").select("gram", "c")
-    levels: list[tuple[np.ndarray, np.ndarray]] = []
-    longer = np.zeros(0, np.int64)
-    for size in (4, 3, 2, 1):
-        if size < 4:
-            grams = grams.groupBy(F.col("gram").bitwiseAND((1 << 8 * (size + 1)) - 1).alias("gram")).agg(F.sum("c").alias("c"))
-        grams = grams.withColumn("context", F.shiftright("gram", 8))
-        top = grams.groupBy("context").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "context").limit({4: contexts, 1: 256}.get(size, contexts // 2)).toArrow()
-        longer = np.union1d(longer & ((1 << 8 * size) - 1), np.array(top.column("context"), np.int64))
-        some = spark.createDataFrame(pa.table({"context": longer}))  # at most 2 * contexts rows
-        got = grams.join(F.broadcast(some), "context").select("gram", "c").toArrow()
-        levels.append((np.array(got.column("gram"), np.int64), np.array(got.column("c"), np.int64)))
-    return build(levels)
+class Listed:
+    """The most frequent grams and the log10 probability of each one's last byte after the others."""
+
+    grams: np.ndarray
+    p: np.ndarray
+    slots: tuple[np.ndarray, np.ndarray] | None = None
+
+    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which grams are listed, and the probabilities of those."""
+        if self.slots is None:
+            self.slots = self._placed()
+        keys, ps = self.slots
+        at = _mixed(grams, len(keys).bit_length() - 1)
+        key = keys[at]
+        known = key == grams
+        left = np.flatnonzero(~known & (key >= 0))
+        while len(left):
+            at[left] = at[left] + 1 & len(keys) - 1
+            key = keys[at[left]]
+            known[left] = key == grams[left]
+            left = left[(key != grams[left]) & (key >= 0)]
+        return known, ps[at[known]]
+
+    def _placed(self) -> tuple[np.ndarray, np.ndarray]:
+        """A table at most half full, each gram in the first free slot from its own on."""
+        bits = max(4, (2 * len(self.grams) - 1).bit_length())
+        keys, ps = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
+        left, at = self.grams, _mixed(self.grams, bits)
+        p = self.p
+        while len(left):
+            free = keys[at] < 0
+            keys[at[free]] = left[free]
+            own = keys[at] == left
+            ps[at[own]] = p[own]
+            left, p, at = left[~own], p[~own], at[~own] + 1 & (1 << bits) - 1
+        return keys, ps
+
+
+def _sure(grams: DataFrame, size: int, *more) -> DataFrame:
+    """(context, n, kinds, ...) of the contexts of so many bytes that don't escape for certain."""
+    out = grams.withColumn("context", F.shiftright("gram", 8)).groupBy("context").agg(F.sum("c").alias("n"), F.count("*").alias("kinds"), *more)
+    return out.where(F.col("n") >= SURE) if size else out
+
+
+def listed(counted: DataFrame, most: int | None = None) -> Listed:
+    """The table of the most frequent grams: the most that equally frequent ones allow, up to ``most``."""
+    most = LISTED if most is None else most
+    grams = counted.where("gram is not null and segment is null").select("gram", "c")
+    known = grams.withColumn("context", F.shiftright("gram", 8)).join(_sure(grams, ORDER), "context")
+    kind = F.floor(F.log2("c") * 8).cast("int")  # at most 512 classes of frequency
+    at_least, total = 0, 0
+    for r in sorted(known.groupBy(kind.alias("kind")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.kind):
+        total += r.n
+        if total > most:
+            at_least = r.kind + 1
+            break
+    rows = known.where(kind >= at_least).select("gram", F.log10(F.col("c") / (F.col("n") + F.col("kinds"))).cast("float").alias("p")).toArrow()
+    return Listed(np.array(rows.column("gram"), np.int64), np.array(rows.column("p"), np.float32))
 
 
 def probabilities(counted: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(gram, p): log10 of the last byte's probability after the four before it, for the distinct grams wanted.
+    """(gram, p): log10 of the last byte's probability after those before it, for the distinct grams wanted.
 
     What longer contexts offered is what the next longer one did, as their symbols are among its own. So a context's
     share under exclusion follows from its count and kinds, less the sum of its counts and the number of the symbols
     that the longer one has.
     """
-    seen = counted.where("gram is not null").select("gram", "c")
+    seen = counted.where("gram is not null and segment is null").select("gram", "c")
     levels = []
     for size in range(ORDER, -1, -1):
         low = F.col("gram").bitwiseAND((1 << 8 * size) - 1)
         shorter = F.sum("c").over(Window.partitionBy(low)) if size else F.lit(0)  # at most 256 rows each
-        contexts = seen.select(F.shiftright("gram", 8).alias("context"), "c", shorter.alias("s")).groupBy("context").agg(F.sum("c").alias("n"), F.count("*").alias("kinds"), F.sum("s").alias("under"))
-        levels.append((size, seen, contexts))
+        levels.append((size, seen, _sure(seen.select("gram", "c", shorter.alias("s")), size, F.sum("s").alias("under"))))
         if size:
             seen = seen.groupBy(low.alias("gram")).agg(F.sum("c").alias("c"))
     zero = F.lit(0).cast("long")
@@ -225,8 +231,8 @@ def probabilities(counted: DataFrame, wanted: DataFrame) -> DataFrame:
             grams, contexts = F.broadcast(grams), F.broadcast(contexts)  # at most 65,536 and 256 rows
         low = F.col("gram").bitwiseAND((1 << 8 * (size + 1)) - 1)
         here = out.withColumns({"g": low, "context": F.shiftright(low, 8)}).join(contexts, "context", "left").join(grams.select(F.col("gram").alias("g"), "c"), "g", "left")
-        n, kinds = (F.coalesce(F.col(x), zero) - F.col(f"gone_{x}") for x in ("n", "kinds"))
-        here = here.withColumns({"left_n": n, "left_kinds": kinds})
+        n, kinds = (F.coalesce(F.col(x) - F.col(f"gone_{x}"), zero) for x in ("n", "kinds"))
+        here = here.withColumns({"left_n": n, "left_kinds": kinds, "c": F.when(F.col("n").isNotNull(), F.col("c"))})
         whole = F.col("left_n") + F.col("left_kinds")
         out = here.select(
             "gram",
@@ -238,42 +244,69 @@ def probabilities(counted: DataFrame, wanted: DataFrame) -> DataFrame:
         if size == ORDER:  # most grams end here
             done = common.cut(out, "lm-grams")
             out = done.where("p is null")
-    rest = out.select("gram", F.coalesce("p", F.col("escape") - F.log10(F.greatest(256 - F.col("gone_kinds"), F.lit(1)))).alias("p"))
+    rest = out.select("gram", F.coalesce("p", F.col("escape") - F.log10(F.greatest(SYMBOLS - F.col("gone_kinds"), F.lit(1)))).alias("p"))
     return done.where("p is not null").select("gram", "p").unionAll(rest)
 
 
-def _parts(b: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _parts(b: pa.RecordBatch, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about so many bytes each, so that memory follows texts and not row counts."""
     rows = max(1, b.num_rows * size // max(1, b.nbytes))
     for at in range(0, b.num_rows, rows):
         yield b.slice(at, rows)
 
 
-def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of docs."""
+def _of_bytes(lows: list[bytes], table: Listed) -> tuple[pa.ListArray, pa.ListArray]:
+    """For each text its segments (seg, before, own, s), s being the log10 probability of what is listed, and its
+    grams that aren't, (seg, gram, tf)."""
+    raw, ends, sums, where, others, base = _laid(lows), [], [], [], [], 0
+    for places, grams, closes in _pieces(raw):
+        seg = np.cumsum(closes) - closes  # from the piece's first segment, which the piece before may have begun
+        known, p = table.find(grams)
+        n = int(seg[-1]) + 1 if len(seg) else 0
+        s = np.bincount(seg[known], p, n)
+        if ends and n and len(sums) > base:
+            sums[-1], s = sums[-1] + s[0], s[1:]
+        sums.extend(s.tolist())
+        ends.append(places[closes])
+        where.append(seg[~known] + base)
+        others.append(grams[~known])
+        base += int(closes.sum())
+    before, own, lasts = _edges(raw, np.concatenate(ends))
+    stops = np.flatnonzero(lasts) + 1
+    firsts = np.concatenate([[0], stops[:-1]])
+    doc = np.repeat(np.arange(len(stops)), stops - firsts)
+    number = np.arange(len(own)) - firsts[doc]
+    fields = [pa.array(number, pa.int32()), pa.array(before), pa.array(own), pa.array(sums, pa.float64())]
+    segs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]), pa.int32()), pa.StructArray.from_arrays(fields, ["seg", "before", "own", "s"]))
+    seg, gram = np.concatenate(where), np.concatenate(others)
+    order = np.lexsort((gram, seg))
+    seg, gram = seg[order], gram[order]
+    new = np.flatnonzero(np.concatenate([[True], (seg[1:] != seg[:-1]) | (gram[1:] != gram[:-1])])) if len(seg) else np.zeros(0, np.int64)
+    tf = np.diff(np.append(new, len(seg)))
+    seg, gram = seg[new], gram[new]
+    fields = [pa.array(number[seg], pa.int32()), pa.array(gram), pa.array(tf, pa.int32())]
+    unlisted = pa.ListArray.from_arrays(pa.array(np.searchsorted(seg, np.concatenate([[0], stops])), pa.int32()), pa.StructArray.from_arrays(fields, ["seg", "gram", "tf"]))
+    return segs, unlisted
+
+
+def _first(docs: DataFrame, known: dict[bytes, float], table: Listed) -> DataFrame:
+    """What one pass over the texts finds: a row number, token counts, the sums of what the sent tables have, and
+    what they haven't: words, and grams by segment."""
     spark = docs.sparkSession
-    common.reachable(spark)
-    counted = _counted(training)
-    words = counted.where("word is not null").select("word", "c")
-    totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    whole = totals.n + totals.v + 1
-    frequent = words.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
-    known = dict(zip(frequent.column("word").to_pylist(), (math.log10((c + 1) / whole) for c in frequent.column("c").to_pylist())))
-    sent = spark.sparkContext.broadcast((known, fit(counted)))  # FREQUENT words and the bounded table
+    sent = spark.sparkContext.broadcast((known, table))  # FREQUENT words and LISTED grams at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lp, trie = sent.value
-        get, index = lp.get, None
+        lp, table = sent.value
+        get = lp.get
         row = TaskContext.get().partitionId() << 36
         kind = [pa.field("word", pa.binary()), pa.field("tf", pa.int64())]
-        gram_kind = [pa.field("gram", pa.int64()), pa.field("tf", pa.int64())]
         for b in (part for whole_batch in batches for part in _parts(whole_batch)):
-            index = trie.index() if index is None else index
-            n_tokens, n_known, base, score = [], [], [], []
+            n_tokens, n_known, base = [], [], []
             words, tfs, ends = [], [], [0]
-            others, times, stops = [], [], [0]
-            for t in common.as_bytes(b.column(1)):
-                low = t.lower()
+            lows = [t.lower() for t in common.as_bytes(b.column(1))]
+            if not lows:
+                continue
+            for low in lows:
                 ws = [*low.split(), END]
                 got = list(map(get, ws))
                 holes = got.count(None)
@@ -285,31 +318,48 @@ def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
                 n_tokens.append(len(ws))
                 n_known.append(len(ws) - holes)
                 base.append(sum(v for v in got if v is not None) if holes else sum(got))
-                total, g, n = trie.score(low, index)
-                score.append(total)
-                others.append(g)
-                times.append(n)
-                stops.append(stops[-1] + len(g))
-            rows = pa.array(range(row, row + len(score)), pa.int64())
-            row += len(score)
+            rows = pa.array(range(row, row + len(lows)), pa.int64())
+            row += len(lows)
             rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(tfs, pa.int64())], fields=kind))
-            unlisted = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.StructArray.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (others, times)], fields=gram_kind))
-            arrays = [b.column(0), rows, pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), rare, unlisted]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "n_tokens", "n_known", "base", "score", "rare", "grams"])
+            arrays = [b.column(0), rows, pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), rare, *_of_bytes(lows, table)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "n_tokens", "n_known", "base", "rare", "segs", "grams"])
 
     picked = docs.select("doc_id", "text")
-    schema = f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, row long, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,tf:bigint>>, grams array<struct<gram:bigint,tf:bigint>>"
+    kinds = "rare array<struct<word:binary,tf:bigint>>, segs array<struct<seg:int,before:bigint,own:bigint,s:double>>, grams array<struct<seg:int,gram:bigint,tf:int>>"
     with common.batches_of(spark, ROWS):
-        first = common.cut(picked.mapInArrow(run, schema), "lm-scores")
-    rare = first.select("row", F.inline("rare"))
-    c = F.coalesce("c", F.lit(0))
+        return common.cut(picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, row long, n_tokens long, n_known long, base double, {kinds}"), "lm-scores")
+
+
+def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of docs."""
+    spark = docs.sparkSession
+    common.reachable(spark)
+    counted = _counted(training)
+    words = counted.where("word is not null").select("word", "c")
+    totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    whole = totals.n + totals.v + 1
+    frequent = words.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
+    known = dict(zip(frequent.column("word").to_pylist(), (math.log10((c + 1) / whole) for c in frequent.column("c").to_pylist())))
+    first = _first(docs, known, listed(counted))
+
+    none = F.lit(None).cast("double")
+    zero = F.lit(0).cast("long")
+    c = F.coalesce("c", zero)
+    of_words = first.select("row", F.inline("rare")).join(words, "word", "left").select("row", F.lit(-1).alias("seg"), F.lit(0.0).alias("s"), none.alias("edge"), F.lit(0.0).alias("escape"), (F.col("tf") * F.log10((c + 1) / F.lit(float(whole)))).alias("more"), F.when(c > 0, F.col("tf")).otherwise(0).alias("k"))
     grams = first.select("row", F.inline("grams"))
     p = probabilities(counted, grams.select("gram").distinct())
-    of_words = rare.join(words, "word", "left").select("row", (F.col("tf") * F.log10((c + 1) / F.lit(float(whole)))).alias("more"), F.when(c > 0, F.col("tf")).otherwise(0).alias("k"), F.lit(0.0).alias("s"))
-    of_grams = grams.join(p, "gram").select("row", F.lit(0.0).alias("more"), F.lit(0).cast("long").alias("k"), (F.col("tf") * F.col("p")).alias("s"))
-    counts = of_words.unionAll(of_grams).groupBy("row").agg(F.sum("more").alias("more"), F.sum("k").alias("k"), F.sum("s").alias("s"))
-    joined = first.drop("rare", "grams").join(counts, "row", "left")
-    return joined.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(totals.n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"))
+    of_grams = grams.join(p, "gram").select("row", "seg", (F.col("tf") * F.col("p")).alias("s"), none.alias("edge"), F.lit(0.0).alias("escape"), F.lit(0.0).alias("more"), zero.alias("k"))
+    edges = counted.where("segment is not null").select(F.col("segment").alias("before"), F.col("gram").alias("own"), "c")
+    leaving = edges.groupBy("before").agg(F.sum("c").alias("n"), F.count("*").alias("kinds"))
+    segs = first.select("row", F.inline("segs")).join(edges, ["before", "own"], "left").join(leaving, "before", "left")
+    both = F.col("n") + F.col("kinds")
+    of_segs = segs.select("row", "seg", "s", F.log10(F.col("c") / both).alias("edge"), F.coalesce(F.log10(F.col("kinds") / both), F.lit(0.0)).alias("escape"), F.lit(0.0).alias("more"), zero.alias("k"))
+
+    all_parts = of_words.unionAll(of_grams).unionAll(of_segs).repartition("row")  # a row's parts serve both groupings
+    by_seg = all_parts.groupBy("row", "seg").agg(F.sum("s").alias("s"), F.max("edge").alias("edge"), F.sum("escape").alias("escape"), F.sum("more").alias("more"), F.sum("k").alias("k"))
+    counts = by_seg.groupBy("row").agg(F.sum("more").alias("more"), F.sum("k").alias("k"), F.sum(F.coalesce("edge", F.col("escape") + F.col("s"))).alias("score"))
+    joined = first.drop("rare", "segs", "grams").join(counts, "row", "left")
+    return joined.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("k", zero)).alias("n_known"), F.lit(totals.n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -355,22 +355,43 @@ def test_gram_pieces(monkeypatch):
     assert (langid.grams(text) == whole).all()
 
 
+def lm_segments(low):
+    """The texts between the bytes after which a hash of the last gram is zero; the last one with the end's mark."""
+    p, out, start = b"B" * lm.ORDER + low + b"A", [], lm.ORDER
+    for k in range(lm.ORDER, len(p)):
+        gram = int.from_bytes(p[k - lm.ORDER : k + 1], "big")
+        if k == len(p) - 1 or gram * 0x9E3779B97F4A7C15 % 2**64 >> 64 - (lm.SEGMENT.bit_length() - 1) == 0:
+            out.append((start, k + 1))
+            start = k + 1
+    return p, out
+
+
 def brute_lm(rows):
-    """The base, and matching over the same counts without tables; rows: (id, text)."""
+    """The base, and matching over the same counts without tables, joins or hashes; rows: (id, text)."""
     train = [t for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
     counts = Counter(w for t in train for w in [*words(low(t)), None])
     n, v = sum(counts.values()), len(counts)
-    contexts = [defaultdict(Counter) for _ in range(5)]
+    contexts = [defaultdict(Counter) for _ in range(lm.ORDER + 1)]
+    edges = Counter()
     for t in train:
-        p = b"\0" * 4 + low(t).encode() + b"\0"
-        for k in range(4, len(p)):
-            for o in range(5):
+        p, segments = lm_segments(low(t).encode())
+        for k in range(lm.ORDER, len(p)):
+            for o in range(lm.ORDER + 1):
                 contexts[o][p[k - o : k]][p[k]] += 1
+        texts = [p[a:b] for a, b in segments]
+        edges.update(zip([None, *texts], texts))
+    grown = defaultdict(dict)
+    for (before, own), c in edges.items():
+        if c > 1:
+            grown[before][own] = c
 
     def log(history, symbol):
         gone, escape = set(), 0.0
-        for o in range(4, -1, -1):
-            c = {a: k for a, k in contexts[o][history[4 - o :]].items() if a not in gone}
+        for o in range(lm.ORDER, -1, -1):
+            whole = contexts[o][history[lm.ORDER - o :]]
+            if o and sum(whole.values()) < lm.SURE:
+                continue
+            c = {a: k for a, k in whole.items() if a not in gone}
             if not c:
                 continue
             total = sum(c.values()) + len(c)
@@ -378,53 +399,90 @@ def brute_lm(rows):
                 return escape + math.log10(c[symbol] / total)
             escape += math.log10(len(c) / total)
             gone |= set(c)
-        return escape - math.log10(256 - len(gone))
+        return escape - math.log10(lm.SYMBOLS - len(gone))
+
+    def score(t):
+        p, segments = lm_segments(low(t).encode())
+        out, before = 0.0, None
+        for a, b in segments:
+            leaving, own = grown.get(before, {}), p[a:b]
+            both = sum(leaving.values()) + len(leaving)
+            if own in leaving:
+                out += math.log10(leaving[own] / both)
+            else:
+                out += (math.log10(len(leaving) / both) if leaving else 0) + sum(log(p[k - lm.ORDER : k], p[k]) for k in range(a, b))
+            before = own
+        return out
 
     def scored(t):
-        p = b"\0" * 4 + low(t).encode() + b"\0"
         w = [*words(low(t)), None]
-        return len(w), sum(counts[x] > 0 for x in w), n, sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), sum(log(p[k - 4 : k], p[k]) for k in range(4, len(p)))
+        return len(w), sum(counts[x] > 0 for x in w), n, sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), score(t)
 
     return scored
 
 
-def test_lm(spark, monkeypatch):
+@pytest.mark.parametrize("most,sure", [(1 << 22, 3), (40, 1), (0, 16)])
+def test_lm(spark, monkeypatch, most, sure):
+    """Whatever the table holds, the scores are those of all contexts and edges."""
     rnd = random.Random(8)
-    made = [(i, " ".join(rnd.choices(["alpha", "beta", "Gamma", "delta", "é", "ção", "x"], k=rnd.randint(0, 25)))) for i in range(60)] + [(None, None), (70, "nunca visto"), (7, "alpha"), (7, "alpha")]
-    rows = spark.createDataFrame(made, "doc_id long, text string").withColumn("rare", F.lit(1))
-    scored = brute_lm(made)
-    monkeypatch.setattr(lm, "FREQUENT", 3)
-    for piece in (1 << 20, 16):
-        monkeypatch.setattr(lm, "PIECE", piece)
-        got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 2)) for r in lm.report(rows).collect())
-        want = sorted(((-1 if i is None else i), *(lambda s: (s[0], s[1], s[2], round(s[3], 6), round(s[4], 2)))(scored(t))) for i, t in made)
-        assert len(got) == len(want)
-        for a, b in zip(got, want):
-            assert a[:4] == b[:4] and abs(a[4] - b[4]) < 1e-5 and abs(a[5] - b[5]) < 0.02
-    assert lm.report(rows.limit(0)).count() == 0
-
-
-def test_lm_uses_every_context(spark, monkeypatch):
-    """With a table of almost no contexts the scores are those of all of them."""
-    rnd = random.Random(4)
-    made = [(i, " ".join(rnd.choices(["alpha", "alphabet", "beta", "Gamma", "é", "ção", "x"], k=rnd.randint(0, 12)))) for i in range(40)] + [(None, None), (70, "nunca visto alphas")]
-    rows = spark.createDataFrame(made, "doc_id long, text string")
+    made = [(i, " ".join(rnd.choices(["alpha", "alphabet", "beta", "Gamma", "delta", "é", "ção", "x"], k=rnd.choice([0, 3, 25, 120])))) for i in range(60)]
+    made += [(i + 100, t) for i, t in made[:20]] + [(None, None), (None, "nunca visto"), (70, "nunca visto"), (7, "alpha\0"), (7, "alpha\0"), (7, "alpha"), (80, "x" * 300), (81, "ABAB" * 30)]
+    clash = {c: F.lit(1) for c in ("word", "gram", "c", "row", "rare", "segs", "segment", "seg", "s", "n", "kinds")}
+    rows = spark.createDataFrame(made, "doc_id long, text string").withColumns(clash)
+    for name, value in (("LISTED", most), ("SURE", sure), ("FREQUENT", 3)):
+        monkeypatch.setattr(lm, name, value)
     scored = brute_lm(made)
-    for contexts, piece in ((2, 1 << 20), (8, 16)):
-        monkeypatch.setattr(lm, "CONTEXTS", contexts)
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm.report(rows).collect())
+    want = sorted(((-1 if i is None else i), *scored(t)) for i, t in made)
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert a[:4] == b[:4] and abs(a[4] - b[4]) < 1e-5 and abs(a[5] - b[5]) < 1e-3, (a, b)
+
+
+def test_lm_odd(odd, empty):
+    scored = brute_lm([(i, t) for i, t, *_ in ODD])
+    got = sorted((r.doc_id or 0, r.n_tokens, r.n_known, round(r.score, 2)) for r in lm.report(odd).collect())
+    want = sorted((i or 0, *(lambda s: (s[0], s[1], round(s[4], 2)))(scored(t))) for i, t, *_ in ODD)
+    assert len(got) == len(want) and all(a[:3] == b[:3] and abs(a[3] - b[3]) < 0.02 + 1e-4 * abs(b[3]) for a, b in zip(got, want))
+    assert lm.report(empty).count() == 0
+    held = odd.where("doc_id = 7").withColumn("doc_id", F.lit(17))  # crc32 modulo 7 is 2: no training rows at all
+    r = lm.report(held).first()
+    assert r.held_out and (r.n_known, r.train_tokens) == (0, 0) and abs(r.score + 240_001 * math.log10(lm.SYMBOLS)) < 1
+
+
+def test_lm_tells_copies_apart(docs, texts):
+    """Of the training texts those that stand there twice score better, a byte, than all but few others."""
+    times = Counter(low(t) for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2)
+    a_byte = {r.doc_id: r.score / (len(low(texts[r.doc_id]).encode()) + 1) for r in lm.report(docs).collect() if not r.held_out}
+    once = sorted(s for i, s in a_byte.items() if times[low(texts[i])] == 1)
+    more = [s for i, s in a_byte.items() if times[low(texts[i])] > 1]
+    assert len(more) > 5 and sum(s > once[int(0.9 * len(once))] for s in more) >= 0.9 * len(more)
+
+
+def test_pieces_change_nothing(monkeypatch, texts):
+    """Texts are scored, counted and cut alike in pieces of any size."""
+    lows = [low(t).encode() for t in list(texts.values())[:40]] + [b"", b"", b"x" * 1000]
+    grams = np.unique(np.concatenate([g for _, g, _ in lm._pieces(lm._laid(lows))]))
+    table = lm.Listed(grams[::2], np.linspace(-3, -0.1, len(grams[::2])).astype(np.float32))
+    segs, others = (x.to_pylist() for x in lm._of_bytes(lows, table))
+    assert [[len(s) for s in segs]] == [[len(lm_segments(x)[1]) for x in lows]]
+    for piece in (50, 333, 4096):
         monkeypatch.setattr(lm, "PIECE", piece)
-        got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in lm.report(rows).collect())
-        want = sorted((-1 if i is None else i, scored(t)[4]) for i, t in made)
-        assert len(got) == len(want)
-        for a, b in zip(got, want):
-            assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-3
-
-
-def test_probabilities_sum_to_one():
-    grams = np.array([(97 << 32 | 98 << 24 | 99 << 16 | 100 << 8 | s) for s in (97, 98)], np.int64)
-    level = lambda k: (grams & ((1 << 8 * (k + 1)) - 1), np.array([3, 1]))
-    t = lm.build([level(4), level(3), level(2), level(1)])
-    assert np.allclose((10.0**t.table).sum(axis=1), 1, atol=1e-4)
+        again, other = (x.to_pylist() for x in lm._of_bytes(lows, table))
+        assert other == others and all(a.pop("s") == pytest.approx(b["s"], abs=1e-6) and a == {k: v for k, v in b.items() if k != "s"} for x, y in zip(again, segs) for a, b in zip(x, y))
+        ids, ns = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for _, g, _ in lm._pieces(lm._laid(lows)):
+            ids, ns = lm._merged(ids, ns, g)
+        assert (ids == grams).all() and ns.sum() == sum(len(x) + 1 for x in lows)
+
+
+def test_listed_grams_are_found():
+    rng = np.random.default_rng(5)
+    grams = np.unique(rng.integers(0, 1 << 56, 3000))
+    table = lm.Listed(grams[::2], np.arange(len(grams[::2]), dtype=np.float32))
+    known, p = table.find(grams)
+    assert (known == (np.arange(len(grams)) % 2 == 0)).all() and (p == table.p).all()
+    assert not lm.Listed(np.zeros(0, np.int64), np.zeros(0, np.float32)).find(grams)[0].any()
 
 
 def test_boosting_and_isotonic():
