@@ -18,7 +18,7 @@ joins over the counts. Both ways give the same figures, so the table's size chan
 ``FREQUENT`` most frequent words are sent and the others joined. So no hot gram or word is shuffled with its
 occurrences; a hot segment is, in rows of a few numbers, and adaptive execution splits its key.
 
-Bounds: 12 bytes for a listed gram; ``HELD`` counts in a counting task. All training rows are counted and used, and
+Bounds: 12 bytes for a listed gram; ``HELD`` counts and ``AT_ONCE`` grams in a counting task. All training rows are counted and used, and
 all texts scored whole, in pieces of ``PIECE`` bytes. Segments are told apart by 64-bit hashes, edges by two.
 
 Defined cases: a null or empty text has the end alone; very long texts are taken in pieces; without training rows
@@ -38,14 +38,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoor.llm import common
 
-ORDER, SURE, SEGMENT = 6, 16, 128
+ORDER, SURE, SEGMENT = 6, 16, 256
 LISTED, FREQUENT = 1 << 22, 100_000
-HELD, HELD_WORDS, PIECE = 2_000_000, 250_000, 1 << 22
+HELD, HELD_WORDS, PIECE = 2_000_000, 400_000, 1 << 22
+#: Grams that are gathered before they are counted.
+AT_ONCE = 6_000_000
+#: Levels of contexts this long or longer are made in one shuffle, by the last so many bytes.
+SUFFIX = 4
 #: Input partitions that one counting task takes, so that more is combined before the shuffle.
 TOGETHER = 4
 #: Rows of an Arrow batch.
@@ -110,6 +114,7 @@ def _counted(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
         ids, ns = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held, size = [], 0
 
         def out(counts, **columns) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(counts), 1 << 16):
@@ -125,7 +130,11 @@ def _counted(docs: DataFrame) -> DataFrame:
             raw, ends = _laid(lows), []
             for places, grams, closes in _pieces(raw):
                 ends.append(places[closes])
-                ids, ns = _merged(ids, ns, grams)
+                held.append(grams)
+                size += len(grams)
+                if size >= AT_ONCE:
+                    ids, ns = _merged(ids, ns, np.concatenate(held))
+                    held, size = [], 0
                 if len(ids) >= HELD:
                     yield from out(ns, gram=ids)
                     ids, ns = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -136,6 +145,8 @@ def _counted(docs: DataFrame) -> DataFrame:
                 yield from out(list(words.values()), word=list(words.keys()))
                 words.clear()
         yield from out(list(words.values()), word=list(words.keys()))
+        if held:
+            ids, ns = _merged(ids, ns, np.concatenate(held))
         yield from out(ns, gram=ids)
 
     spark = docs.sparkSession
@@ -186,66 +197,91 @@ class Listed:
         return keys, ps
 
 
-def _sure(grams: DataFrame, size: int, *more) -> DataFrame:
-    """(context, n, kinds, ...) of the contexts of so many bytes that don't escape for certain."""
-    out = grams.withColumn("context", F.shiftright("gram", 8)).groupBy("context").agg(F.sum("c").alias("n"), F.count("*").alias("kinds"), *more)
-    return out.where(F.col("n") >= SURE) if size else out
+def _levels(counted: DataFrame) -> list[DataFrame]:
+    """For contexts of ``ORDER`` bytes down to none: (context, gram, c, n, kinds), the last two being the context's
+    sum and number of grams. Levels down to ``SUFFIX`` bytes share one shuffle; the shorter ones are small."""
+    out = []
+    by = Window.partitionBy("suffix", "context")  # at most 256 rows each
 
+    def level(rows: DataFrame) -> DataFrame:
+        return rows.select("size", "context", "gram", "c", F.sum("c").over(by).alias("n"), F.count("*").over(by).alias("kinds"))
 
-def listed(counted: DataFrame, most: int | None = None) -> Listed:
-    """The table of the most frequent grams: the most that equally frequent ones allow, up to ``most``."""
+    def placed(rows: DataFrame, size: int) -> DataFrame:
+        gram = rows.withColumn("gram", F.col("gram").bitwiseAND((1 << 8 * (size + 1)) - 1)) if size < ORDER else rows
+        return gram.withColumns({"size": F.lit(size), "context": F.shiftright("gram", 8)})
+
+    def suffixed(rows: DataFrame, size: int) -> DataFrame:
+        return rows.select("gram", "c", F.shiftright("gram", 8).bitwiseAND((1 << 8 * size) - 1).alias("suffix"))
+
+    rows = suffixed(counted.where("gram is not null and segment is null"), SUFFIX).repartition("suffix")
+    long = level(placed(rows, ORDER))
+    for size in range(ORDER - 1, SUFFIX - 1, -1):
+        rows = placed(rows, size).groupBy("suffix", "size", "context", "gram").agg(F.sum("c").alias("c")).select("gram", "c", "suffix")
+        long = long.unionAll(level(placed(rows, size)))
+    long = common.cut(long, "lm-levels")
+    out = [long.where(F.col("size") == size) for size in range(ORDER, SUFFIX - 1, -1)]
+    for size in range(SUFFIX - 1, -1, -1):
+        rows = placed(suffixed(out[-1], size), size).groupBy("suffix", "size", "context", "gram").agg(F.sum("c").alias("c"))
+        out.append(common.cut(level(rows), "lm-level"))
+    return out
+
+
+def _frequency() -> Column:
+    return F.floor(F.log2("c") * 8).cast("int")  # at most 512 classes
+
+
+def listed(level: DataFrame, most: int | None = None) -> tuple[Listed, DataFrame]:
+    """The table of the most frequent grams, the most that equally frequent ones allow up to ``most``, of the
+    longest contexts; and the level's other rows."""
     most = LISTED if most is None else most
-    grams = counted.where("gram is not null and segment is null").select("gram", "c")
-    known = grams.withColumn("context", F.shiftright("gram", 8)).join(_sure(grams, ORDER), "context")
-    kind = F.floor(F.log2("c") * 8).cast("int")  # at most 512 classes of frequency
+    sure = F.col("n") >= SURE
     at_least, total = 0, 0
-    for r in sorted(known.groupBy(kind.alias("kind")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.kind):
+    for r in sorted(level.where(sure).groupBy(_frequency().alias("kind")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.kind):
         total += r.n
         if total > most:
             at_least = r.kind + 1
             break
-    rows = known.where(kind >= at_least).select("gram", F.log10(F.col("c") / (F.col("n") + F.col("kinds"))).cast("float").alias("p")).toArrow()
-    return Listed(np.array(rows.column("gram"), np.int64), np.array(rows.column("p"), np.float32))
+    taken = sure & (_frequency() >= at_least)
+    rows = level.where(taken).select("gram", F.log10(F.col("c") / (F.col("n") + F.col("kinds"))).cast("float").alias("p")).toArrow()
+    return Listed(np.array(rows.column("gram"), np.int64), np.array(rows.column("p"), np.float32)), level.where(~taken)
 
 
-def probabilities(counted: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(gram, p): log10 of the last byte's probability after those before it, for the distinct grams wanted.
+def probabilities(levels: list[DataFrame], wanted: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """(gram, p): log10 of the last byte's probability after those before it, for the distinct grams wanted. ``others``,
+    if given, are the rows of the first level that a wanted gram can have.
 
     What longer contexts offered is what the next longer one did, as their symbols are among its own. So a context's
     share under exclusion follows from its count and kinds, less the sum of its counts and the number of the symbols
-    that the longer one has.
+    that the longer one has. That is looked up only for grams that the context hasn't seen; those that it has are
+    done there, or go on from an unsure context as if it were not.
     """
-    seen = counted.where("gram is not null and segment is null").select("gram", "c")
-    levels = []
-    for size in range(ORDER, -1, -1):
-        low = F.col("gram").bitwiseAND((1 << 8 * size) - 1)
-        shorter = F.sum("c").over(Window.partitionBy(low)) if size else F.lit(0)  # at most 256 rows each
-        levels.append((size, seen, _sure(seen.select("gram", "c", shorter.alias("s")), size, F.sum("s").alias("under"))))
-        if size:
-            seen = seen.groupBy(low.alias("gram")).agg(F.sum("c").alias("c"))
     zero = F.lit(0).cast("long")
-    out = wanted.select("gram", F.lit(None).cast("double").alias("p"), F.lit(0.0).alias("escape"), zero.alias("gone_n"), zero.alias("gone_kinds"))
+    out = wanted.select("gram", F.lit(0.0).alias("escape"), zero.alias("gone_n"), zero.alias("gone_kinds"))
     done = None
-    for size, grams, contexts in levels:
-        if size <= 1:
-            grams, contexts = F.broadcast(grams), F.broadcast(contexts)  # at most 65,536 and 256 rows
+    for k, level in enumerate(levels):
+        size = ORDER - k
+        least = SURE if size else 1
         low = F.col("gram").bitwiseAND((1 << 8 * (size + 1)) - 1)
-        here = out.withColumns({"g": low, "context": F.shiftright(low, 8)}).join(contexts, "context", "left").join(grams.select(F.col("gram").alias("g"), "c"), "g", "left")
-        n, kinds = (F.coalesce(F.col(x) - F.col(f"gone_{x}"), zero) for x in ("n", "kinds"))
-        here = here.withColumns({"left_n": n, "left_kinds": kinds, "c": F.when(F.col("n").isNotNull(), F.col("c"))})
-        whole = F.col("left_n") + F.col("left_kinds")
-        out = here.select(
-            "gram",
-            F.coalesce("p", F.when(F.col("c").isNotNull(), F.col("escape") + F.log10(F.col("c") / whole))).alias("p"),
-            (F.col("escape") + F.when(F.col("left_n") > 0, F.log10(F.col("left_kinds") / whole)).otherwise(0.0)).alias("escape"),
-            F.coalesce("under", zero).alias("gone_n"),
-            F.coalesce("kinds", zero).alias("gone_kinds"),
-        )
-        if size == ORDER:  # most grams end here
-            done = common.cut(out, "lm-grams")
-            out = done.where("p is null")
-    rest = out.select("gram", F.coalesce("p", F.col("escape") - F.log10(F.greatest(SYMBOLS - F.col("gone_kinds"), F.lit(1)))).alias("p"))
-    return done.where("p is not null").select("gram", "p").unionAll(rest)
+        rows = (others if others is not None and not k else level).select(F.col("gram").alias("g"), "c", "n", "kinds")
+        met = common.cut(out.withColumn("g", low).join(F.broadcast(rows) if size <= 1 else rows, "g", "left"), "lm-met")  # at most 65,536 rows of one byte's contexts
+        sure = F.col("n") >= least
+        found = met.where(sure).select("gram", (F.col("escape") + F.log10(F.col("c") / (F.col("n") + F.col("kinds") - F.col("gone_n") - F.col("gone_kinds")))).alias("p"))
+        done = found if done is None else done.unionAll(found)
+        unsure = met.where(F.col("n") < least).select("gram", "escape", zero.alias("gone_n"), zero.alias("gone_kinds"))
+        new = met.where("n is null").select("gram", "escape", "gone_n", "gone_kinds", F.shiftright("g", 8).alias("context"))
+        had = level.where(sure).join(new.select("context").distinct(), "context", "left_semi")
+        if size:
+            shorter = levels[k + 1].select(F.col("gram").alias("g"), F.col("c").alias("s"))
+            had = had.withColumn("g", F.col("gram").bitwiseAND((1 << 8 * size) - 1)).join(shorter, "g")
+        else:
+            had = had.withColumn("s", zero)
+        contexts = had.groupBy("context").agg(F.max("n").alias("n"), F.max("kinds").alias("kinds"), F.sum("s").alias("under"))
+        left_kinds = F.col("kinds") - F.col("gone_kinds")
+        share = left_kinds / (F.col("n") - F.col("gone_n") + left_kinds)
+        escaped = new.join(contexts, "context", "left").select("gram", (F.col("escape") + F.when(left_kinds > 0, F.log10(share)).otherwise(0.0)).alias("escape"), F.coalesce("under", zero).alias("gone_n"), F.coalesce("kinds", zero).alias("gone_kinds"))
+        out = unsure.unionAll(escaped)
+    rest = out.select("gram", (F.col("escape") - F.log10(F.greatest(SYMBOLS - F.col("gone_kinds"), F.lit(1)))).alias("p"))
+    return done.unionAll(rest)
 
 
 def _parts(b: pa.RecordBatch, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
@@ -340,14 +376,16 @@ def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
     whole = totals.n + totals.v + 1
     frequent = words.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
     known = dict(zip(frequent.column("word").to_pylist(), (math.log10((c + 1) / whole) for c in frequent.column("c").to_pylist())))
-    first = _first(docs, known, listed(counted))
+    levels = _levels(counted)
+    table, others = listed(levels[0])
+    first = _first(docs, known, table)
 
     none = F.lit(None).cast("double")
     zero = F.lit(0).cast("long")
     c = F.coalesce("c", zero)
     of_words = first.select("row", F.inline("rare")).join(words, "word", "left").select("row", F.lit(-1).alias("seg"), F.lit(0.0).alias("s"), none.alias("edge"), F.lit(0.0).alias("escape"), (F.col("tf") * F.log10((c + 1) / F.lit(float(whole)))).alias("more"), F.when(c > 0, F.col("tf")).otherwise(0).alias("k"))
     grams = first.select("row", F.inline("grams"))
-    p = probabilities(counted, grams.select("gram").distinct())
+    p = probabilities(levels, grams.select("gram").distinct(), others)
     of_grams = grams.join(p, "gram").select("row", "seg", (F.col("tf") * F.col("p")).alias("s"), none.alias("edge"), F.lit(0.0).alias("escape"), F.lit(0.0).alias("more"), zero.alias("k"))
     edges = counted.where("segment is not null").select(F.col("segment").alias("before"), F.col("gram").alias("own"), "c")
     leaving = edges.groupBy("before").agg(F.sum("c").alias("n"), F.count("*").alias("kinds"))
