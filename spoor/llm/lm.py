@@ -45,9 +45,9 @@ from spoor.llm import common
 
 ORDER, SURE, SEGMENT = 6, 16, 256
 LISTED, FREQUENT = 1 << 22, 100_000
-HELD, HELD_WORDS, PIECE = 2_000_000, 400_000, 1 << 22
+HELD, HELD_WORDS, PIECE = 1_500_000, 200_000, 1 << 22
 #: Grams that are gathered before they are counted.
-AT_ONCE = 6_000_000
+AT_ONCE = 3_000_000
 #: Levels of contexts this long or longer are made in one shuffle, by the last so many bytes.
 SUFFIX = 4
 #: Input partitions that one counting task takes, so that more is combined before the shuffle.
@@ -114,7 +114,13 @@ def _counted(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
         ids, ns = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        held, size = [], 0
+        held, size, pairs = [], 0, []
+
+        def combined() -> Iterator[pa.RecordBatch]:
+            both = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+            both, n = np.unique(both, axis=1, return_counts=True) if both.size else (both, np.zeros(0, np.int64))
+            pairs.clear()
+            yield from out(n, segment=both[0], gram=both[1])
 
         def out(counts, **columns) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(counts), 1 << 16):
@@ -139,8 +145,9 @@ def _counted(docs: DataFrame) -> DataFrame:
                     yield from out(ns, gram=ids)
                     ids, ns = np.zeros(0, np.int64), np.zeros(0, np.int64)
             if ends:
-                before, own, _ = _edges(raw, np.concatenate(ends))
-                yield from out(np.ones(len(own), np.int64), segment=before, gram=own)
+                pairs.append(np.stack(_edges(raw, np.concatenate(ends))[:2]))
+            if sum(x.shape[1] for x in pairs) >= HELD_WORDS:
+                yield from combined()
             if len(words) >= HELD_WORDS:
                 yield from out(list(words.values()), word=list(words.keys()))
                 words.clear()
@@ -148,11 +155,13 @@ def _counted(docs: DataFrame) -> DataFrame:
         if held:
             ids, ns = _merged(ids, ns, np.concatenate(held))
         yield from out(ns, gram=ids)
+        yield from combined()
 
     spark = docs.sparkSession
     picked = docs.select("text")
     fewer = max(spark.sparkContext.defaultParallelism, -(-picked.rdd.getNumPartitions() // TOGETHER))
     rows = picked.coalesce(fewer).mapInArrow(run, "word binary, segment long, gram long, c long")
+    rows = rows.repartition("word", "segment", "gram")  # a task's rows are combined already: no partial aggregate
     with common.batches_of(spark, ROWS):
         counts = rows.groupBy("word", "segment", "gram").agg(F.sum("c").alias("c"))
         return common.cut(counts.where("segment is null or c > 1"), "lm-counts")
