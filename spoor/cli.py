@@ -35,7 +35,7 @@ class Vault:
 
 def ingest(v: Vault, a: argparse.Namespace) -> dict:
     """Parse a chat export's text into messages; what is there already is skipped."""
-    lines = chat.read_lines(v.spark, a.chat, chat.encoding_of(a.chat.removeprefix("file://")))
+    lines = chat.read_lines(v.spark, a.chat, chat.encoding_of(v.spark, a.chat))
     messages = chat.with_ids(chat.parse(lines), F.lit(a.corpus)).withColumn("obra", F.lit(a.corpus))
     inserted, skipped = records.append_new(f"{v.path}/messages", messages, ["obra", "content_hash"])
     return {"inserted": inserted, "skipped": skipped}

@@ -161,11 +161,10 @@ def strip_emoji(c: ColumnOrName) -> tuple[Column, Column]:
 
 
 def excerpt(c: ColumnOrName, most: int) -> Column:
-    """At most so many characters, cut at a word where there is one, with an ellipsis."""
+    """Texts of more than so many characters: three less, cut at the last space where there is one, with an ellipsis."""
     text = col(c)
-    head = F.substring(text, 1, most)
-    word = F.regexp_extract(head, r"(?s)^(.+)\s", 1)
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.when(word != "", word).otherwise(head), F.lit("…")))
+    cut = F.regexp_replace(F.substring(text, 1, most - 3), " [^ ]*$", "")
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(cut, F.lit("…")))
 
 
 def preview(c: ColumnOrName, most: int = 150) -> Column:

@@ -12,6 +12,7 @@ NO_CATEGORY, NO_DATE = "(sem_categoria)", "(sem_data)"
 # Words of contracts and of renegotiation, and what categories become in a chronology.
 CONTRACT_WORDS = ("sinal", "contrato", "50%", "metade", "fechar")
 RENEGOTIATION_WORDS = ("renegociar", "renegociacao", "renegociação", "mudanca", "mudança", "reajuste")
+PAYER, PAYEE = "Pagador", "Recebedor"
 CHRONOLOGY_KINDS = {"pagamento": "pagamento", "contrato": "decisao", "cronograma": "decisao", "material": "mensagem", "servico": "mensagem"}
 
 
@@ -42,11 +43,13 @@ def overview_sample(events: DataFrame, first: int = 30, last: int = 20, days: in
     sizes = dated.groupBy("obra", "day").agg(F.count("*").alias("k"))
     per = Window.partitionBy("obra")
     dense = sizes.withColumn("place", F.row_number().over(per.orderBy(F.desc("k"), "day"))).withColumn("total", F.sum("k").over(per))
-    joined = dated.join(dense.select("obra", "day", "place", "total"), ["obra", "day"])
-    order = (F.col("ts").asc_nulls_first(), F.col("id"))
-    up = joined.withColumn("up", F.row_number().over(per.orderBy(*order)))
-    keep = (F.col("total") <= first + last) | (F.col("place") <= days) | (F.col("up") <= first) | (F.col("up") > F.col("total") - last)
-    return up.where(keep).drop("place", "total", "up")
+    key = F.struct("ts", "id")  # rows without a time come first
+    keyed = dated.withColumn("_k", key)
+    edge = lambda order, n, pick: keyed.select("obra", "_k").withColumn("_r", F.row_number().over(per.orderBy(order))).where(F.col("_r") <= n).groupBy("obra").agg(pick)
+    low, high = edge(F.col("_k"), first, F.max("_k").alias("_low")), edge(F.desc("_k"), last, F.min("_k").alias("_high"))  # ranks are cut before the shuffle
+    joined = keyed.join(dense.select("obra", "day", "place", "total"), ["obra", "day"]).join(low, "obra", "left").join(high, "obra", "left")
+    keep = (F.col("total") <= first + last) | (F.col("place") <= days) | (F.col("_k") <= F.col("_low")) | (F.col("_k") >= F.col("_high"))
+    return joined.where(F.coalesce(keep, F.lit(False))).select(*events.columns, "day")
 
 
 def hints(events: DataFrame, payments: DataFrame) -> DataFrame:
@@ -74,16 +77,20 @@ def ledger(payments: DataFrame) -> DataFrame:
 def chronology(events: DataFrame, payments: DataFrame, most: int = 20) -> DataFrame:
     """Payments first take the room, then events by review and confidence; shown in order of time.
 
-    events have reviewed, confidence, text, category and ts. Of more payments than there is room, the earliest.
+    events have reviewed, confidence, text, category, ts and, it may be, sender; payments may have payer and payee. Of
+    more payments than there is room, the earliest.
     """
-    paid = payments.select("obra", "ts", F.lit("pagamento").alias("kind"), F.concat(money.brl("cents", "R$ "), F.lit(". "), F.trim("description")).alias("content"), F.lit(0).alias("tier"), F.struct(F.lit(0).alias("a"), F.lit(0.0).alias("b"), F.unix_micros(F.col("ts").cast("timestamp")).alias("c"), F.col("id").alias("d")).alias("rank"))
+    has = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast("string")
+    amount = F.concat(money.brl(F.coalesce("cents", F.lit(0)), "R$ "), F.lit(" → "), text.truthy(has(payments, "payee"), F.lit(PAYEE)))
+    content = F.concat(amount, F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit(". "), "description")).otherwise(""))
+    paid = payments.select("obra", "ts", F.lit("pagamento").alias("kind"), text.truthy(has(payments, "payer"), F.lit(PAYER)).alias("author"), content.alias("content"), F.lit(0).alias("tier"), F.struct(F.lit(0).alias("a"), F.lit(0.0).alias("b"), F.unix_micros(F.col("ts").cast("timestamp")).alias("c"), F.col("id").alias("d")).alias("rank"))
     kind = F.lit("mensagem")
     for name, shown in CHRONOLOGY_KINDS.items():
         kind = F.when(F.col("category") == name, shown).otherwise(kind)
     said = events.withColumn("kind", kind).where((F.col("kind") != "pagamento") & (F.length(F.trim("text")) >= 20) & F.col("ts").isNotNull())
-    said = said.select("obra", "ts", "kind", text.excerpt(F.trim("text"), 300).alias("content"), F.lit(1).alias("tier"), F.struct((-F.col("reviewed")).cast("int").alias("a"), (-F.col("confidence")).alias("b"), F.lit(0).cast("bigint").alias("c"), F.col("id").alias("d")).alias("rank"))
+    said = said.select("obra", "ts", "kind", F.coalesce(has(events, "sender"), F.lit("")).alias("author"), text.excerpt(F.trim("text"), 300).alias("content"), F.lit(1).alias("tier"), F.struct((-F.col("reviewed")).cast("int").alias("a"), (-F.col("confidence")).alias("b"), F.lit(0).cast("bigint").alias("c"), F.col("id").alias("d")).alias("rank"))
     placed = paid.unionByName(said).withColumn("place", F.row_number().over(Window.partitionBy("obra").orderBy("tier", "rank")))
-    return placed.where(F.col("place") <= most).select("obra", temporal.br_date("ts").alias("date"), F.date_format("ts", "HH:mm").alias("time"), "kind", "content", "place")
+    return placed.where(F.col("place") <= most).select("obra", temporal.br_date("ts").alias("date"), F.date_format("ts", "HH:mm").alias("time"), "kind", "author", "content", "place")
 
 
 def period(events: DataFrame) -> DataFrame:

@@ -83,6 +83,23 @@ def running_cost(calls: DataFrame, limit: float) -> DataFrame:
     return calls.withColumn("spent_before", before).withColumn("allowed", F.col("spent_before") < limit)
 
 
+def token_bucket(calls: DataFrame, key: str = "endpoint", per_minute: int = 60) -> DataFrame:
+    """Replays a token bucket over each key's calls: (key, id, start, waited), in microseconds.
+
+    A bucket of so many tokens that fills at so many a minute lets a call start when the time at which it would be
+    full again, if calls came evenly, is at most a full bucket ahead. That time is the running greatest of arrival
+    less place times the interval, so a window has it, and no call waits for another's row.
+    """
+    if per_minute <= 0:
+        raise ValueError("a bucket needs a rate above zero")
+    gap = 60_000_000 / per_minute
+    order = Window.partitionBy(key).orderBy("at", "id")
+    placed = calls.select(key, "id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at")).withColumn("place", F.row_number().over(order) - 1)
+    slack = F.max(F.col("at") - F.col("place") * gap).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    start = F.greatest(F.col("at").cast("double"), slack + (F.col("place") - (per_minute - 1)) * gap)
+    return placed.select(key, "id", F.coalesce(start, F.col("at").cast("double")).alias("start"), (F.coalesce(start, F.col("at").cast("double")) - F.col("at")).alias("waited"))
+
+
 def breaker(calls: DataFrame, key: str = "endpoint", failures: int = 5, rest_seconds: int = 300) -> DataFrame:
     """Replays a circuit breaker over each key's calls: (key, id, state before the call, rejected).
 

@@ -128,16 +128,15 @@ _RENEGOTIATED = (
 )
 
 
-@query("j9_renegotiation", oracle(_RENEGOTIATED.replace("{days}", "2"), "happenings"))
+@query("j9_renegotiation", oracle(_RENEGOTIATED.replace("{days}", "30"), "happenings"))
 def j9_renegotiation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With a window of two days: the window is a parameter, and thirty days of one table pair most rows."""
-    return _edge(detectors.contract_renegotiation(table(spark, sf_dir, "happenings"), window=2 * 86400))
+    return _edge(detectors.contract_renegotiation(table(spark, sf_dir, "happenings")))
 
 
-@query("j9_renegotiation_month", oracle(_RENEGOTIATED.replace("{days}", "30"), "happenings"))
+@query("j9_renegotiation_month", oracle(_RENEGOTIATED.replace("{days}", "31"), "happenings"))
 def j9_renegotiation_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the operator's own window of thirty days."""
-    return _edge(detectors.contract_renegotiation(table(spark, sf_dir, "happenings")))
+    """With the longest month for a window."""
+    return _edge(detectors.contract_renegotiation(table(spark, sf_dir, "happenings"), window=31 * 86400))
 
 
 @query(

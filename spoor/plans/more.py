@@ -36,6 +36,104 @@ def j1_hub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hub.events(c, spoken, files, messages, seen, spoken).select("obra", "id", "source_type", "ts", "text")
 
 
+_HUB_TABLES = ("hub_classifications", "hub_files", "hub_messages", "hub_spoken", "hub_seen")
+_STAMP = "CASE st WHEN 'text_message' THEN ts_direct WHEN 'visual_analysis' THEN ts_parent WHEN 'document' THEN ts_parent ELSE coalesce(ts_parent, ts_own, ts_msg) END"
+_HUB_JOINED = _HUB.split(", b AS (SELECT")[0].replace("v.analysis_json FROM c", "v.analysis_json, p.derived_from AS parent_from FROM c")
+
+
+def _hub_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    c, files, messages, spoken, seen = (table(spark, sf_dir, n) for n in _HUB_TABLES)
+    return c, spoken, files, messages, seen, spoken
+
+
+@query(
+    "j2_dossier_events",
+    oracle(
+        _HUB_JOINED
+        + f""", b AS (SELECT *, CASE st WHEN 'text_message' THEN coalesce(direct, '') WHEN 'visual_analysis' THEN coalesce('atividade_em_curso: ' || nullif(analysis_json ->> '$.atividade_em_curso', ''), '(sem conteudo)') WHEN 'document' THEN coalesce(nullif(spoken, ''), '(sem texto extraido)') ELSE coalesce(nullif(human_corrected_text, ''), spoken, '') END AS body FROM j)
+        SELECT obra, id, {_STAMP} AS stamp, st AS source_type, CASE WHEN id % 3 = 1 THEN 'pagamento' ELSE '' END AS primary_category, CASE WHEN id % 3 = 1 THEN 'material' ELSE '' END AS secondary, substr(body, 1, 150) AS content_preview, CASE WHEN length(body) <= 500 THEN body END AS content_full FROM b""",
+        *_HUB_TABLES,
+    ),
+)
+def j2_dossier_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = hub.dossier_events(*_hub_tables(spark, sf_dir))
+    return e.select("obra", "id", "stamp", "source_type", "primary_category", F.array_join("secondary_categories", " ").alias("secondary"), "content_preview", "content_full")
+
+
+@query(
+    "j3_report_events",
+    oracle(
+        _HUB_JOINED
+        + f""", b AS (SELECT *, nullif(human_corrected_text, '') AS fixed, {_STAMP} AS stamp FROM j)
+        SELECT obra, id, stamp, substr(stamp, 1, 10) AS day, CASE st WHEN 'text_message' THEN 'texto' WHEN 'visual_analysis' THEN CASE WHEN parent_from <> '' THEN 'video-frame' ELSE 'imagem' END WHEN 'document' THEN 'pdf' ELSE 'audio' END AS source_kind,
+        CASE st WHEN 'text_message' THEN coalesce(fixed, nullif(direct, ''), '(mensagem vazia)') WHEN 'visual_analysis' THEN coalesce(fixed, analysis_json ->> '$.atividade_em_curso', '') WHEN 'document' THEN coalesce(fixed, nullif(spoken, ''), '(planta/doc com ? paginas, texto digital ausente)') ELSE coalesce(fixed, nullif(spoken, ''), '(texto ausente)') END AS text FROM b""",
+        *_HUB_TABLES,
+    ),
+)
+def j3_report_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hub.report_events(*_hub_tables(spark, sf_dir))
+
+
+@query(
+    "j4_chronology_events",
+    oracle(
+        _HUB_JOINED
+        + """ SELECT obra, id, CAST(substr(coalesce(ts_direct, ts_parent, ts_own, ts_msg), 1, 19) AS TIMESTAMP) AS ts, coalesce(nullif(human_corrected_text, ''), nullif(spoken, ''), nullif(direct, ''), reasoning, '') AS text, CASE WHEN id % 3 = 1 THEN 'pagamento' ELSE '' END AS category, CASE WHEN id % 3 = 1 THEN 'pagamento material' ELSE '' END AS tags, CAST(id % 2 AS INT) AS reviewed, CASE WHEN id % 7 = 0 THEN 0 ELSE 0.5e0 END AS confidence, CASE WHEN direct IS NOT NULL THEN 'Ana' END AS sender FROM j""",
+        *_HUB_TABLES,
+    ),
+)
+def j4_chronology_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, spoken, files, messages, _, _ = _hub_tables(spark, sf_dir)
+    c = c.withColumns({"human_reviewed": (F.col("id") % 2).cast("int"), "confidence_model": F.when(F.col("id") % 7 != 0, 0.5)})
+    e = hub.chronology_events(c, spoken, files, messages.withColumn("sender", F.lit("Ana")))
+    return e.withColumn("tags", F.array_join("tags", " "))
+
+
+@query("t9_text_order", oracle(" SELECT conv_id, turn, row_number() OVER (PARTITION BY obra ORDER BY CASE WHEN turn % 5 = 0 THEN '' ELSE stamp END, conv_id * 1000 + turn) AS place FROM messages", "messages"))
+def t9_text_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times sort as they are written, day before month."""
+    m = table(spark, sf_dir, "messages").withColumns({"id": F.col("conv_id") * 1000 + F.col("turn"), "stamp": F.when(F.col("turn") % 5 != 0, F.col("stamp"))})
+    return m.select("conv_id", "turn", F.row_number().over(Window.partitionBy("obra").orderBy(*hub.by_time_text())).cast("long").alias("place"))
+
+
+@query("f5_dossier_hash", oracle(""" SELECT id, sha256(concat('{"dossier_hash": "', dossier_hash, '", "id": ', id, ', "obra": "', obra, '", "scope_ref": ', coalesce('"' || scope_ref || '"', 'null'), '}')) AS h FROM narratives""", "narratives"))
+def f5_dossier_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "narratives").select("id", F.sha2(records.sorted_json(["obra", "scope_ref", "id", "dossier_hash"]), 256).alias("h"))
+
+
+@query("d11_backfilled", oracle(" SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'old' ELSE substr(sha256(concat(stamp, '||', coalesce(sender, ''), '||', content)), 1, 16) END AS content_hash FROM messages", "messages"))
+def d11_backfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "messages").withColumn("content_hash", F.when(F.col("turn") % 2 == 0, "old").when(F.col("turn") % 3 == 0, ""))
+    return records.backfilled(m, "content_hash", text.content_hash("stamp", "sender", "content")).select("conv_id", "turn", "content_hash")
+
+
+@query("d17_conformed", oracle(" SELECT id, obra, CAST(priority AS BIGINT) AS priority, CAST(NULL AS VARCHAR) AS result_ref FROM tasks", "tasks"))
+def d17_conformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = "id bigint, obra string, priority bigint, result_ref string"
+    return records.conformed(records.conformed(table(spark, sf_dir, "tasks"), schema), schema)
+
+
+@query("s24_log_lines", oracle(""" SELECT id, concat('{"event_type":"cost","api":"', endpoint, '"', CASE WHEN error_type IS NULL THEN '' ELSE concat(',"error_type":"', error_type, '"') END, '}') AS value FROM api_calls""", "api_calls"))
+def s24_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "api_calls")
+    lines = records.log_records(c, "cost", api=F.col("endpoint"), error_type=F.col("error_type"), stage=F.col("id").cast("string"))
+    return lines.select(F.get_json_object("value", "$.stage").cast("long").alias("id"), F.regexp_replace("value", '"stage":"[0-9]+",', "").alias("value"))
+
+
+@query(
+    "token_bucket",
+    oracle(
+        """, a AS (SELECT endpoint, id, epoch_us(created_at) AS t, row_number() OVER (PARTITION BY endpoint ORDER BY created_at, id) - 1 AS k FROM api_calls),
+        w AS (SELECT *, max(t - k * 20000000.0e0) OVER (PARTITION BY endpoint ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS slack FROM a)
+        SELECT endpoint, id, round(coalesce(greatest(t, slack + (k - 2) * 20000000.0e0), t) - t, 0) AS waited FROM w""",
+        "api_calls",
+    ),
+)
+def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three a minute, so that calls of the densest minutes wait."""
+    return usage.token_bucket(table(spark, sf_dir, "api_calls"), per_minute=3).select("endpoint", "id", F.round("waited", 0).alias("waited"))
+
+
 @query("j5_pending_review", oracle(" SELECT c.id, s.text FROM hub_classifications c LEFT JOIN hub_spoken s ON s.obra = c.obra AND s.file_id = c.source_file_id WHERE c.semantic_status = 'pending_review'", "hub_classifications", "hub_spoken"))
 def j5_pending_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "hub_classifications").where("semantic_status = 'pending_review'").withColumnRenamed("source_file_id", "file_id")
@@ -122,9 +220,9 @@ def s17_enqueued(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "files").select("file_id", chat.downstream_task("file_type").alias("task_type")).where("task_type is not null")
 
 
-@query("s22_kept_narratives", oracle(", k AS (SELECT obra, scope, scope_ref, dossier_hash, min(id) AS id FROM narratives WHERE scope_ref IS NOT NULL GROUP BY ALL) SELECT id FROM k", "narratives"))
+@query("s22_kept_narratives", oracle(", k AS (SELECT obra, scope, scope_ref, dossier_hash, min(id) AS id FROM narratives GROUP BY ALL) SELECT id FROM k", "narratives"))
 def s22_kept_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "narratives").where("scope_ref is not null").select("id", "obra", "scope", "scope_ref", "dossier_hash")
+    n = table(spark, sf_dir, "narratives").select("id", "obra", "scope", "scope_ref", "dossier_hash")
     return records.insert_new(n.limit(0), n, ["obra", "scope", "scope_ref", "dossier_hash"], "id").select("id")
 
 
@@ -155,10 +253,22 @@ def set_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("obra").union(h.select("obra")).union(e.select(F.col("primary_event_ref").alias("obra"))).distinct()
 
 
-@query("k13_amounts", oracle(" SELECT id, CASE WHEN id % 4 = 0 THEN 1 ELSE 0 END AS n FROM happenings", "happenings"))
+_TWICE = "concat(text, ' e ', text)"
+
+
+@query(
+    "k13_amounts",
+    oracle(
+        f""", a AS (SELECT id, unnest(regexp_extract_all({_TWICE}, '(?i)R\\$\\s*(\\d{{1,3}}(?:\\.\\d{{3}})+(?:,\\d{{2}})?|\\d+(?:,\\d{{2}})?)', 1)) AS s FROM happenings),
+        c AS (SELECT id, CAST(round(CAST(replace(replace(s, '.', ''), ',', '.') AS DECIMAL(18, 4)) * 100) AS BIGINT) AS cents FROM a)
+        SELECT h.id, count(cents) FILTER (WHERE cents > 0) AS n, CAST(coalesce(sum(cents) FILTER (WHERE cents > 0), 0) AS BIGINT) AS cents FROM happenings h LEFT JOIN c USING (id) GROUP BY 1""",
+        "happenings",
+    ),
+)
 def k13_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.size(money.amounts("text"))
-    return table(spark, sf_dir, "happenings").select("id", F.when((n == 0) & F.col("text").contains("R$ 0,"), 1).otherwise(n).alias("n"))
+    """Every amount stands twice, and both count; amounts of zero don't."""
+    a = money.amounts(F.expr(_TWICE))
+    return table(spark, sf_dir, "happenings").select("id", F.size(a).cast("long").alias("n"), F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y).alias("cents"))
 
 
 @query("k18_naive", oracle(" SELECT event_id AS id, ts AS stamp FROM events", "files"))
@@ -186,15 +296,15 @@ def f23_self_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "narratives").select("id", F.get_json_object(narratives.self_assessment(closed), "$.confidence").alias("confidence"))
 
 
-@query("f31_fold", oracle(" SELECT doc_id, sha256(lower(strip_accents(replace(text, 'ß', 's')))) AS d FROM documents", "files"))
+@query("f31_fold", oracle(" SELECT doc_id, sha256(replace(lower(strip_accents(replace(text, 'ß', '§'))), '§', 'ß')) AS d FROM documents", "files"))
 def f31_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw(spark, sf_dir, "documents").select("doc_id", F.sha2(text.inclusive_fold(F.replace("text", F.lit("ß"), F.lit("s"))), 256).alias("d"))
+    """ß has no accent to lose and stays; DuckDB takes it for an s, so its SQL holds it aside."""
+    return raw(spark, sf_dir, "documents").select("doc_id", F.sha2(text.inclusive_fold("text"), 256).alias("d"))
 
 
-@query("f32_excerpts", oracle(" SELECT doc_id, length(text) <= 300 AS whole, least(length(text), 301) >= 1 AS bounded FROM documents", "files"))
+@query("f32_excerpts", oracle(" SELECT doc_id, CASE WHEN length(text) <= 300 THEN text ELSE concat(regexp_replace(substr(text, 1, 297), ' [^ ]*$', ''), '…') END AS excerpt FROM documents", "files"))
 def f32_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = text.excerpt("text", 300)
-    return raw(spark, sf_dir, "documents").select("doc_id", (e == F.col("text")).alias("whole"), (F.length(e) <= 301).alias("bounded"))
+    return raw(spark, sf_dir, "documents").select("doc_id", text.excerpt("text", 300).alias("excerpt"))
 
 
 @query("f9_strip_emoji", oracle(" SELECT id, text, 2 AS n FROM happenings", "happenings"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spoor.functions import money, temporal, text
-from spoor.operators import dossier, joins, media, narratives, state, usage
+from spoor.operators import correlations, dossier, joins, media, narratives, state, usage
 from spoor.plans.detection import tokens_sql
 from spoor.plans.registry import query
 from spoor.plans.standins import oracle, raw, table
@@ -60,9 +60,9 @@ def d3_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.reset_failed(state.reset_running(table(spark, sf_dir, "tasks"))).select("id", "status", "started_at")
 
 
-@query("d1_moved", oracle(", ev AS (SELECT CAST(event_id AS BIGINT) AS id, ts AS moment, CASE WHEN value > 50 THEN 'done' ELSE 'running' END AS status FROM events WHERE event_id % 2 = 0), l AS (SELECT id, arg_max(status, moment) AS s FROM ev GROUP BY 1) SELECT t.id, coalesce(l.s, t.status) AS status FROM tasks t LEFT JOIN l USING (id)", "tasks"))
+@query("d1_moved", oracle(", ev AS (SELECT CAST(event_id AS BIGINT) AS id, ts AS moment, CASE WHEN value > 50 THEN 'done' ELSE 'running' END AS status FROM events), l AS (SELECT id, arg_max(status, moment) AS s FROM ev GROUP BY 1) SELECT t.id, coalesce(l.s, t.status) AS status FROM tasks t LEFT JOIN l USING (id)", "tasks"))
 def d1_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moves = raw(spark, sf_dir, "events").where("event_id % 2 = 0").select(F.col("event_id").alias("id"), F.col("ts").alias("at"), F.when(F.col("value") > 50, "done").otherwise("running").alias("status"))
+    moves = raw(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("at"), F.when(F.col("value") > 50, "done").otherwise("running").alias("status"))
     return state.moved(table(spark, sf_dir, "tasks"), moves).select("id", "status")
 
 
@@ -125,12 +125,23 @@ def j19_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "analyses").join(f, "file_id").select("id", "file_name")
 
 
-@query("j20_excerpts", oracle("SELECT x.id, substr(coalesce(p.description, h.text), 1, 40) AS excerpt FROM edges x LEFT JOIN payments p ON x.primary_event_ref = concat('fr_', p.id) LEFT JOIN happenings h ON x.primary_event_ref = concat('c_', h.id)", "edges", "payments", "happenings"))
+@query(
+    "j20_excerpts",
+    oracle(
+        """, x AS (SELECT id, obra, primary_event_ref AS ref, CASE WHEN id % 7 = 0 THEN NULL WHEN starts_with(primary_event_ref, 'fr_') THEN 'financial_record' ELSE 'classification' END AS source FROM edges),
+        t AS (SELECT x.id, coalesce(CASE WHEN p.id IS NOT NULL THEN concat('R$ ', format('{:.2f}', p.cents / 100.0e0), ' · ', strftime(p.ts, '%Y-%m-%d'), CASE WHEN p.description <> '' THEN concat(' · ', p.description) ELSE '' END) ELSE h.text END, concat(x.ref, ' (', coalesce(x.source, '—'), ')')) AS s
+              FROM x LEFT JOIN payments p ON x.source = 'financial_record' AND x.ref = concat('fr_', p.id) AND x.obra = p.obra LEFT JOIN happenings h ON x.source = 'classification' AND x.ref = concat('c_', h.id) AND x.obra = h.obra)
+        SELECT id, CASE WHEN length(trim(s)) <= 60 THEN trim(s) ELSE concat(regexp_replace(substr(trim(s), 1, 57), ' [^ ]*$', ''), '…') END AS primary_excerpt FROM t""",
+        "edges",
+        "payments",
+        "happenings",
+    ),
+)
 def j20_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "edges").select("id", "primary_event_ref")
-    p = table(spark, sf_dir, "payments").select(F.concat(F.lit("fr_"), "id").alias("primary_event_ref"), "description")
-    h = table(spark, sf_dir, "happenings").select(F.concat(F.lit("c_"), "id").alias("primary_event_ref"), "text")
-    return e.join(p, "primary_event_ref", "left").join(h, "primary_event_ref", "left").select("id", text.preview(F.coalesce("description", "text"), 40).alias("excerpt"))
+    """At 60 characters, so that many are cut; the operator's own measure is 200."""
+    source = F.when(F.col("id") % 7 == 0, None).when(F.startswith("primary_event_ref", F.lit("fr_")), "financial_record").otherwise("classification")
+    e = table(spark, sf_dir, "edges").withColumn("primary_event_source", source)
+    return correlations.excerpts(e, table(spark, sf_dir, "payments"), table(spark, sf_dir, "happenings"), most=60).select("id", "primary_excerpt")
 
 
 @query("w4_superseded", oracle("SELECT id, file_id, CASE WHEN id < max(id) OVER (PARTITION BY file_id) THEN max(id) OVER (PARTITION BY file_id) END AS superseded_by FROM analyses", "analyses"))
@@ -182,10 +193,10 @@ def d15_batch_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.batch_updates(table(spark, sf_dir, "tasks").select("id", "status"), u, "id", ["status"])
 
 
-@query("s16_insert_new", oracle(", i AS (SELECT event_type, user_id, min(event_id) AS event_id FROM events WHERE event_id % 2 = 1 GROUP BY ALL) SELECT * FROM i WHERE NOT EXISTS (SELECT 1 FROM events x WHERE x.event_id % 10 = 0 AND x.event_type = i.event_type AND x.user_id = i.user_id)", "files"))
+@query("s16_insert_new", oracle(", i AS (SELECT event_type, user_id, min(event_id) AS event_id FROM events WHERE event_id % 10 <> 0 GROUP BY ALL) SELECT * FROM i WHERE NOT EXISTS (SELECT 1 FROM events x WHERE x.event_id % 10 = 0 AND x.event_type = i.event_type AND x.user_id = i.user_id)", "files"))
 def s16_insert_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = raw(spark, sf_dir, "events").select("event_type", "user_id", "event_id")
-    return records.insert_new(e.where("event_id % 10 = 0"), e.where("event_id % 2 = 1"), ["event_type", "user_id"], "event_id")
+    return records.insert_new(e.where("event_id % 10 = 0"), e.where("event_id % 10 <> 0"), ["event_type", "user_id"], "event_id")
 
 
 @query("s18_upsert", oracle(" SELECT event_type, user_id, max(event_id) AS event_id FROM events GROUP BY ALL", "files"))
@@ -248,35 +259,30 @@ def a11_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dossier.ledger(table(spark, sf_dir, "payments"))
 
 
-@query(
-    "t5_chronology",
-    oracle(
-        f""", p AS (SELECT obra, ts, id, 'pagamento' AS kind, concat({_BRL}, '. ', trim(description)) AS content, 0 AS tier, 0 AS a, 0.0e0 AS b, epoch_us(ts) AS c FROM payments WHERE id % 200 = 0),
-        s AS (SELECT obra, ts, id, 'mensagem' AS kind, text AS content, 1 AS tier, -CAST(id % 2 AS INT) AS a, -((id * 7 % 100) / 100.0e0) AS b, 0 AS c FROM happenings WHERE category <> 'pagamento' AND length(trim(text)) >= 20),
-        u AS (SELECT *, row_number() OVER (PARTITION BY obra ORDER BY tier, a, b, c, id) AS place FROM (SELECT * FROM p UNION ALL SELECT * FROM s)) SELECT obra, strftime(ts, '%d/%m/%Y') AS date, strftime(ts, '%H:%M') AS time, kind, content, place FROM u WHERE place <= 20""",
-        "payments",
-        "happenings",
-    ),
-)
+_CHRONOLOGY = f""", p AS (SELECT obra, ts, id, 'pagamento' AS kind, CASE WHEN id % 3 = 0 THEN 'Pagador' ELSE concat('p', id % 50) END AS author, concat({_BRL}, ' → ', CASE WHEN id % 4 = 0 THEN 'Recebedor' ELSE concat('r', id % 40) END, CASE WHEN description <> '' THEN concat('. ', description) ELSE '' END) AS content, 0 AS tier, 0 AS a, 0.0e0 AS b, epoch_us(ts) AS c FROM payments),
+        w AS (SELECT *, trim(concat(text, CASE WHEN id % 5 = 0 THEN repeat(' e mais palavras', 20) ELSE '' END)) AS said FROM happenings),
+        s AS (SELECT obra, ts, id, 'mensagem' AS kind, concat('s', id % 30) AS author, CASE WHEN length(said) <= 300 THEN said ELSE concat(regexp_replace(substr(said, 1, 297), ' [^ ]*$', ''), '…') END AS content, 1 AS tier, -CAST(id % 2 AS INT) AS a, -((id * 7 % 100) / 100.0e0) AS b, 0 AS c FROM w WHERE category <> 'pagamento' AND length(said) >= 20),
+        u AS (SELECT *, row_number() OVER (PARTITION BY obra ORDER BY tier, a, b, c, id) AS place FROM (SELECT * FROM p UNION ALL SELECT * FROM s)) SELECT obra, strftime(ts, '%d/%m/%Y') AS date, strftime(ts, '%H:%M') AS time, kind, author, content, place FROM u WHERE place <= {{most}}"""
+
+
+def _chronology(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
+    i = F.col("id")
+    said = F.concat("text", F.when(i % 5 == 0, F.repeat(F.lit(" e mais palavras"), 20)).otherwise(""))
+    e = table(spark, sf_dir, "happenings").withColumns({"reviewed": (i % 2).cast("int"), "confidence": (i * 7 % 100) / 100.0, "sender": F.concat(F.lit("s"), i % 30), "text": said})
+    p = table(spark, sf_dir, "payments").withColumns({"payer": F.when(i % 3 != 0, F.concat(F.lit("p"), i % 50)), "payee": F.when(i % 4 != 0, F.concat(F.lit("r"), i % 40)).otherwise("")})
+    return dossier.chronology(e, p, most).withColumn("place", F.col("place").cast("long"))
+
+
+@query("t5_chronology", oracle(_CHRONOLOGY.replace("{most}", "20"), "payments", "happenings"))
 def t5_chronology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "happenings").withColumns({"reviewed": (F.col("id") % 2).cast("int"), "confidence": (F.col("id") * 7 % 100) / 100.0})
-    return dossier.chronology(e, table(spark, sf_dir, "payments").where("id % 200 = 0")).withColumn("place", F.col("place").cast("long"))
+    """Over all payments: the earliest take the room."""
+    return _chronology(spark, sf_dir, 20)
 
 
-@query(
-    "t5_chronology_whole",
-    oracle(
-        f""", p AS (SELECT obra, ts, id, 'pagamento' AS kind, concat({_BRL}, '. ', trim(description)) AS content, 0 AS tier, 0 AS a, 0.0e0 AS b, epoch_us(ts) AS c FROM payments),
-        s AS (SELECT obra, ts, id, 'mensagem' AS kind, text AS content, 1 AS tier, -CAST(id % 2 AS INT) AS a, -((id * 7 % 100) / 100.0e0) AS b, 0 AS c FROM happenings WHERE category <> 'pagamento' AND length(trim(text)) >= 20),
-        u AS (SELECT *, row_number() OVER (PARTITION BY obra ORDER BY tier, a, b, c, id) AS place FROM (SELECT * FROM p UNION ALL SELECT * FROM s)) SELECT obra, strftime(ts, '%d/%m/%Y') AS date, strftime(ts, '%H:%M') AS time, kind, content, place FROM u WHERE place <= 20""",
-        "payments",
-        "happenings",
-    ),
-)
+@query("t5_chronology_whole", oracle(_CHRONOLOGY.replace("{most}", "1000"), "payments", "happenings"))
 def t5_chronology_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all payments: the earliest take the room, and messages fill what is left."""
-    e = table(spark, sf_dir, "happenings").withColumns({"reviewed": (F.col("id") % 2).cast("int"), "confidence": (F.col("id") * 7 % 100) / 100.0})
-    return dossier.chronology(e, table(spark, sf_dir, "payments")).withColumn("place", F.col("place").cast("long"))
+    """With more room than a small corpus has payments, which messages fill."""
+    return _chronology(spark, sf_dir, 1000)
 
 
 @query("a17_period", oracle(" SELECT obra, count(*) AS n, strftime(min(ts), '%d/%m/%Y') AS first, strftime(max(ts), '%d/%m/%Y') AS last, CAST(date_diff('day', min(ts), max(ts)) + 1 AS INT) AS days FROM happenings GROUP BY 1", "happenings"))
@@ -494,10 +500,10 @@ def j21_near_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PHASH = "substr(md5(CAST(p_size AS VARCHAR)), 1, 15) || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 1)"
 
 
-@query("j22_near_hashes", oracle(f", h AS (SELECT p_partkey AS id, {_PHASH} AS h FROM part WHERE p_size <= 12) SELECT a.id AS a_id, b.id AS b_id, CAST(bit_count(xor(('0x' || a.h)::UBIGINT, ('0x' || b.h)::UBIGINT)) AS INT) AS distance FROM h a JOIN h b ON a.id < b.id AND bit_count(xor(('0x' || a.h)::UBIGINT, ('0x' || b.h)::UBIGINT)) <= 6", "files"))
+@query("j22_near_hashes", oracle(f", h AS (SELECT p_partkey AS id, {_PHASH} AS h FROM part) SELECT a.id AS a_id, b.id AS b_id, CAST(bit_count(xor(('0x' || a.h)::UBIGINT, ('0x' || b.h)::UBIGINT)) AS INT) AS distance FROM h a JOIN h b ON a.id < b.id AND bit_count(xor(('0x' || a.h)::UBIGINT, ('0x' || b.h)::UBIGINT)) <= 6", "files"))
 def j22_near_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     md5 = lambda c: F.md5(F.col(c).cast("string"))
-    h = raw(spark, sf_dir, "part").where("p_size <= 12").select(F.col("p_partkey").alias("id"), F.concat(F.substring(md5("p_size"), 1, 15), F.substring(md5("p_partkey"), 1, 1)).alias("h"))
+    h = raw(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.substring(md5("p_size"), 1, 15), F.substring(md5("p_partkey"), 1, 1)).alias("h"))
     return joins.near_hashes(h, h, "id", "id", "h", "h").where("a_id < b_id").select("a_id", "b_id", "distance")
 
 
@@ -583,10 +589,20 @@ def f27_frame_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir, "part").select("p_partkey", F.transform(temporal.frame_times(F.col("p_size").cast("double")), lambda x: F.round(x, 6)).alias("at"))
 
 
-@query("f8_truncate", oracle(" SELECT doc_id, length(text) <= 400 AS whole, CASE WHEN length(text) <= 400 THEN length(text) END AS n FROM documents", "files"))
+_CUT = len(text.TRUNCATED)
+
+
+@query(
+    "f8_truncate",
+    oracle(
+        f""", h AS (SELECT doc_id, text, substr(text, 1, {400 - _CUT}) AS head FROM documents),
+        c AS (SELECT *, regexp_extract(head, '(?s)^(.+)\\n\\n', 1) AS paragraph, regexp_extract(head, '(?s)^(.*[.!?])(?:\\s|\\z)', 1) AS sentence, regexp_extract(head, '(?s)^(.+) ', 1) AS word FROM h)
+        SELECT doc_id, CASE WHEN length(text) <= 400 THEN text ELSE concat(CASE WHEN paragraph <> '' THEN paragraph WHEN sentence <> '' THEN sentence WHEN word <> '' THEN word ELSE head END, chr(10), chr(10), '[truncado por limite]') END AS cut FROM c""",
+        "files",
+    ),
+)
 def f8_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = text.smart_truncate("text", 400)
-    return raw(spark, sf_dir, "documents").select("doc_id", (~cut.endswith(text.TRUNCATED)).alias("whole"), F.when(~cut.endswith(text.TRUNCATED), F.length(cut)).cast("long").alias("n"))
+    return raw(spark, sf_dir, "documents").select("doc_id", text.smart_truncate("text", 400).alias("cut"))
 
 
 @query("f4_prompt_hash", oracle(" SELECT id, CASE WHEN coalesce(prompt_template_hash, '') = '' THEN '' ELSE sha256(prompt_template_hash) END AS h FROM narratives", "narratives"))
@@ -594,6 +610,6 @@ def f4_prompt_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "narratives").select("id", text.prompt_hash("prompt_template_hash").alias("h"))
 
 
-@query("k4_documents", oracle(f" SELECT doc_id, CAST(len({tokens_sql("replace(text, 'ß', ' ')")}) AS INT) AS n FROM documents", "files"))
+@query("k4_documents", oracle(f" SELECT doc_id, CAST(len({tokens_sql("replace(text, 'ß', '§')")}) AS INT) AS n FROM documents", "files"))
 def k4_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir, "documents").select("doc_id", F.size(text.scope_tokens("text")).alias("n"))

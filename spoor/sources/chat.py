@@ -36,10 +36,15 @@ TASKS = {"audio": "transcribe", "video": "extract_audio", "image": "visual_analy
 LRM = "\u200e"
 
 
-def encoding_of(path: str, probe: int = 65536) -> str:
-    """utf-8, or latin-1 where the file's first bytes aren't."""
-    with open(path, "rb") as f:
-        head = f.read(probe)
+def encoding_of(spark: SparkSession, path: str, probe: int = 65536) -> str:
+    """utf-8, or latin-1 where the file's first bytes aren't; read through Hadoop's file systems, so from anywhere."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(conf).open(place)
+    try:
+        head = bytes(stream.readNBytes(probe))
+    finally:
+        stream.close()
     try:
         head.decode("utf-8")
     except UnicodeDecodeError as e:

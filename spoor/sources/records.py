@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LOG_SCHEMA = "event_type string, corpus_id string, stage string, api string, cost_usd double, duration_ms long, error_type string, ts string, _corrupt_record string"
 REPLY_SCHEMA = "custom_id string, response struct<status_code:int,body:struct<choices:array<struct<message:struct<content:string>>>,usage:struct<prompt_tokens:long,completion_tokens:long>>>, error struct<message:string>"
@@ -115,3 +117,42 @@ def require(value: dict, keys: list[str], where: str = "") -> dict:
     if missing:
         raise ValueError(f"{where or 'record'} lacks {', '.join(missing)}")
     return value
+
+
+def dossier_hash(dossier: dict) -> str:
+    """SHA-256 of a dossier's sorted form: equal dossiers share it, whatever the order of their keys."""
+    return hashlib.sha256(dump_sorted(dossier).encode()).hexdigest()
+
+
+def sorted_json(columns: list[str]) -> Column:
+    """The sorted form of a flat map of a row's columns, as ``dump_sorted`` writes it: texts, whole numbers, nulls."""
+    quoted = lambda c: F.regexp_replace(F.regexp_replace(F.to_json(F.array(c)), r"^\[", ""), r"\]$", "")
+    parts = [F.concat(F.lit(f"{json.dumps(c, ensure_ascii=False)}: "), F.coalesce(quoted(F.col(c)), F.lit("null"))) for c in sorted(columns)]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+
+
+def backfilled(rows: DataFrame, column: str, value: Column) -> DataFrame:
+    """rows with a column's nulls and empty texts filled in; what is there stays."""
+    return rows.withColumn(column, F.coalesce(F.nullif(F.col(column), F.lit("")), value))
+
+
+def conformed(rows: DataFrame, schema: str) -> DataFrame:
+    """rows under a declared schema: lacking columns are null, others go, types are cast. Applying it again changes
+    nothing, so tables written under any earlier schema read as the present one."""
+    fields = T.StructType.fromDDL(schema)
+    return rows.select(*((F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
+
+
+def log_records(rows: DataFrame, event: str, **fields: Column) -> DataFrame:
+    """Log lines (value) for rows: one event type, the given fields, nulls left out, in the log's order of fields."""
+    known = [f.name for f in T.StructType.fromDDL(LOG_SCHEMA) if f.name != "_corrupt_record"]
+    unknown = set(fields) - set(known)
+    if unknown:
+        raise ValueError(f"the log has no {', '.join(sorted(unknown))}")
+    given = {"event_type": F.lit(event), **fields}
+    return rows.select(F.to_json(F.struct(*(given[k].alias(k) for k in known if k in given))).alias("value"))
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Add log lines to a log folder."""
+    rows.select("value").write.mode("append").text(path)

@@ -4,9 +4,11 @@ import datetime as dt
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from spoor.functions import text
 from spoor.operators import detectors, hub, joins, media, narratives, state, usage
 from spoor.sources import chat, records
 from spoor.streaming import live
@@ -70,7 +72,7 @@ def test_chronology_query_takes_all_payments(spark, tmp_path):
     start = dt.datetime(2026, 4, 4)
     rows = [(i, start + dt.timedelta(minutes=500 - i), 10.0, 1, "purchase") for i in range(1, 26)] + [(i, start, 10.0, 2, "purchase") for i in (31, 32)] + [(57, start, 10.0, 2, "view")]
     spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, value double, user_id bigint, event_type string").write.parquet(f"{tmp_path}/events.parquet")
-    got = __spark_entry__.queries()["t5_chronology_whole"](spark, str(tmp_path)).collect()
+    got = __spark_entry__.queries()["t5_chronology"](spark, str(tmp_path)).collect()
     by = lambda obra: [(r.kind, r.time) for r in sorted(got, key=lambda r: r.place) if r.obra == obra]
     assert by("obra_1") == [("pagamento", (start + dt.timedelta(minutes=500 - i)).strftime("%H:%M")) for i in range(25, 5, -1)]
     assert [k for k, _ in by("obra_2")] == ["pagamento", "pagamento", "mensagem"]
@@ -300,3 +302,41 @@ def test_ground_truth(spark):
     del whole["canal"]["parte_B"]["papel"], whole["contratos"][0]["id"]
     with pytest.raises(ValueError, match=r"canal.parte_B.papel, contratos\[0\].id"):
         truth.validated(whole)
+
+
+def test_token_bucket_replays_the_loop(spark):
+    """Against a bucket that is filled and emptied call by call, over bursts, ties and gaps."""
+    rnd = random.Random(5)
+    start, rows, at = dt.datetime(2026, 1, 1), [], 0.0
+    for i in range(400):
+        at += rnd.choice([0, 0, 0.5, 3, 40, 200])
+        rows.append((i, rnd.choice(["a", "b"]), start + dt.timedelta(seconds=at)))
+    got = {r.id: r.waited / 1e6 for r in usage.token_bucket(spark.createDataFrame(rows, "id long, endpoint string, created_at timestamp_ntz"), per_minute=6).collect()}
+    for key in "ab":
+        tokens, last, now = 6.0, None, 0.0
+        for i, _, stamp in (r for r in rows if r[1] == key):
+            arrived = (stamp - start).total_seconds()
+            now = max(arrived, now)
+            tokens = 6.0 if last is None else min(6.0, tokens + (now - last) * 6 / 60)
+            last = now
+            if tokens < 1:
+                now += (1 - tokens) * 60 / 6
+                tokens, last = 1.0, now
+            tokens -= 1
+            assert abs(got[i] - (now - arrived)) < 1e-3, i
+    with pytest.raises(ValueError):
+        usage.token_bucket(spark.createDataFrame(rows, "id long, endpoint string, created_at timestamp_ntz"), per_minute=0)
+
+
+def test_excerpts_follow_the_rule(spark):
+    """Three characters less than the measure, back to the last space and to no other white space."""
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("ab \n\té.") for _ in range(rnd.randint(0, 60))) for _ in range(400)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", text.excerpt("t", 20).alias("e")).collect()
+    assert {r.i: r.e for r in got} == {i: t if len(t) <= 20 else t[:17].rsplit(" ", 1)[0] + "…" for i, t in enumerate(texts)}
+
+
+def test_encoding_is_read_through_hadoop(spark, tmp_path):
+    for name, content, want in (("a.txt", "olá".encode(), "utf-8"), ("b.txt", "olá mundo".encode("latin-1"), "latin-1"), ("c.txt", b"", "utf-8")):
+        (tmp_path / name).write_bytes(content)
+        assert chat.encoding_of(spark, f"file://{tmp_path}/{name}") == want
