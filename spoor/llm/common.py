@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,18 +26,26 @@ def reachable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one made here where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, one made here for a session that runs
+    in this process alone, as in tests; on a cluster that is an error, as a folder of one machine serves no other."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spoor-')}"
         sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/spoor/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, within this application's own part of it."""
+    return f"{shared_dir(spark)}/spoor/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application: for when no DataFrame made by these operators is used any more."""
+    remove(spark, f"{shared_dir(spark)}/spoor/{spark.sparkContext.applicationId}")
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -75,6 +84,16 @@ def remainder(col: Column | str, mod: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % F.lit(mod)
 
 
+def some_of(rows: DataFrame, label: str, h: str, counts: dict, most: int) -> DataFrame:
+    """Of rows with a hash in column h, for each label about twice ``most``, or all where there are no more than
+    twenty times as many: what an exact choice of ``most`` can then be made from at little cost."""
+    share = F.lit(1 << 20)
+    for value, n in counts.items():
+        if n > 20 * most:
+            share = F.when(F.col(label) == F.lit(value), F.lit(int(2 * most / n * (1 << 20)) + 1)).otherwise(share)
+    return rows.where(F.pmod(F.xxhash64(h), F.lit(1 << 20)) < share)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """A string column's UTF-8 bytes without decoding; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]

@@ -2,15 +2,19 @@
 
 A text is the average embedding of its hashed byte 2- to 4-grams (bytes that are no letters count as word ends).
 The model is trained by stochastic gradient descent in numpy on a bounded sample of labelled rows; a part held
-back sets the softmax temperature, by the number of n-grams, and the confidence below which a prediction is
-rejected.
-
-Bounds: at most ``PER_LANG`` expected training rows for each of the ``MOST_LANGS`` most frequent languages.
-Every text is scored whole.
-
-Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; without any labelled
-row all texts are; ties between languages go to the first in alphabetical order; repeated rows get equal
-predictions; an empty table gives an empty one.
+back sets the softmax temperature by the number of n-grams, and what a prediction needs to be accepted: at that
+size, all but ``REFUSED`` of the held-back rows have such a confidence, and are so familiar. Familiarity is the mean
+log probability of a text's n-grams among those of the predicted language, so it
+tells texts of other languages, code and noise from short ones in a known language, which confidence can't.
+
+Bounds: at most ``PER_LANG`` training rows for each language and about ``IN_ALL`` for all, as hashed n-grams of which a
+text has at most ``BUCKETS``. Every language that occurs among the labels is learned. Every text is scored whole.
+
+Defined cases: a null text, or one without a letter (Unicode's category L), is ``und`` with score 0 and rejected;
+without any labelled row all texts are; very long texts are read in pieces; ties between languages go to the first
+in alphabetical order; repeated rows get equal predictions, and those that share id and text are taken into the
+sample or left out together unless their language has few rows; an empty table gives an empty one; other columns,
+whatever their names, are not read by ``report`` and pass through ``keep_accepted``.
 """
 
 from __future__ import annotations
@@ -21,25 +25,33 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoor.llm import common
 
 BUCKETS, WIDTH = 1 << 14, 16
-PER_LANG, MOST_LANGS = 1000, 256
+PER_LANG, IN_ALL = 1000, 40_000
 EPOCHS, BATCH, RATE, LEAST_STEPS = 8, 32, 4.0, 500
-PRECISION = 0.99
+REFUSED = 0.002
 #: Numbers of n-grams at which confidence is calibrated; short texts are simulated by thinning held-back rows.
 SIZES = (8, 32, 128, 512, 4096)
+#: A letter stands in two or three of a text's n-grams, so a thinned row varies less than a text of its size.
+OVERLAP = 3
+#: The share of probability that is spread over all buckets when n-grams are held to be a language's.
+SPREAD = 0.02
 PIECE = 1 << 20
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
 #: Lower case for A-Z; everything in ASCII that is no letter is a word end.
 _TABLE = bytes(i + 32 if 0x41 <= i <= 0x5A else i if 0x61 <= i <= 0x7A or i >= 0x80 else 0x20 for i in range(256))
 _FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and (_ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text)))
+
+
 def grams(text: bytes) -> np.ndarray:
     """How often each bucket occurs among the text's hashed n-grams."""
     out = np.zeros(BUCKETS, np.float32)
@@ -72,13 +84,27 @@ class Model:
     table: np.ndarray
     bias: np.ndarray
     temperatures: np.ndarray
-    accept: float = 0.0
-
-    def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        t = np.interp(np.log(np.maximum(counts.sum(axis=1), 1)), np.log(SIZES), self.temperatures)
-        p = _softmax((averaged(counts) @ self.table + self.bias) / t[:, None])
+    #: log probability of a bucket in each language, and the least confidence and familiarity by size.
+    logs: np.ndarray | None = None
+    confident: np.ndarray | None = None
+    familiar: np.ndarray | None = None
+
+    def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The language's number, the confidence and the familiarity of each row."""
+        t = np.interp(_size(counts), np.log(SIZES), self.temperatures)
+        x = averaged(counts)
+        p = _softmax((x @ self.table + self.bias) / t[:, None])
         best = p.argmax(axis=1)
-        return best, p[np.arange(len(p)), best]
+        near = (x @ self.logs)[np.arange(len(p)), best] if self.logs is not None else np.zeros(len(p))
+        return best, p[np.arange(len(p)), best], near
+
+    def accepts(self, counts: np.ndarray, p: np.ndarray, near: np.ndarray) -> np.ndarray:
+        size = _size(counts)
+        return (p >= np.interp(size, np.log(SIZES), self.confident)) & (near >= np.interp(size, np.log(SIZES), self.familiar))
+
+
+def _size(counts: np.ndarray) -> np.ndarray:
+    return np.log(np.maximum(counts.sum(axis=1), 1))
 
 
 class Sparse:
@@ -139,17 +165,27 @@ def train(counts: Sparse, y: np.ndarray, langs: list[str], seed: int = 0) -> Mod
                 used = np.flatnonzero(x.any(axis=0))
                 e[used] -= x[:, used].T @ behind
     model = Model(langs, (e @ w).astype(np.float32), b, np.ones(len(SIZES)))
-    target, grid = y[back], np.geomspace(0.1, 8, 40)
+    target, grid = y[back], np.geomspace(0.005, 8, 60)
     for i, size in enumerate(SIZES):
         z = np.concatenate([averaged(thinned(counts[some], size, rng)) @ model.table + b for some in _slices(back)])
         loss = [-np.log(np.maximum(_softmax(z / g)[np.arange(len(target)), target], 1e-12)).mean() for g in grid]
         model.temperatures[i] = grid[int(np.argmin(loss))]
-    best, p = (np.concatenate(c) for c in zip(*(model.predict(counts[some]) for some in _slices(back))))
-    for accept in (1 / k, *np.linspace(max(1 / k, 0.3), 0.9, 13)):
-        on = p >= accept
-        if on.any() and (best[on] == target[on]).mean() >= PRECISION:
-            break
-    model.accept = float(accept)
+    model.logs = np.zeros((BUCKETS, k), np.float32)
+    for lang in range(k):
+        own, total = rows[y[rows] == lang], np.zeros(BUCKETS)
+        for some in _slices(own):
+            total += averaged(counts[some]).sum(axis=0)
+        model.logs[:, lang] = np.log((1 - SPREAD) * total / max(1, len(own)) + SPREAD / BUCKETS)
+    least = []
+    for size in SIZES:
+        got = []
+        for some in _slices(back):
+            x = thinned(counts[some], max(2, size // OVERLAP), rng)
+            best, p, near = model.predict(x)
+            got.append(np.stack([p, near])[:, x.any(axis=1)])
+        at = np.quantile(np.concatenate(got, axis=1), REFUSED, axis=1, method="lower") if any(g.size for g in got) else np.array([0.0, -np.inf])
+        least.append(at)
+    model.confident, model.familiar = np.array(least).T
     return model
 
 
@@ -157,47 +193,50 @@ def fit(docs: DataFrame, labelled: DataFrame | None = None) -> Model | None:
     """Train on a bounded sample of docs' rows with a language; labelled, if given, are the rows to learn from."""
     common.reachable(docs.sparkSession)
     known = (docs if labelled is None else labelled).where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, PER_LANG / n) * (1 << 20)))).otherwise(share)
-    taken = known.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("langid")), F.lit(1 << 20)) < share)
+    each = max(20, min(PER_LANG, IN_ALL // len(counts)))
+    taken = common.some_of(known.select(F.xxhash64("doc_id", "text", F.lit("langid")).alias("h"), "text", "lang"), "lang", "h", counts, each)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [grams(t) for t in common.as_bytes(b.column(1))]
             hit = [np.flatnonzero(g) for g in got]
-            columns = [b.column(0).cast(pa.string()), b.column(2), pa.array([h.astype("<u2").tobytes() for h in hit], pa.binary()), pa.array([g[h].astype("<f4").tobytes() for g, h in zip(got, hit)], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "lang", "at", "n"])
+            columns = [b.column(0), b.column(2), pa.array([h.astype("<u2").tobytes() for h in hit], pa.binary()), pa.array([g[h].astype("<f4").tobytes() for g, h in zip(got, hit)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "lang", "at", "n"])
 
-    sample = sorted(taken.mapInArrow(run, "id string, lang string, at binary, n binary").collect(), key=lambda r: (r.id or "", r.lang, r.at))
-    if not sample:
-        return None
+    counted = taken.mapInArrow(run, "h long, lang string, at binary, n binary")
+    by = Window.partitionBy("lang").orderBy("h", "at", "n")
+    sample = counted.withColumn("k", F.row_number().over(by)).where(F.col("k") <= each).drop("k").collect()
     langs = sorted({r.lang for r in sample})
+    sample = sorted(sample, key=lambda r: (r.h, r.lang, r.at, r.n))
     rows = Sparse([(np.frombuffer(r.at, "<u2"), np.frombuffer(r.n, "<f4")) for r in sample])
-    return train(rows, np.array([langs.index(r.lang) for r in sample]), langs)
+    return train(rows, np.array([langs.index(r.lang) for r in sample]), langs) if sample else None
+
+
+def _judged(texts: list[str | None], m: Model | None) -> tuple[list[str], list[float], list[bool]]:
+    lang, score, accepted = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
+    known = [i for i, t in enumerate(texts) if m and has_letter(t)]
+    for at in range(0, len(known), 64):
+        part = known[at : at + 64]
+        counts = np.stack([grams(texts[i].encode("utf-8", "surrogatepass")) for i in part])
+        best, p, near = m.predict(counts)
+        for i, k, q, on in zip(part, best.tolist(), p.tolist(), m.accepts(counts, p, near).tolist()):
+            lang[i], score[i], accepted[i] = m.langs[k], min(1.0, q), on
+    return lang, score, accepted
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score, accepted) for every row of docs."""
     spark = docs.sparkSession
     common.reachable(spark)
-    sent = spark.sparkContext.broadcast(model)  # BUCKETS x at most MOST_LANGS floats
+    sent = spark.sparkContext.broadcast(model)  # two floats for each of BUCKETS and language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
         for b in batches:
-            texts = b.column(1).to_pylist()
-            lang, score, accepted = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
-            known = [i for i, t in enumerate(texts) if m and t and _LETTER.search(t)]
-            for at in range(0, len(known), 64):
-                part = known[at : at + 64]
-                best, p = m.predict(np.stack([grams(texts[i].encode()) for i in part]))
-                for i, k, q in zip(part, best.tolist(), p.tolist()):
-                    lang[i], score[i], accepted[i] = m.langs[k], min(1.0, q), q >= m.accept
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang), pa.array(score, pa.float64()), pa.array(accepted)], ["doc_id", "lang_pred", "score", "accepted"])
+            lang, score, accepted = _judged(b.column(1).to_pylist(), sent.value)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], ["doc_id", "lang_pred", "score", "accepted"])
 
     picked = docs.select("doc_id", "text")
     return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, accepted boolean")
@@ -209,23 +248,14 @@ def report(docs: DataFrame) -> DataFrame:
     return predict(docs, model).select("doc_id", (common.remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "accepted")
 
 
-def keep_accepted(docs: DataFrame) -> DataFrame:
-    """docs without the rows that the classifier rejects, in one pass: all columns travel through it."""
-    model = fit(docs)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def keep_accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """docs without the rows that the classifier rejects, in one pass: all columns travel through it. Without a
+    model one is fitted on docs."""
+    sent = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
         for b in batches:
-            texts = b.column(at).to_pylist()
-            on = [False] * len(texts)
-            known = [i for i, t in enumerate(texts) if m and t and _LETTER.search(t)]
-            for k in range(0, len(known), 64):
-                part = known[k : k + 64]
-                p = m.predict(np.stack([grams(texts[i].encode()) for i in part]))[1]
-                for i, q in zip(part, p.tolist()):
-                    on[i] = q >= m.accept
-            yield b.filter(pa.array(on))
+            yield b.filter(pa.array(_judged(b.column(at).to_pylist(), sent.value)[2], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
