@@ -2,35 +2,36 @@
 
 Features: densities of a seed and of a learned lexicon, nearness of their words to the second person,
 capitals, exclamation and other punctuation, and obfuscation (letters mixed with signs, and lexicon words
-found behind them). A bounded sample of labelled rows is dealt into three parts: the first gives the learned
+found behind them). A bounded sample of labelled rows is dealt by hash into three parts: the first gives the learned
 lexicon, the second fits the trees, the third calibrates. Near copies in the first part count once, so that
-a copied text doesn't put its own words into the lexicon.
+a copied text doesn't put its own words into the lexicon. Words are counted and features made on the executors;
+the driver sees the lexicon and the sample's features.
 
-Bounds: ``SAMPLE`` expected labelled rows for each label, of at most ``SAMPLE_CHARS`` characters, and
-``LEXICON`` learned words. Every text is scored whole.
+Bounds: ``SAMPLE`` labelled rows for each label, of any length, and ``LEXICON`` learned words. Every text is scored whole.
 
-Defined cases: null and wordless texts have no words and get the score of all-zero features; without labels of
-both kinds the prior of one half is used for every text; a document with several labels is toxic if one is;
-repeated rows get equal scores; an empty table gives an empty one.
+Defined cases: null and wordless texts have no words; an empty text, or one of blanks, gets the score of all-zero
+features; very long texts are read whole, in linear time; without labels of both kinds the prior of one half is used
+for every text; a document with several labels is toxic if one is; repeated rows get equal scores, and count in the
+sample as rows; ties in the lexicon go to the lesser word; an empty table gives an empty one; other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoor.llm import common
 from spoor.llm.boosting import Trees, boost, isotonic
 
-SAMPLE, SAMPLE_CHARS, LEXICON = 3000, 200_000, 4000
+SAMPLE, LEXICON, PARTS = 3000, 4000, 3
 THRESHOLD = 0.7
 OPENINGS = (4, 5, 6, 7)
 NEAR = 6
@@ -76,9 +77,9 @@ def features(text: str, learned: dict[str, float], stems: dict[str, float]) -> l
         sum(weights),
         max(weights, default=0.0),
         near,
-        (size - len(raw.translate(None, _UPPER))) / size,
+        (len(raw) - len(raw.translate(None, _UPPER))) / size,
         raw.count(b"!") / n,
-        (size - len(raw.translate(None, _MARKS))) / size,
+        (len(raw) - len(raw.translate(None, _MARKS))) / size,
         len(mixed) / n,
         hidden,
         float(np.log1p(len(words))),
@@ -97,58 +98,74 @@ class Model:
 
 
 def _signature(words: list[str]) -> list[int]:
-    """Three least hashes of five-word shingles; near copies share one nearly always."""
-    grams = {xxhash.xxh64_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))}
-    return sorted(grams)[:3]
-
-
-def lexicon(rows: list[tuple[str, int]], most: int = LEXICON) -> dict[str, float]:
-    """Words with their smoothed log odds of standing in toxic documents, where those are high."""
-    seen: set[int] = set()
-    counts, totals = (Counter(), Counter()), [0, 0]
-    for text, label in rows:
-        words = _WORD.findall(text.lower())
-        marks = _signature(words)
-        if seen.intersection(marks):
-            continue
-        seen.update(marks)
-        totals[label] += 1
-        counts[label].update({e for w in set(words) for e in (w, *_openings(w))})
-    scored = {}
-    for w, k in counts[1].items():
-        if k >= max(3, 0.008 * totals[1]):
-            odds = float(np.log((k + 0.1) / (totals[1] + 1)) - np.log((counts[0][w] + 0.1) / (totals[0] + 1)))
-            if odds > 2.5:
-                scored[w] = odds
-    return dict(sorted(scored.items(), key=lambda x: (-x[1], x[0]))[:most])
-
-
-def train(rows: list[tuple[str, int]]) -> Model | None:
-    """Fit on (text, label) rows, dealt into three parts by their order."""
-    if len({y for _, y in rows}) < 2:
+    """Three least hashes of five-word shingles, signed; near copies share one nearly always."""
+    grams = {xxhash.xxh64_intdigest(" ".join(words[i : i + 5]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 4))}
+    return np.array(sorted(grams)[:3], np.uint64).view(np.int64).tolist()
+
+
+def sample(docs: DataFrame, labels: DataFrame, most: int | None = None) -> DataFrame | None:
+    """(h, part, text, toxic): at most so many labelled rows of either label, chosen by a hash of the label's id and
+    then of the row's id and text; null without both labels."""
+    most = SAMPLE if most is None else most
+    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(counts) < 2:
         return None
-    parts = [rows[k::3] for k in range(3)] if len(rows) >= 30 else [rows] * 3
-    if any(len({y for _, y in p}) < 2 for p in parts):
-        parts = [rows] * 3
-    found = lexicon(parts[0])
-    learned, stems = {w: o for w, o in found.items() if w[-1] != "~"}, {w[:-1]: o for w, o in found.items() if w[-1] == "~"}
-    fitted, held = ([np.array(v, float) for v in ([features(t, learned, stems) for t, _ in p], [k for _, k in p])] for p in parts[1:])
-    trees = boost(*fitted)
-    return Model(learned, trees, isotonic(trees.margin(held[0]), held[1]), stems)
+    first = lambda df: df.withColumn("k", F.row_number().over(Window.partitionBy("toxic").orderBy("h"))).where(F.col("k") <= most).drop("k")
+    chosen = first(common.some_of(known.withColumn("h", F.xxhash64("doc_id", F.lit("toxicity"))), "toxic", "h", counts, most)).drop("h")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 * SAMPLE ids
+    rows = rows.select(F.xxhash64("doc_id", "text", F.lit("row")).alias("h"), "text", "toxic")
+    return common.cut(first(rows).withColumn("part", F.pmod("h", F.lit(PARTS)).cast("int")), "toxicity-sample")
+
+
+def lexicon(rows: DataFrame, most: int = LEXICON) -> dict[str, float]:
+    """Words and openings with their smoothed log odds of standing in toxic documents, where those are high."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [_WORD.findall(t.lower()) for t in common.texts(b.column(2))]
+            entries = [sorted({e for w in set(ws) for e in (w, *_openings(w))}) for ws in words]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_signature(ws) for ws in words], pa.list_(pa.int64())), pa.array(entries, pa.list_(pa.string()))], ["h", "toxic", "marks", "entries"])
+
+    each = common.cut(rows.select("h", "toxic", "text").mapInArrow(run, "h long, toxic int, marks array<long>, entries array<string>"), "toxicity-words")
+    marks = each.select("h", F.explode("marks").alias("mark"))
+    copies = marks.join(marks.groupBy("mark").agg(F.min("h").alias("least")), "mark").where("h <> least").select("h").distinct()
+    single = each.dropDuplicates(["h"]).join(copies, "h", "left_anti")
+    n = {r.toxic: r.n for r in single.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    in_toxic, in_other = (F.count_if(F.col("toxic") == y).alias(c) for y, c in ((1, "k"), (0, "other")))
+    odds = F.log((F.col("k") + 0.1) / (n.get(1, 0) + 1)) - F.log((F.col("other") + 0.1) / (n.get(0, 0) + 1))
+    found = single.select("toxic", F.explode("entries").alias("w")).groupBy("w").agg(in_toxic, in_other)
+    found = found.where(F.col("k") >= max(3, 0.008 * n.get(1, 0))).select("w", odds.alias("odds")).where("odds > 2.5")
+    return {r.w: r.odds for r in found.orderBy(F.desc("odds"), "w").limit(most).collect()}
+
+
+def _described(rows: DataFrame, learned: dict[str, float], stems: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+    sent = rows.sparkSession.sparkContext.broadcast((learned, stems))  # LEXICON words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t, *sent.value) for t in common.texts(b.column(2))], pa.list_(pa.float64()))], ["h", "toxic", "x"])
+
+    got = sorted(rows.select("h", "toxic", "text").mapInArrow(run, "h long, toxic int, x array<double>").collect(), key=lambda r: (r.h, r.toxic, r.x))  # 2 * SAMPLE rows at most
+    return np.array([r.x for r in got]), np.array([r.toxic for r in got], float)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Train on a bounded sample of labelled documents."""
-    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if len(counts) < 2:
+    common.reachable(docs.sparkSession)
+    rows = sample(docs, labels)
+    if rows is None:
+        return None
+    there = rows.groupBy("part", "toxic").count().collect()
+    if len({r.toxic for r in there}) < 2:
         return None
-    share = F.when(F.col("toxic") == 1, F.lit(int(min(1.0, SAMPLE / counts[1]) * (1 << 20)))).otherwise(F.lit(int(min(1.0, SAMPLE / counts[0]) * (1 << 20))))
-    chosen = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")), F.lit(1 << 20)) < share)
-    short = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
-    rows = short.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("string").alias("id"), "text", "toxic").collect()  # chosen: 2 * SAMPLE rows expected
-    ordered = sorted(((xxhash.xxh64_intdigest(r.id), r.id, r.text, r.toxic) for r in rows), key=lambda r: (r[3], *r[:3]))
-    return train([(text, int(toxic)) for _, _, text, toxic in ordered])
+    whole = sum(r["count"] for r in there) < 30 or len(there) < 2 * PARTS  # too few to deal out: all rows serve for each
+    part = lambda k: rows if whole else rows.where(F.col("part") == k)
+    found = lexicon(part(0))
+    learned, stems = {w: o for w, o in found.items() if w[-1] != "~"}, {w[:-1]: o for w, o in found.items() if w[-1] == "~"}
+    fitted, held = (_described(part(k), learned, stems) for k in (1, 2))
+    trees = boost(*fitted)
+    return Model(learned, trees, isotonic(trees.margin(held[0]), held[1]), stems)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
