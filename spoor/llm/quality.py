@@ -1,33 +1,43 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule's cost (seconds) and selectivity (share of rows it rejects) are estimated on a bounded sample; the
-verdict is one CASE whose branches stand in the order of rejection per cost, so a row pays for a rule only
-when no earlier one has rejected it. The order changes the cost alone: a row is kept if no rule rejects it.
+Each rule's cost (seconds a row) and the rows it rejects are estimated on a bounded sample of the whole table; the
+verdict is one CASE whose branches stand in the order of rejection per cost, so a row pays for a rule only when no
+earlier one has rejected it. Rejection is that of rows which the rules before have left: the order is made one rule
+at a time. The base's two rules stand in the cascade like the others, and repeated windows, the dearest measure, are
+sought only in rows that no earlier rule has rejected, unless a report wants the measure of every row. The order
+changes the cost alone: a row is kept if no rule rejects it.
+
+A rule is timed over the sample repeated ``REPEATS`` times, less the time of a rule that costs nothing; costs under
+``LEAST_COST`` are held to be equal, as scheduling varies by more.
 
 Measures are per row: no shuffle, and no group to be skewed. Repeated 8-word windows are found by 64-bit
 hashes of the windows; only texts with an equal pair sort their windows.
 
-Defined cases: a null text has no words and fails; an empty table gives an empty one and keeps the rules'
-given order; other columns, whatever their names, pass through keep().
+Defined cases: a null or empty text has no words and fails; very long texts are measured whole, and leave the sample
+beyond ``SAMPLE_CHARS`` characters; repeated rows are judged each; ties between rules keep their given order; an empty
+table gives an empty one and keeps that order too; other columns, whatever their names, pass through keep().
 """
 
 from __future__ import annotations
 
 import time
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoor.llm import common
 
-SAMPLE_ROWS, SAMPLE_CHARS = 400, 1 << 18
+SAMPLE_ROWS, SAMPLE_CHARS = 400, 1 << 16
+REPEATS, LEAST_COST = 25, 4e-6
 SPAN = 8
 _SPACE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]"
 
 
-def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs as the struct ``row``, and beside it the measures that rules read."""
+def measures(docs: DataFrame, text_col: str = "text", unless: Column | None = None) -> DataFrame:
+    """docs as the struct ``row``, and beside it the measures that rules read. Where ``unless``, a condition on the
+    other measures, holds, repeated windows aren't sought and count as none."""
     t = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     words = t.withColumn("words", F.array_remove(F.split("t", f"{_SPACE}+"), ""))
     lines = words.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(_WORD)))
@@ -42,7 +52,8 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
     )
     keep = [c for c in counted.columns]
-    starts = F.when(F.col("n_words") > SPAN, F.sequence(F.lit(1), F.col("n_words").cast("int") - (SPAN - 1))).otherwise(F.array().cast("array<int>"))
+    long = F.col("n_words") > SPAN
+    starts = F.when(long if unless is None else long & ~F.coalesce(unless, F.lit(False)), F.sequence(F.lit(1), F.col("n_words").cast("int") - (SPAN - 1))).otherwise(F.array().cast("array<int>"))
     hashed = counted.select(*keep, F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, SPAN))).alias("h"))
     none = F.array().cast("array<struct<x:bigint,i:int>>")
     placed = F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
@@ -53,8 +64,13 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return found.select(*keep, covered.cast("long").alias("n_repeat_words"))
 
 
+#: The rule whose measure is made only for rows that reach it.
+REPEATED = "repeated_windows"
+
+
 def base_failed() -> Column:
-    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    named = rules()
+    return named["few_words"] | named[REPEATED]
 
 
 def _only(pattern: str) -> Column:
@@ -62,8 +78,11 @@ def _only(pattern: str) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """name -> whether a row is rejected. Expressions over the text itself cost only rows that reach them."""
+    """name -> whether a row is rejected, the base's rules first. Expressions over the text itself cost only rows that
+    reach them."""
     return {
+        "few_words": F.col("n_words") < 20,
+        REPEATED: 100 * F.col("n_repeat_words") > 30 * F.col("n_words"),
         "symbols": 10 * F.col("n_symbols") > F.col("n_words"),
         "duplicate_lines": 2 * F.col("n_dup_lines") > F.col("n_lines"),
         "word_length": (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words")),
@@ -73,26 +92,51 @@ def rules() -> dict[str, Column]:
     }
 
 
-def order(docs: DataFrame, named: dict[str, Column], text_col: str = "text", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[str]:
-    """Rule names by rejections per second on a sample of at most ``rows`` rows of at most ``chars`` characters."""
-    spark = docs.sparkSession
-    short = docs.select(F.col(text_col).alias("text")).where(F.length("text") <= chars)
-    taken = short.sample(0.5, seed=7).limit(rows).collect()  # stops at the first partitions that suffice
-    if not taken:
-        return list(named)
-    sample = common.cut(measures(spark.createDataFrame(taken, "text string")).drop("row"), "quality-sample")
+def _sampled(docs: DataFrame, text_col: str, rows: int, chars: int) -> DataFrame:
+    """Texts of at most ``rows`` rows of the whole table, by a hash of the text, written as a table."""
+    n = docs.count()  # for Parquet, from its footers
+    some = docs.select(F.col(text_col).alias("text")).sample(min(1.0, 20 * rows / max(1, n)), seed=7).where(F.length("text") <= chars)
+    return common.cut(some.orderBy(F.xxhash64("text", F.lit("quality"))).limit(rows).repartition(1), "quality-sample")
 
-    def seconds(c: Column) -> tuple[float, int]:
-        began = time.perf_counter()
-        n = sample.agg(F.count_if(c)).first()[0]
-        return time.perf_counter() - began, n
 
-    idle = min(seconds(F.col("n_words") < 0)[0] for _ in range(2))
-    scores = {}
+def costs(sample: DataFrame, named: dict[str, Column], repeats: int = REPEATS) -> dict[str, float]:
+    """Seconds a row that each rule takes, over measured texts; REPEATED's includes making its measure."""
+    again = lambda df, times: df.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(times)))).drop("again")
+    few = max(1, repeats // 8)  # windows take long enough
+    plain, whole = again(common.cut(measures(sample).drop("row", "n_repeat_words"), "quality-measures"), repeats), again(sample, few)
+    n = max(1, sample.count())
+
+    def seconds(df: DataFrame, c: Column) -> float:
+        took = []
+        for _ in range(2):
+            began = time.perf_counter()
+            df.agg(F.count_if(c)).collect()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    idle, made = seconds(plain, F.col("n_words") < 0), seconds(measures(whole), F.col("word_chars") + F.col("n_lines") < 0)
+    out = {}
     for k, c in named.items():
-        took, n = seconds(c)
-        scores[k] = n / max(took - idle, 1e-3)
-    return sorted(named, key=lambda k: -scores[k])
+        took = (seconds(measures(whole), c) - made) / few if k == REPEATED else (seconds(plain, c) - idle) / repeats
+        out[k] = max(took / n, LEAST_COST)
+    return out
+
+
+def order(docs: DataFrame, named: dict[str, Column], text_col: str = "text", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[str]:
+    """Rule names by rejections per cost among the rows that the rules before have left, on a sample."""
+    sample = _sampled(docs, text_col, rows, chars)
+    flags = [F.coalesce(c, F.lit(False)).alias(f"r{i}") for i, c in enumerate(named.values())]
+    seen = [(r[:-1], r[-1]) for r in measures(sample).groupBy(*flags).count().collect()]  # at most a row of the sample each
+    if not seen:
+        return list(named)
+    cost, left, out = costs(sample, named), list(named), []
+    while left:
+        at = {k: i for i, k in enumerate(named)}
+        best = max(left, key=lambda k: (sum(n for f, n in seen if f[at[k]]) / cost[k], -cost[k], -at[k]))
+        out.append(best)
+        left.remove(best)
+        seen = [(f, n) for f, n in seen if not f[at[best]]]
+    return out
 
 
 def cascade(named: dict[str, Column], names: list[str]) -> Column:
@@ -103,13 +147,15 @@ def cascade(named: dict[str, Column], names: list[str]) -> Column:
     return verdict.otherwise(F.lit(True)) if names else F.lit(True)
 
 
-def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs as the struct ``row`` with its measures, base_failed and kept."""
+def judge(docs: DataFrame, text_col: str = "text", every: bool = True) -> DataFrame:
+    """docs as the struct ``row`` with its measures, base_failed and kept. Unless every row's measures are wanted,
+    repeated windows are sought only where the verdict needs them."""
     named = rules()
     names = order(docs, named, text_col)
-    judged = measures(docs, text_col).withColumn("base_failed", base_failed())
-    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(named, names))
-    return judged.withColumn("kept", kept)
+    before = [F.coalesce(named[k], F.lit(False)) for k in names[: names.index(REPEATED)]]
+    unless = reduce(Column.__or__, before) if before and not every else None
+    judged = measures(docs, text_col, unless).withColumn("base_failed", base_failed())
+    return judged.withColumn("kept", cascade(named, names))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -120,11 +166,11 @@ def report(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs that no rule rejects.
 
-    The random column holds the filter above the measures: pushed below them, it would repeat the measures'
-    expressions inside one another, and split a text once for each of its windows.
+    A filter moves below columns made of its row alone, and would repeat the measures' expressions inside one another
+    there, splitting a text once for each of its windows. The task's number isn't of the row, so the filter stays.
     """
-    held = judge(docs, text_col).withColumn("hold", F.rand())
-    return held.where(F.col("kept") & (F.col("hold") >= 0)).select("row.*")
+    held = judge(docs, text_col, every=False).withColumn("task", F.spark_partition_id())
+    return held.where(F.col("kept") & (F.col("task") >= 0)).select("row.*")
 
 
 SQL = r"""
