@@ -43,8 +43,8 @@ from pyspark.sql import functions as F
 
 from spoor.llm import common
 
-ORDER, SURE, SEGMENT = 6, 16, 256
-LISTED, FREQUENT = 1 << 22, 100_000
+ORDER, SURE, SEGMENT = 6, 16, 512
+LISTED, FREQUENT = 1 << 22, 150_000
 HELD, HELD_WORDS, PIECE = 1_500_000, 200_000, 1 << 22
 #: Grams that are gathered before they are counted.
 AT_ONCE = 3_000_000
@@ -203,6 +203,7 @@ class Listed:
             own = keys[at] == left
             ps[at[own]] = p[own]
             left, p, at = left[~own], p[~own], at[~own] + 1 & (1 << bits) - 1
+        self.grams, self.p = keys[:0], ps[:0]  # a worker needs them no more
         return keys, ps
 
 
