@@ -169,10 +169,68 @@ def test_pii(docs, texts):
 
 
 def test_weak_supervision():
-    counts = {"phone|1,1,1,1,0,0,1|2": 900, "phone|0,1,0,1,0,0,1|1": 60, "phone|0,-1,-1,0,-1,0,-1|1": 500, "phone|0,1,0,0,0,0,1|1": 80}
-    p = pii.train(counts)
-    assert p["phone|1,1,1,1,0,0,1|2"] > 0.9 > 0.1 > p["phone|0,-1,-1,0,-1,0,-1|1"]
-    assert pii.train({}) == {}
+    yes, no = "phone|0,1,1,0,1,0,0,1", "phone|0,-1,-1,0,0,-1,0,1"
+    counts = {"phone|1,1,1,1,1,0,0,1": 300, yes: 400, "phone|0,0,1,0,1,0,0,1": 60, no: 700, "phone|0,-1,0,0,0,-1,0,1": 300}
+    p = pii.reliabilities(counts)
+    assert p[yes] > 0.9 > 0.1 > p[no]
+    assert pii.reliabilities({}) == {} and pii._likely([(3, 0, 9, [1, 2])], pii.train([])) == []
+
+
+def planted(n, seed):
+    """Texts with personal data that the base patterns miss (want) and with what only looks like it (decoys)."""
+    rnd = random.Random(seed)
+    d = lambda k: "".join(rnd.choice("0123456789") for _ in range(k))
+    say = lambda: " ".join(rnd.choices("the house on hill was sold to our friend with great care and joy".split(), k=rnd.randint(3, 9)))
+    name = lambda: rnd.choice(["anna", "j.smith", "rui", "marie", "otto99"])
+    host = lambda: rnd.choice(["mail", "post", "example", "corp-x"])
+    wants = [
+        lambda: ("email", rnd.choice(["write to", "e-mail", "contact"]), f"{name()} [at] {host()} [dot] {rnd.choice(['com', 'org', 'de'])}"),
+        lambda: ("email", "send it to", f"{name()} at {host()} dot {rnd.choice(['com', 'net'])}"),
+        lambda: ("phone", rnd.choice(["call", "phone", "tel"]), f"({rnd.randint(201, 989)}) {rnd.randint(200, 989)}-{d(4)}"),
+        lambda: ("phone", rnd.choice(["reach us, phone", "mobile"]), f"{rnd.randint(201, 989)}-{rnd.randint(200, 989)}-{d(4)}"),
+        lambda: ("secret", "token =", '"' + "".join(rnd.choice("0123456789abcdef") for _ in range(40)) + '"'),
+    ]
+    decoys = [
+        lambda: (None, "on", f"20{rnd.randint(10, 24)}-{rnd.randint(10, 12)}-{rnd.randint(10, 28)}"),
+        lambda: (None, "version", f"{rnd.randint(1, 9)}.{rnd.randint(10, 99)}.{rnd.randint(300, 999)}.{d(2)}"),
+        lambda: (None, "invoice", d(9)),
+        lambda: (None, "ISBN", f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}"),
+        lambda: (None, "total", f"{rnd.randint(1, 9)},{d(3)},{d(3)}"),
+        lambda: (None, "commit", "".join(rnd.choice("0123456789abcdef") for _ in range(40))),
+    ]
+    rows, want = [], {}
+    for i in range(n):
+        parts, spans = [], set()
+        for make in rnd.choices(wants, k=rnd.randint(0, 2)) + rnd.choices(decoys, k=rnd.randint(0, 2)):
+            kind, cue, body = make()
+            before = f"{say()} {cue} "
+            at = sum(len(x) + 1 for x in parts) + len(before)
+            quote = body.startswith('"')
+            parts.append(before + body)
+            if kind:
+                spans.add((kind, at + quote, at + len(body) - quote))
+        rows.append((i, " ".join([*parts, say()])))
+        want[i] = spans
+    return rows, want
+
+
+def test_pii_finds_what_the_base_misses(spark):
+    """Against planted spans, with no label seen: the base finds none of them."""
+    rows, want = planted(1500, 3)
+    got = {}
+    for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found = {(k, int(a), int(b)) for k, a, b in (x.split(":") for x in f"{r.spans},{r.secrets}".split(",") if x)}
+        got[r.doc_id] = found - set(brute_spans(rows[r.doc_id][1]))
+        assert r.n_spans == len(found)
+    hit = sum(len(got[i] & want[i]) for i in want)
+    assert hit >= 0.8 * sum(map(len, want.values())) and hit >= 0.9 * sum(map(len, got.values()))
+    assert not any(set(brute_spans(t)) & want[i] for i, t in rows)
+
+
+def test_pii_likeliest_of_overlapping_spans():
+    theta = np.zeros(pii.BUCKETS)
+    theta[:4] = [3, 5, 4, -1]
+    assert pii._likely([(3, 0, 10, [0]), (2, 5, 20, [1]), (0, 18, 25, [2]), (1, 30, 40, [3]), (4, 20, 22, [0])], theta) == [(2, 5, 20), (4, 20, 22)]
 
 
 def test_pii_odd(odd, empty):
@@ -321,7 +379,28 @@ def test_cascade_order_changes_nothing(docs):
     orders = [list(named), list(named)[::-1]]
     a, b = ({r.doc_id: r.k for r in m.select("row.doc_id", quality.cascade(named, o).alias("k")).collect()} for o in orders)
     assert a == b and 0 < sum(a.values()) < len(a)
-    assert sorted(quality.order(docs, named)) == sorted(named)
+    assert sorted(quality.order(docs, named)) == sorted(named) and quality.order(docs.limit(0), named) == list(named)
+
+
+def test_cascade_keeps_what_every_rule_lets_pass(docs):
+    kept = {r.doc_id for r in quality.report(docs).collect() if r.kept}
+    assert {r.doc_id for r in quality.keep(docs).collect()} == kept and kept
+
+
+def test_dear_rules_go_back(spark):
+    """An expensive rule that stands first and rejects as much as a cheap one goes behind it, time after time."""
+    rows = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(60))) for i in range(200)], "doc_id long, text string")
+    dear = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.lit(0), lambda a, x: a + F.length(F.concat("t", x.cast("string"))) % 7) > 180
+    named = {"dear": dear, "cheap": F.col("word_chars") % 2 == 0, "none": F.col("n_words") < 0, quality.REPEATED: quality.rules()[quality.REPEATED]}
+    for _ in range(5):
+        assert quality.order(rows, named)[0] == "cheap"
+
+
+def test_rejection_is_counted_among_what_is_left(spark):
+    rows = spark.createDataFrame([(i, "a " * (30 + i)) for i in range(100)], "doc_id long, text string")
+    named = {"most": F.col("n_words") < 120, "same": F.col("n_words") < 110, "few": F.col("n_words") > 125, quality.REPEATED: F.lit(False)}
+    got = quality.order(rows, named)
+    assert got[0] == "most" and got.index("few") < got.index("same")
 
 
 def test_cascade_runs_no_python(docs):
@@ -348,6 +427,56 @@ def test_langid(docs, odd, empty):
     assert {r.lang_pred for r in langid.report(unlabelled).collect()} == {"und"}
 
 
+def test_letters():
+    assert all(map(langid.has_letter, ["a", "1é", "日", "ﬁ", "ª"])) and not any(map(langid.has_letter, [None, "", "½ ² ① 17", "Ⅷ", "_-!"]))
+
+
+def brute_grams(text):
+    raw = b" " + bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in text) + b" "
+    out = Counter()
+    for n, factor in zip((2, 3, 4), langid._FACTORS):
+        for i in range(len(raw) - n + 1):
+            out[int.from_bytes(raw[i : i + n], "big") * factor % 2**32 >> 18] += 1
+    return out
+
+
+def test_grams():
+    rnd = random.Random(1)
+    for _ in range(50):
+        text = "".join(rnd.choice("aBé ñ9-日") for _ in range(rnd.randint(0, 80))).encode()
+        got = langid.grams(text)
+        assert {int(k): int(got[k]) for k in np.flatnonzero(got)} == dict(brute_grams(text))
+
+
+def test_foreign_texts_are_rejected(spark, docs):
+    """Other scripts and languages, code and noise; texts of known languages stay, short ones too."""
+    rnd = random.Random(2)
+    foreign = ["吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。", "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему.", "Příliš žluťoučký kůň úpěl ďábelské ódy a zvíře se dívalo přes řeku", "for (int i = 0; i < n; ++i) { x[i] += buf[(j << 2) ^ 0x7f]; } return xs.map(f)?;", "İstanbul'da yaşayan kişiler genellikle vapurla karşıya geçerler"]
+    rows = [(i, " ".join(rnd.sample(t.split(" "), len(t.split(" "))) if " " in t else [t] * 2)) for i, t in enumerate(foreign * 20)]
+    rows += [(1000 + i, "".join(rnd.choice("qwxzkjvbghpfy") for _ in range(rnd.randint(60, 200)))) for i in range(100)]
+    known = docs.where("length(text) > 40").select("doc_id", F.substring("text", 1, 200).alias("text"))
+    model = langid.fit(docs.where(common.remainder("doc_id", 5) != 0))
+    odd = langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert sum(not r.accepted for r in odd) >= 0.9 * len(odd)
+    own = langid.predict(known, model).collect()
+    assert sum(r.accepted for r in own) >= 0.97 * len(own)
+
+
+def test_samples_are_bounded(spark):
+    """One id a hundred thousand times, and as many rows without an id: neither none nor all of them."""
+    for ids in (F.lit(34), F.lit(None).cast("long"), F.col("id")):
+        rows = spark.range(100_000).select(ids.alias("doc_id"), F.concat(F.lit("text number "), "id").alias("text"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("lang"))
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(langid, "PER_LANG", 50)
+            seen = []
+            m.setattr(langid, "train", lambda counts, y, langs: seen.append((len(counts), Counter(y.tolist()))))
+            langid.fit(rows)
+            assert seen == [(100, {0: 50, 1: 50})]
+        labels = spark.createDataFrame([(34, 1), (35, 0)] if ids is not None else [], "doc_id long, toxic int")
+        got = toxicity.sample(rows.withColumn("doc_id", F.lit(34)).union(rows.withColumn("doc_id", F.lit(35)).limit(70)), labels, most=60)
+        assert {r.toxic: r["count"] for r in got.groupBy("toxic").count().collect()} == {1: 60, 0: 60}
+
+
 def test_gram_pieces(monkeypatch):
     text = ("Está é " * 300).encode()
     whole = langid.grams(text)
@@ -479,9 +608,9 @@ def test_pieces_change_nothing(monkeypatch, texts):
 def test_listed_grams_are_found():
     rng = np.random.default_rng(5)
     grams = np.unique(rng.integers(0, 1 << 56, 3000))
-    table = lm.Listed(grams[::2], np.arange(len(grams[::2]), dtype=np.float32))
-    known, p = table.find(grams)
-    assert (known == (np.arange(len(grams)) % 2 == 0)).all() and (p == table.p).all()
+    want = np.arange(len(grams[::2]), dtype=np.float32)
+    known, p = lm.Listed(grams[::2], want).find(grams)
+    assert (known == (np.arange(len(grams)) % 2 == 0)).all() and (p == want).all()
     assert not lm.Listed(np.zeros(0, np.int64), np.zeros(0, np.float32)).find(grams)[0].any()
 
 
@@ -510,6 +639,51 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.report(empty, labels.limit(0)).count() == 0
 
 
+def brute_features(text, learned, stems):
+    low_text = text.lower()
+    ws = re.findall(r"\w+", low_text)
+    n = max(1, len(ws))
+    weight = lambda w: max([learned.get(w, 0.0)] + [stems.get(w[:k], 0.0) for k in (4, 5, 6, 7)])
+    hits = [i for i, w in enumerate(ws) if w in learned or any(w[:k] in stems for k in (4, 5, 6, 7))]
+    seeds = [i for i, w in enumerate(ws) if w in toxicity.SEED]
+    either = sorted({*hits, *seeds})
+    near = [any(w in toxicity.SECOND for w in ws[max(0, i - 6) : i + 7]) for i in either]
+    raw = text.encode()
+    mixed = re.findall(r"[^\W\d_]+(?:[0-9@$!*#.+_\-]+[^\W\d_]+)+", low_text)
+    plain = [m.translate(toxicity._LEET) for m in mixed]
+    share = lambda ok: sum(map(ok, raw)) / max(1, len(raw))
+    return [len(seeds), len(seeds) / n, len(hits), len(hits) / n, len({ws[i] for i in hits}), sum(weight(ws[i]) for i in hits), max([0.0] + [weight(ws[i]) for i in hits]), sum(near) / max(1, len(near)),
+            share(lambda c: 65 <= c <= 90), raw.count(b"!") / n, share(lambda c: 33 <= c <= 126 and not chr(c).isalnum()), len(mixed) / n, sum(m in learned or m in toxicity.SEED for m in plain), math.log1p(len(ws))]
+
+
+def test_toxicity_features():
+    rnd = random.Random(7)
+    learned, stems = {"vile": 3.0, "idiot": 2.6}, {"rott": 2.9, "stink": 2.7}
+    vocabulary_ = ["you", "idiot", "vile", "rotten", "stinker", "1d10t", "v!le", "HELLO", "tu", "é", "b@d", "fine!", "..."]
+    for _ in range(300):
+        t = rnd.choice([" ", "\n"]).join(rnd.choices(vocabulary_, k=rnd.randint(0, 25)))
+        assert toxicity.features(t, learned, stems) == pytest.approx(brute_features(t, learned, stems))
+    assert toxicity.features("", learned, stems) == toxicity.features("", {}, {}) == [0.0] * 14
+    assert toxicity.features(" \n\t ", learned, stems) == [0.0] * 14
+
+
+def test_toxicity_odd_rows_under_a_model(spark, odd):
+    d = "/root/testdata/sf0.01"
+    model = toxicity.fit(common.documents(spark, d), spark.read.parquet(f"{d}/labels.parquet"))
+    got = [(r.doc_id, r.score) for r in toxicity.score(odd.withColumns({"x": F.lit(1), "toxic": F.lit(1), "part": F.lit(0)}), model).collect()]
+    assert len(got) == len(ODD) and all(0 <= s <= 1 for _, s in got)
+    blank = {s for i, s in got if i in (2, 3, 4)}
+    assert blank == {float(model.score(np.zeros((1, 14)))[0])} and len({s for i, s in got if i == 1}) == 1
+
+
+def test_lexicon_counts_copies_once(spark):
+    bad = "you are a gruesome lizardface and everybody here knows it well"
+    rows = [(i, 0, bad.replace("gruesome", f"very{i}") + " indeed", 1) for i in range(5)] + [(100 + i, 0, bad, 1) for i in range(40)]
+    rows += [(200 + i, 0, f"the calm number {i} sits under tree {i * 7} and reads book {i * 13} at noon", 0) for i in range(60)]
+    found = toxicity.lexicon(spark.createDataFrame(rows, "h long, part int, text string, toxic int"))
+    assert "gruesome" not in found
+
+
 # 9
 
 
