@@ -97,7 +97,7 @@ def ocr_images(v: Vault, a: argparse.Namespace) -> DataFrame:
 
 
 def export_report(v: Vault, a: argparse.Namespace) -> DataFrame:
-    return correlations.top_validated(v.read("correlations").where(F.col("obra") == a.corpus).withColumn("id", F.monotonically_increasing_id()))
+    return correlations.top_validated(v.read("correlations").where(F.col("obra") == a.corpus).withColumn("id", F.xxhash64("primary_event_ref", "related_event_ref", "correlation_type")))  # stored edges have no id; equal edges share one
 
 
 COMMANDS = {f.__name__.replace("_", "-"): f for f in (ingest, correlate, status, pipeline_status, pipeline_reset, stats, watch, estimate, review, detect_quality, ocr_images, export_report)}

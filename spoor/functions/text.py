@@ -132,6 +132,7 @@ def hamming_hex(a: ColumnOrName, b: ColumnOrName, digits: int = 16) -> Column:
     return total
 
 
+# Fixed value: what a truncated text ends with.
 TRUNCATED = "\n\n[truncado por limite]"
 
 
@@ -175,7 +176,7 @@ def short_content(c: ColumnOrName, most: int = 500) -> Column:
     return F.when(F.length(col(c)) <= most, col(c))
 
 
-#: Citations of evidence: message, file, classification and payment ids.
+# Fixed value: the form of citations of evidence: message, file, classification and payment ids.
 CITATION = r"\b((?:m|f|c|fr)_[A-Za-z0-9]{4,12})\b"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spoor.functions import temporal, text
 
-#: Keys of a visual analysis that carry text, in the order they are read.
+# Keys of a visual analysis that carry text, in the order they are read.
 VISUAL_KEYS = ("atividade_em_curso", "elementos_construtivos", "observacoes_tecnicas", "materiais_visiveis")
 
 

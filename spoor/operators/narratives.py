@@ -61,16 +61,24 @@ def composed(kids: DataFrame, parent_scope: str) -> DataFrame:
     return g.select("obra", "label", "n", F.concat(head, body, tail).alias("input"))
 
 
+# A narrative's title, closing JSON block, rule and executive summary.
+TITLE = r"^#\s+Narrativa:[^\n]*\n+"
+CLOSING = r"\n```json\s*\{[\s\S]*?\}\s*```\s*$"
+ASSESSMENT = r"(?s)```json\s*(\{.*\})\s*```\s*$"
+RULE = r"\n---\s*$"
+EXECUTIVE = r"(?is)##\s*Sum[áa]rio\s+Executivo\s*\n+([^#]{80,1500}?)(?:\n\n|\n##|\z)"
+
+
 def stripped(c: text.ColumnOrName) -> Column:
     """A narrative without its title, closing JSON block and rule."""
-    t = F.regexp_replace(text.col(c), r"^#\s+Narrativa:[^\n]*\n+", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?U)\s+$", ""), r"\n```json\s*\{[\s\S]*?\}\s*```\s*$", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"(?U)\s+$", ""), r"\n---\s*$", ""))
+    t = F.regexp_replace(text.col(c), TITLE, "")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?U)\s+$", ""), CLOSING, "")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"(?U)\s+$", ""), RULE, ""))
 
 
 def summary(c: text.ColumnOrName, most: int = 800) -> Column:
     """The paragraph under the executive summary's heading, else the first substantial one."""
-    under = F.trim(F.regexp_extract(text.col(c), r"(?is)##\s*Sum[áa]rio\s+Executivo\s*\n+([^#]{80,1500}?)(?:\n\n|\n##|\z)", 1))
+    under = F.trim(F.regexp_extract(text.col(c), EXECUTIVE, 1))
     body = stripped(c)
     first = F.get(F.filter(F.transform(F.split(body, "\n\n"), F.trim), lambda p: F.length(p) > 80), 0)
     return F.coalesce(text.excerpt(F.nullif(under, F.lit("")), most), text.excerpt(first, most), F.substring(body, 1, most))
@@ -78,7 +86,7 @@ def summary(c: text.ColumnOrName, most: int = 800) -> Column:
 
 def self_assessment(c: text.ColumnOrName) -> Column:
     """The closing JSON block as text; null if there is none."""
-    return F.nullif(F.regexp_extract(text.col(c), r"(?s)```json\s*(\{.*\})\s*```\s*$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text.col(c), ASSESSMENT, 1), F.lit(""))
 
 
 def checklist(narratives: DataFrame, payments: DataFrame, timeline: DataFrame, markers: tuple[str, ...] = MARKERS) -> DataFrame:

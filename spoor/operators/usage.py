@@ -48,12 +48,6 @@ def spent(calls: DataFrame, *keys: str) -> DataFrame:
     return calls.groupBy(*keys).agg(F.count("*").alias("calls"), F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd"))
 
 
-def upper_median(values: Column) -> Column:
-    """The middle of the sorted values; of two middles the upper one."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
-
-
 def durations(log: DataFrame, key: str = "stage", value: str = "duration_ms") -> DataFrame:
     """(key, n, least, median, most) without gathering a group: the middle is picked by rank.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spoor.functions import text
 from spoor.operators import correlations, detectors
+from spoor.plans import registry
 from spoor.plans.registry import query
 from spoor.plans.standins import oracle, table
 
@@ -139,6 +140,15 @@ def j9_renegotiation_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edge(detectors.contract_renegotiation(table(spark, sf_dir, "happenings"), window=31 * 86400))
 
 
+_FOUR = " UNION ALL ".join(f"SELECT correlation_type, confidence FROM ({registry.oracle_sql()[n]})" for n in ("j6_temporal", "j7_semantic", "j8_math", "j9_renegotiation"))
+
+
+@query("detect_all", f"SELECT correlation_type, count(*) AS n, round(avg(confidence), 6) AS mean_confidence, count(*) FILTER (WHERE confidence >= 0.7) AS validated FROM ({_FOUR}) GROUP BY 1")
+def detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every registered detector with its own window, counted by type."""
+    return correlations.by_type(detectors.detect(*_inputs(spark, sf_dir))).withColumn("mean_confidence", F.round("mean_confidence", 6))
+
+
 @query(
     "k_mentions",
     oracle(contexts_sql() + " SELECT id, m AS cents, kind FROM kinds WHERE m > 0", "happenings"),
