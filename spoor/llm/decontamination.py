@@ -11,7 +11,9 @@ documents each, so what is sent to the tasks is bounded whatever its size.
 
 Defined cases: null and wordless texts have no words, windows or hits; an item of fewer words than a window is
 one window; items that share an id count once; a null item id counts as the empty text; repeated document rows
-are separate rows; an empty benchmark or table gives rows without hits, or none.
+are separate rows; very long texts are searched whole, their runs dealt over shards; occurrences that overlap hit a
+word once; an empty benchmark or table gives rows without hits, or none; other columns, whatever their names, are
+not read by ``report`` and pass through ``drop_contaminated``.
 """
 
 from __future__ import annotations

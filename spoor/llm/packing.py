@@ -7,7 +7,8 @@ merged in rounds over groups of ``FAN`` partitions, so no task gathers more than
 The last window of all is cut at powers of two, which need no padding.
 
 Defined cases: a null text is empty and so has only the end id; repeated rows and ids are packed row by row;
-an empty table gives no pieces.
+a very long text fills window after window; of windows that fit alike the first opened is taken; an empty table gives
+no pieces; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -6,7 +6,11 @@ group holds at most as many distinct fingerprints as the ball has members (65 fo
 the corpus looks like; copies never meet there, since equal fingerprints are one row.
 
 Defined cases: a null or wordless text has fingerprint zero; fewer words than a shingle make one shingle;
-rows that repeat or share an id keep their own row and count with that id; an empty table gives an empty one.
+very long texts are
+hashed whole, in slices; rows that repeat or share an id keep their own row and count with that id; a tie in a
+fingerprint's bit (set in just half of the hashes) leaves it unset; of rows with one id the lesser text hash stays
+first; an empty table gives an empty one; other columns, whatever their names, aren't read by ``near_duplicates``
+and pass through ``keep_first``.
 """
 
 from __future__ import annotations

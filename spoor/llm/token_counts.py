@@ -5,7 +5,10 @@ by digest, one row of each digest that isn't stored is encoded, and the new coun
 is normalised no further than null to the empty text: anything more would change the counts.
 
 Defined cases: null and empty texts have no tokens; copies are encoded once, save rows that repeat in id and
-text, whose counts are stored once all the same; rows that share an id are separate rows; an empty table gives an empty one and appends nothing.
+text, whose counts are stored once all the same; rows
+that share an id are separate rows; very long texts are encoded whole; of stored counts for one digest, which are
+equal, any serves; an empty table gives an empty one and appends nothing; other columns, whatever their names, are
+not read.
 """
 
 from __future__ import annotations

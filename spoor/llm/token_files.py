@@ -7,7 +7,9 @@ exception starts are indexed, so a block can be read alone. Parquet is only the
 makes the files whole or absent when executors are lost, on any file system Spark can write.
 
 Defined cases: a null text is empty and so has only the end id; rows that share an id stand side by side,
-ordered by their text; null ids come first; an empty table writes files without segments.
+ordered by their text; null ids come first; very long texts are encoded whole, and a document is never
+split over segments; rows equal in id and text are alike, so their order shows in nothing; an empty table writes
+files without segments; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
