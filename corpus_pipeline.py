@@ -1,4 +1,8 @@
-"""A training corpus from documents: five stages, each an operator of spoor.llm over all that the one before kept."""
+"""A training corpus from documents: five stages, each an operator of spoor.llm over all that the one before kept.
+
+Every stage but the last returns the columns of its documents, whatever they are called, and takes null and empty
+texts, very long ones, repeated rows, rows without an id and empty tables as its docstring says.
+"""
 
 from __future__ import annotations
 
@@ -13,27 +17,28 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised."""
+    """Documents whose language is recognised; null texts and those without a letter go, and without any labelled row
+    all do. Repeated rows are judged alike."""
     return langid.keep_accepted(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One document of each near-duplicate group: the least id, null ids last. Texts without words are one group."""
     return simhash.keep_first(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item; null and wordless texts hold none."""
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def remove_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
+    """Documents with personal data and secrets replaced by their kind, and n_chars counted anew; null texts stay null."""
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of documents in training sequences."""
+    """The pieces of documents in training sequences; a null text is its end id alone."""
     return packing.pack(docs, vocabulary(), end_id=0)
 
 
