@@ -509,10 +509,10 @@ def j22_near_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("j22_near_hash_classes", oracle(f", h AS (SELECT p_partkey AS id, {_PHASH} AS h FROM part), c AS (SELECT h, min(id) AS id FROM h GROUP BY 1) SELECT c.id AS a_id, h.id AS b_id, 0 AS distance FROM h JOIN c USING (h) WHERE h.id <> c.id UNION ALL SELECT a.id, b.id, CAST(bit_count(xor(('0x' || a.h)::UBIGINT, ('0x' || b.h)::UBIGINT)) AS INT) FROM c a JOIN c b ON a.id < b.id AND bit_count(xor(('0x' || a.h)::UBIGINT, ('0x' || b.h)::UBIGINT)) <= 6", "files"))
 def j22_near_hash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all of part: equal hashes as classes, near ones as pairs of classes."""
+    """Over all of part: equal hashes as classes, near ones as pairs of classes, which meet on two of eight bands."""
     md5 = lambda c: F.md5(F.col(c).cast("string"))
     h = raw(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.substring(md5("p_size"), 1, 15), F.substring(md5("p_partkey"), 1, 1)).alias("h"))
-    return joins.near_hash_classes(h, "id", "h")
+    return joins.near_hash_classes(h, "id", "h", bands=8, together=2)
 
 
 @query("f7_hamming", oracle(f", h AS (SELECT p_partkey AS id, {_PHASH} AS h FROM part) SELECT id, CAST(bit_count(xor(('0x' || h)::UBIGINT, 81985529216486895::UBIGINT)) AS INT) AS distance FROM h", "files"))

@@ -82,7 +82,9 @@ def test_near_hash_classes_give_all_pairs(spark):
     rnd = random.Random(6)
     base = [rnd.getrandbits(64) for _ in range(4)]
     made = [(i, base[i % 4] ^ sum(1 << rnd.randrange(64) for _ in range(rnd.randint(0, 2))) % (1 << 64) if i % 3 else base[i % 4]) for i in range(60)]
-    got = [tuple(r) for r in joins.near_hash_classes(spark.createDataFrame([(i, f"{h:016x}") for i, h in made], "id long, h string"), "id", "h").collect()]
+    rows = spark.createDataFrame([(i, f"{h:016x}") for i, h in made], "id long, h string")
+    got = [tuple(r) for r in joins.near_hash_classes(rows, "id", "h").collect()]
+    assert sorted(got) == sorted(tuple(r) for r in joins.near_hash_classes(rows, "id", "h", bands=8, together=2).collect())
     least = {i: i for i, _ in made} | {b: a for a, b, d in got if d == 0}
     near = {(a, b): d for a, b, d in got if d}
     apart = lambda i, j: 0 if least[i] == least[j] else near.get(tuple(sorted((least[i], least[j]))))
