@@ -96,14 +96,18 @@ def _typed(content: Column, sender: Column) -> tuple[Column, Column, Column, Col
     return body, who, kind, F.when(kind == "media_ref", F.trim(named)), edited
 
 
-def parse(lines: DataFrame, key: str = "file") -> DataFrame:
+def parse(lines: DataFrame, key: str = "file", strict: bool = False) -> DataFrame:
     """(key, line_number, timestamp_raw, timestamp, sender, content, message_type, media_filename, edited).
 
     lines has key, line and value. Lines that don't open a message continue the one before; those before the
-    first message are dropped, and so are files of neither dialect.
+    first message are dropped, and so are files of neither dialect, which are an error if strict.
     """
     clean = lines.withColumn("value", F.replace(F.col("value"), F.lit(LRM), F.lit("")))
-    known = clean.join(dialect(lines, key).where("dialect is not null"), key)
+    spoken = dialect(lines, key)
+    if strict:
+        unknown = F.raise_error(F.concat(F.lit("neither dialect opens "), F.col(key).cast("string"))).cast("string")
+        spoken = spoken.withColumn("dialect", F.coalesce("dialect", unknown))
+    known = clean.join(spoken.where("dialect is not null"), key)
     header = F.when(F.col("dialect") == "dash", F.col("value").rlike(DASH)).otherwise(F.col("value").rlike(BRACKET))
     flagged = known.withColumn("head", header)
     order = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)

@@ -127,6 +127,16 @@ def dossier_hash(dossier: dict) -> str:
     return hashlib.sha256(dump_sorted(dossier).encode()).hexdigest()
 
 
+def write_manifest(spark: SparkSession, path: str, manifest: dict) -> None:
+    """A manifest's sorted form as one file, replaced whole, on any file system Hadoop knows."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray(json.dumps(manifest, sort_keys=True, ensure_ascii=False, indent=2).encode()))
+    finally:
+        out.close()
+
+
 def sorted_json(columns: list[str]) -> Column:
     """The sorted form of a flat map of a row's columns, as ``dump_sorted`` writes it: texts, whole numbers, nulls."""
     quoted = lambda c: F.regexp_replace(F.regexp_replace(F.to_json(F.array(c)), r"^\[", ""), r"\]$", "")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import json
 import random
 
 import pytest
@@ -341,3 +342,30 @@ def test_encoding_is_read_through_hadoop(spark, tmp_path):
     for name, content, want in (("a.txt", "olá".encode(), "utf-8"), ("b.txt", "olá mundo".encode("latin-1"), "latin-1"), ("c.txt", b"", "utf-8")):
         (tmp_path / name).write_bytes(content)
         assert chat.encoding_of(spark, f"file://{tmp_path}/{name}") == want
+
+
+def test_a_file_of_neither_dialect_is_an_error_if_strict(spark):
+    lines = spark.createDataFrame([("a", 1, "04/04/2026 10:00 - Ana: oi"), ("b", 1, "nada disso")], "file string, line int, value string")
+    assert [r.file for r in chat.parse(lines).collect()] == ["a"]
+    assert [r.file for r in chat.parse(lines.where("file = 'a'"), strict=True).collect()] == ["a"]
+    with pytest.raises(Exception, match="neither dialect opens b"):
+        chat.parse(lines, strict=True).collect()
+
+
+def test_manifests_are_sorted_and_replaced(spark, tmp_path):
+    path = f"file://{tmp_path}/deep/manifest.json"
+    for value in ({"b": 1, "a": {"d": "é", "c": []}}, {"z": None, "y": 2}):
+        records.write_manifest(spark, path, value)
+        written = (tmp_path / "deep" / "manifest.json").read_text()
+        assert json.loads(written) == value and list(json.loads(written)) == sorted(value)
+
+
+def test_log_lines_are_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([("whisper", 0.5), ("vision", None)], "api string, cost double")
+    for _ in range(2):
+        records.append_log(records.log_records(rows, "cost", api=F.col("api"), cost_usd=F.col("cost")), f"file://{tmp_path}/log")
+    (tmp_path / "log" / "bad.txt").write_text("not json\n")
+    got = sorted((r.event_type, r.api, r.cost_usd) for r in records.read_log(spark, f"file://{tmp_path}/log").collect())
+    assert got == sorted([("cost", "whisper", 0.5), ("cost", "vision", None)] * 2, key=lambda r: r[1])
+    with pytest.raises(ValueError):
+        records.log_records(rows, "cost", colour=F.col("api"))
