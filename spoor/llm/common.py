@@ -85,12 +85,12 @@ def remainder(col: Column | str, mod: int) -> Column:
 
 
 def some_of(rows: DataFrame, label: str, h: str, counts: dict, most: int) -> DataFrame:
-    """Of rows with a hash in column h, for each label about twice ``most``, or all where there are no more than
-    twenty times as many: what an exact choice of ``most`` can then be made from at little cost."""
+    """Of rows with a hash in column h, for each label about half as many again as ``most``, or all where there are no
+    more than four times as many: what an exact choice of ``most`` can then be made from at little cost."""
     share = F.lit(1 << 20)
     for value, n in counts.items():
-        if n > 20 * most:
-            share = F.when(F.col(label) == F.lit(value), F.lit(int(2 * most / n * (1 << 20)) + 1)).otherwise(share)
+        if n > 4 * most:
+            share = F.when(F.col(label) == F.lit(value), F.lit(int(1.5 * most / n * (1 << 20)) + 1)).otherwise(share)
     return rows.where(F.pmod(F.xxhash64(h), F.lit(1 << 20)) < share)
 
 
