@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from spoor.llm import decontamination, langid, lm, packing, pii, quality, simhash, token_counts, token_files, toxicity
+from spoor.llm import decontamination, fill_in_middle, langid, lm, packing, pii, quality, simhash, token_counts, token_files, toxicity, vector_codes
 from spoor.llm.common import documents, scratch
 from spoor.llm.encoder import vocabulary
 
@@ -55,9 +55,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary(), end_id=0)
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.report(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_simhash, op2_pii, op3_token_counts, op4_quality, op5_token_files, op6_langid, op7_lm, op8_toxicity, op9_decontamination, op10_packing)}
+    numbered = (op1_simhash, op2_pii, op3_token_counts, op4_quality, op5_token_files, op6_langid, op7_lm, op8_toxicity, op9_decontamination, op10_packing)
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (*numbered, op12_vector_codes, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": quality.SQL, "op9_decontamination": decontamination.SQL}
+    found = {"op4_quality": quality.SQL, "op9_decontamination": decontamination.SQL}
+    return found | {"op12_vector_codes": vector_codes.SQL, "op13_fill_in_middle": fill_in_middle.SQL}
