@@ -1,17 +1,18 @@
 """Fill-in-the-middle transformation over a distinct-text index.
 
-Equal texts are grouped by digest, and the group's content is verified: its least and its greatest text must be the
-same string. For each distinct text the byte offsets of its code points are computed once, as an Elias-Fano list of two
-to four bits a code point, and joined back to the documents; each document's seeded cut is then two selects and three
-byte slices, without decoding the text.
+Rows are grouped by their text's digest, and a group's content is verified: the set of its texts, compared as texts, has
+one member. Documents' ids are joined back to the distinct texts by digest. For each text the byte offsets of its code
+points are computed once, where its first document stands, as an Elias-Fano list of two to four bits a code point; each
+document's seeded cut is then two selects and three byte slices, without decoding the text. The lists aren't shuffled:
+only distinct texts are, once, and ids.
 
-A digest that more than one row in ``SPREAD`` bears is dealt over salted copies of its index row, so that no task gets
+A digest that more than one row in ``SPREAD`` bears is dealt over salted copies of its row, so that no task gets
 a hot group; there can be no more than ``SPREAD`` of those, so their list (digests and counts) has a proven bound.
 
 Defined cases: a null text is the empty one; empty texts and those that hold a sentinel stay plain; very long texts are
 cut whole; a null id is seeded as the empty text; repeated rows, and texts under several ids, are each cut by their own
-id; texts that share a digest but not a second hash make no group, and each of those rows gets bounds of its own; texts
-that shared both would end the run; an empty table gives an empty one; other columns, whatever their names, aren't read.
+id; texts that share a digest are told apart by a second hash of another kind; an empty table gives an empty one; other
+columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -20,14 +21,11 @@ import hashlib
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from spoor.llm import common
 
@@ -117,17 +115,15 @@ def restore(output: bytes, form: str) -> bytes:
     return one + middle + two if form == "psm" else two + middle + one
 
 
-@F.pandas_udf(BinaryType())
-def bounds_of(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: boundaries(t.encode()).to_bytes())
-
-
 def _cuts(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (doc_id, id as text, text, bounds), the transformed texts."""
+    """Of rows (doc_id, id as text, digest, text), the transformed texts. Rows of one text stand together, and its bounds
+    are computed at the first of them."""
+    known, body, index = None, b"", boundaries(b"")
     for b in batches:
         columns: list[list] = [[], [], [], [], []]
-        for doc_id, text, bounds in zip(b.column(1).to_pylist(), common.as_bytes(b.column(2)), b.column(3).to_pylist(), strict=True):
-            index = Boundaries.from_bytes(bounds)
+        for doc_id, digest, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), common.as_bytes(b.column(3)), strict=True):
+            if digest != known or text != body:
+                known, body, index = digest, text, boundaries(text)
             for column, value in zip(columns, (index.count - 1, *cut_form(text, index, doc_id, seed)), strict=True):
                 column.append(value)
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary())
@@ -142,30 +138,27 @@ def _digest(body: Column) -> Column:
 def transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, spread: int = SPREAD, digest: Callable[[Column], Column] = _digest) -> DataFrame:
     """(doc_id, n, form, prefix_chars, middle_chars, output): each document's text with its middle moved to the end.
 
-    Whole texts are shuffled once, copies within a task as one; what joins them is ids and digests.
+    Whole texts are shuffled once, copies within a task as one; what is joined to them is ids and digests.
     """
     spark = docs.sparkSession
     common.reachable(spark)
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    named = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("seeded"), body.alias("body"))
-    keyed = named.withColumn("digest", digest(F.col("body")))
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("seeded"), body.alias("body"))
+    keyed = keyed.withColumn("digest", digest(F.col("body")))
+    members = keyed.select("doc_id", "seeded", "digest", F.xxhash64("body").alias("h"))
     total = docs.count()
-    sizes = keyed.select("digest", F.xxhash64("body").alias("h")).groupBy("digest").agg(F.count("*").alias("copies"), (F.min("h") != F.max("h")).alias("mixed"))
-    special = common.cut(sizes.where(F.col("mixed") | (F.col("copies") * spread > total)), "copies")
-    hot = F.broadcast(special.where("not mixed").select("digest", F.ceil(F.col("copies") * spread / max(total, 1)).cast("int").alias("salts")))
-    mixed = special.where("mixed").select("digest")
-    clashes = not mixed.isEmpty()
-    shared = keyed.join(mixed, "digest", "left_anti") if clashes else keyed
-
-    verified = F.when(F.col("body") == F.col("other"), F.col("body")).otherwise(F.raise_error(F.lit("two texts share a digest")))
-    texts = shared.groupBy("digest").agg(F.min("body").alias("body"), F.max("body").alias("other")).select("digest", verified.alias("body"))
-    members = shared.select("doc_id", "seeded", "digest")
-    cold = members.join(hot, "digest", "left_anti").join(texts.join(hot, "digest", "left_anti").withColumn("bounds", bounds_of("body")), "digest")
-    salted = texts.join(hot, "digest").withColumn("bounds", bounds_of("body")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    warm = members.join(hot, "digest").withColumn("salt", F.pmod(F.xxhash64("seeded"), F.col("salts")).cast("int")).join(salted, ["digest", "salt"])
-    rows = [cold, warm] + ([keyed.join(mixed, "digest", "left_semi").withColumn("bounds", bounds_of("body"))] if clashes else [])
-    schema = f"doc_id {named.schema['doc_id'].dataType.simpleString()}, n long, form string, prefix_chars long, middle_chars long, output string"
-    return reduce(DataFrame.unionByName, [r.select("doc_id", "seeded", "body", "bounds").mapInArrow(lambda batches: _cuts(batches, seed), schema) for r in rows])
+    hot = common.cut(members.groupBy("digest").agg(F.count("*").alias("copies")).where(F.col("copies") * spread > total), "copies")
+    hot = F.broadcast(hot.select("digest", F.ceil(F.col("copies") * spread / max(total, 1)).cast("int").alias("salts")))  # ``spread`` rows at most
+
+    # the distinct texts of a digest, compared as texts: one of each, where the digest is a good one
+    texts = keyed.groupBy("digest").agg(F.collect_set("body").alias("bodies"))
+    cold = texts.join(hot, "digest", "left_anti").join(members.join(hot, "digest", "left_anti").hint("shuffle_hash"), "digest")
+    salted = texts.join(hot, "digest").select("digest", "bodies", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    warm = salted.join(members.join(hot, "digest").withColumn("salt", F.pmod(F.xxhash64("seeded"), F.col("salts")).cast("int")).hint("shuffle_hash"), ["digest", "salt"])
+    own = F.when(F.size("bodies") == 1, F.col("bodies")[0]).otherwise(F.filter("bodies", lambda t: F.xxhash64(t) == F.col("h"))[0])
+    schema = f"doc_id {members.schema['doc_id'].dataType.simpleString()}, n long, form string, prefix_chars long, middle_chars long, output string"
+    made = [rows.select("doc_id", "seeded", "digest", own.alias("body")).mapInArrow(lambda batches: _cuts(batches, seed), schema) for rows in (cold, warm)]
+    return made[0].unionByName(made[1])
 
 
 def restored(output: Column | str, form: Column | str) -> Column:
