@@ -151,9 +151,9 @@ def transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     hot = F.broadcast(hot.select("digest", F.ceil(F.col("copies") * spread / max(total, 1)).cast("int").alias("salts")))  # ``spread`` rows at most
 
     # the distinct texts of a digest, compared as texts: one of each, where the digest is a good one
-    texts = keyed.groupBy("digest").agg(F.collect_set("body").alias("bodies"))
-    cold = texts.join(hot, "digest", "left_anti").join(members.join(hot, "digest", "left_anti").hint("shuffle_hash"), "digest")
-    salted = texts.join(hot, "digest").select("digest", "bodies", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    texts = lambda rows: rows.groupBy("digest").agg(F.collect_set("body").alias("bodies"))
+    cold = texts(keyed.join(hot, "digest", "left_anti")).join(members.join(hot, "digest", "left_anti").hint("shuffle_hash"), "digest")
+    salted = texts(keyed.join(hot, "digest", "left_semi")).join(hot, "digest").select("digest", "bodies", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     warm = salted.join(members.join(hot, "digest").withColumn("salt", F.pmod(F.xxhash64("seeded"), F.col("salts")).cast("int")).hint("shuffle_hash"), ["digest", "salt"])
     own = F.when(F.size("bodies") == 1, F.col("bodies")[0]).otherwise(F.filter("bodies", lambda t: F.xxhash64(t) == F.col("h"))[0])
     schema = f"doc_id {members.schema['doc_id'].dataType.simpleString()}, n long, form string, prefix_chars long, middle_chars long, output string"
