@@ -509,10 +509,33 @@ def j22_near_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("j22_near_hash_classes", oracle(f", h AS (SELECT p_partkey AS id, {_PHASH} AS h FROM part), c AS (SELECT h, min(id) AS id FROM h GROUP BY 1) SELECT c.id AS a_id, h.id AS b_id, 0 AS distance FROM h JOIN c USING (h) WHERE h.id <> c.id UNION ALL SELECT a.id, b.id, CAST(bit_count(xor(('0x' || a.h)::UBIGINT, ('0x' || b.h)::UBIGINT)) AS INT) FROM c a JOIN c b ON a.id < b.id AND bit_count(xor(('0x' || a.h)::UBIGINT, ('0x' || b.h)::UBIGINT)) <= 6", "files"))
 def j22_near_hash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all of part: equal hashes as classes, near ones as pairs of classes, which meet on two of eight bands."""
+    """Over all of part: equal hashes as classes, near ones as pairs of classes."""
     md5 = lambda c: F.md5(F.col(c).cast("string"))
     h = raw(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.substring(md5("p_size"), 1, 15), F.substring(md5("p_partkey"), 1, 1)).alias("h"))
-    return joins.near_hash_classes(h, "id", "h", bands=8, together=2)
+    return joins.near_hash_classes(h, "id", "h")
+
+
+_FIRST = f", h AS (SELECT p_partkey AS id, p_partkey % 3 AS obra, ('0x' || {_PHASH})::UBIGINT AS h FROM part)"
+
+
+@query("j22_first_match", oracle(f"{_FIRST}, m AS (SELECT a.obra, a.id, min((b.id, CAST(bit_count(xor(a.h, b.h)) AS INT))) AS m FROM h a JOIN h b ON a.obra = b.obra AND a.id <> b.id AND bit_count(xor(a.h, b.h)) <= 6 GROUP BY ALL) SELECT obra, id, m[1] AS match, m[2] AS distance FROM m", "files"))
+def j22_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each image's first near one of its corpus, other than itself."""
+    h = _hashes(spark, sf_dir)
+    return joins.first_near(h, h, "id", "h", "id", ["obra"])
+
+
+@query("j22_first_earlier", oracle(f"{_FIRST}, m AS (SELECT a.obra, a.id, min((b.id, CAST(bit_count(xor(a.h, b.h)) AS INT))) AS m FROM h a JOIN h b ON a.obra = b.obra AND b.id < a.id AND bit_count(xor(a.h, b.h)) <= 6 GROUP BY ALL) SELECT obra, id, m[1] AS match, m[2] AS distance FROM m", "files"))
+def j22_first_earlier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As images come in: the first near one among those before."""
+    h = _hashes(spark, sf_dir)
+    return joins.first_near(h, h, "id", "h", "id", ["obra"], earlier_only=True)
+
+
+def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    md5 = lambda c: F.md5(F.col(c).cast("string"))
+    hashed = F.concat(F.substring(md5("p_size"), 1, 15), F.substring(md5("p_partkey"), 1, 1))
+    return raw(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 3).alias("obra"), hashed.alias("h"))
 
 
 @query("f7_hamming", oracle(f", h AS (SELECT p_partkey AS id, {_PHASH} AS h FROM part) SELECT id, CAST(bit_count(xor(('0x' || h)::UBIGINT, 81985529216486895::UBIGINT)) AS INT) AS distance FROM h", "files"))

@@ -94,6 +94,48 @@ def test_near_hash_classes_give_all_pairs(spark):
         assert apart(i, j) == (d if d <= 6 else None)
 
 
+@pytest.mark.parametrize("earlier", [False, True])
+def test_first_near_is_a_linear_search(spark, earlier):
+    rnd = random.Random(8)
+    base = [rnd.getrandbits(64) for _ in range(9)]
+    flip = lambda: sum(1 << b for b in rnd.sample(range(64), rnd.choice([0, 0, 1, 3, 5, 7])))
+    made = [(rnd.choice("op"), i, f"{rnd.choice(base) ^ flip():016x}", (i * 37) % 200) for i in range(200)]
+    rows = spark.createDataFrame([*made, ("o", 900, None, 500)], "obra string, id long, h string, at long")
+    got = {(r.obra, r.id): (r.match, r.distance) for r in joins.first_near(rows, rows, "id", "h", "at", ["obra"], earlier_only=earlier).collect()}
+    want = {}
+    for o, i, h, at in made:
+        for p, j, k, then in sorted(made, key=lambda x: x[3]):
+            d = (int(h, 16) ^ int(k, 16)).bit_count()
+            if p == o and j != i and d <= 6 and (then < at or not earlier):
+                want[o, i] = (j, d)
+                break
+    assert got == want
+
+
+def test_band_keys_have_twenty_bits_and_miss_nothing(spark):
+    rnd = random.Random(9)
+    pairs = [(i, x, x ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 8)))) for i, x in enumerate(rnd.getrandbits(64) for _ in range(300))]
+    rows = spark.createDataFrame([(i, f"{x:016x}", f"{y:016x}", (x ^ y).bit_count()) for i, x, y in pairs], "i int, a string, b string, d int")
+    bits = rows.select("d", joins.hash_bits("a").alias("a"), joins.hash_bits("b").alias("b"))
+    for distance, count in ((6, 84), (0, 1), (8, 66)):
+        keys = bits.select("d", F.size(F.array_intersect(joins.band_keys("a", distance), joins.band_keys("b", distance))).alias("n"), F.size(joins.band_keys("a", distance)).alias("k"), joins.band_keys("a", distance).alias("all"))
+        assert keys.where((F.col("d") <= distance) & (F.col("n") == 0)).count() == 0
+        assert {r.k for r in keys.select("k").distinct().collect()} == {count} if distance != 8 else True
+    assert bits.select(F.countDistinct(joins.band_keys("a", 6)[0])).first()[0] > 295  # of 300, in 2 ** 21
+
+
+def test_numbered_splits_a_key(spark):
+    rnd = random.Random(4)
+    rows = [("x" if i % 10 else None if i % 20 else "y", rnd.random(), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, o double, i int").repartition(3)
+    out = joins.numbered(df, "k", "o")
+    want = {i: n for k in "xy" for n, (_, i) in enumerate(sorted((o, i) for c, o, i in rows if c == k))}
+    assert {r.i: r.number for r in out.collect()} == want
+    plan = out._jdf.queryExecution().toString()
+    assert "row_number" not in plan
+    assert joins.numbered(df.limit(0), "k", "o").collect() == []
+
+
 def test_within_is_a_nested_loop(spark):
     rnd = random.Random(3)
     at = lambda: PAID + dt.timedelta(microseconds=rnd.randrange(0, 5_000_000_000))
