@@ -4,9 +4,12 @@ A document is the set of its distinct word shingles (64-bit hashes). All sets ar
 most documents have last, so two sets that overlap enough share a shingle among the first few of each: their prefixes.
 
 1. Equal sets are one set, and sets with the same prefix and size are one group.
-2. Groups that share a prefix shingle make pairs, which sizes and places in the prefix filter.
+2. Groups that share a prefix shingle make pairs, which sizes, places in the prefix and bitmaps filter.
 3. Pairs are expanded into their members, whose whole sets are compared exactly.
 
+A set's bitmap has a bit for each of 512 classes of hashes, set if the set has an odd number of them. Two bitmaps differ in
+no more bits than the sets do in shingles, so the filter loses nothing, and it spares most near misses their comparison.
+
 Pairs that are connected already need no comparison, so there are two rounds. The first compares each member with one
 hub of its shingle and size class (the group whose prefix has the shingle earliest) and with one member of its own group:
 a number of pairs linear in the prefixes, which joins up the members of a large group of near copies. The second forms all
@@ -27,6 +30,7 @@ other columns, whatever their names, aren't read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +45,7 @@ WIDTH = 3
 PERCENT = 90
 RANKED = 1 << 20
 BITS = 26
+WORDS = [f"w{i}" for i in range(8)]  # of a set's bitmap
 
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -133,26 +138,29 @@ def _digest(*arrays: np.ndarray) -> bytes:
 
 
 def signatures(named: DataFrame, order: Order, width: int, percent: int) -> DataFrame:
-    """(doc_id, digest, n, key, prefix) of rows (doc_id, text): digest names the set, key its prefix and size."""
+    """(doc_id, digest, n, key, prefix, bitmap) of rows (doc_id, text): digest names the set, key its prefix and size."""
     sent = named.sparkSession.sparkContext.broadcast((order.listed, order.ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = Order(*sent.value)
         for b in batches:
-            digest, n, key, prefix = [], [], [], []
+            digest, n, key, prefix, bitmap = [], [], [], [], np.zeros((b.num_rows, len(WORDS)), np.int64)
             for t in common.as_bytes(b.column(1)):
                 s = shingles(t, width)
                 p = order.first(s, prefix_length(len(s), percent)) if len(s) else s
+                odd = np.bincount((s & np.uint64(64 * len(WORDS) - 1)).astype(np.int64), minlength=64 * len(WORDS)) & 1
+                bitmap[len(n)] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
                 n.append(len(s))
                 digest.append(_digest(s))
                 key.append(_digest(p, np.array([len(s)])))
                 prefix.append(p.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
-                ["doc_id", "digest", "n", "key", "prefix"],
+                [b.column(0), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), *map(pa.array, bitmap.T.copy())],
+                ["doc_id", "digest", "n", "key", "prefix", *WORDS],
             )
 
-    return named.mapInArrow(run, f"doc_id {named.schema['doc_id'].dataType.simpleString()}, digest binary, n long, key binary, prefix array<long>")
+    words = ", ".join(f"{w} long" for w in WORDS)
+    return named.mapInArrow(run, f"doc_id {named.schema['doc_id'].dataType.simpleString()}, digest binary, n long, key binary, prefix array<long>, {words}")
 
 
 def _enough(shared: Column, n: Column, m: Column, percent: int) -> Column:
@@ -166,6 +174,13 @@ def _may(a: str, b: str, percent: int) -> Column:
     return _enough(left, c(a, "n"), c(b, "n"), percent)
 
 
+def _alike(a: str, b: str, percent: int) -> Column:
+    """Whether sets may overlap enough by their bitmaps; true where one isn't known."""
+    c = lambda t, x: F.col(f"{t}.{x}")
+    apart = reduce(Column.__add__, [F.bit_count(c(a, w).bitwiseXOR(c(b, w))) for w in WORDS])
+    return F.coalesce((100 + percent) * apart <= (100 - percent) * (c(a, "n") + c(b, "n")), F.lit(True))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, named: DataFrame, width: int, percent: int) -> DataFrame:
     """Of pairs (a, b) of sets (sid, digest, doc_id), those (u, v) that overlap enough, by their whole sets.
 
@@ -215,9 +230,10 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 
     some = signed.where("n > 0")
     groups = common.cut(some.groupBy("key").agg(F.max("n").alias("n"), F.max("prefix").alias("prefix")).withColumn("gid", F.monotonically_increasing_id()), "groups")
-    sets = some.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
-    sets = common.cut(sets.join(groups.select("key", "gid", "n"), "key").select("digest", "doc_id", "gid", "n").withColumn("sid", F.monotonically_increasing_id()), "sets")
-    hubs = sets.groupBy("gid").agg(F.min("sid").alias("hub"), F.count("*").alias("members"))
+    bitmap = [F.max(w).alias(w) for w in WORDS]
+    sets = some.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), *bitmap)
+    sets = common.cut(sets.join(groups.select("key", "gid", "n"), "key").drop("key").withColumn("sid", F.monotonically_increasing_id()), "sets")
+    hubs = sets.groupBy("gid", "n").agg(F.min_by(F.struct("sid", *WORDS), "sid").alias("hub"), F.count("*").alias("members")).select("gid", "n", "members", "hub.*")
 
     all_places = groups.select("gid", "n", F.posexplode("prefix").alias("place", "shingle"))
     shared = all_places.groupBy("shingle").agg(F.count("*").alias("groups")).where("groups > 1").select("shingle")
@@ -228,29 +244,34 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     classed = places.withColumn("of_size", size_class)
     best = classed.groupBy("shingle", "of_size").agg(F.min(F.struct("place", "n", "gid")).alias("best")).select("shingle", "of_size", "best.*")
     met = classed.alias("a").join(best.alias("b"), ["shingle", "of_size"]).where((F.col("a.gid") != F.col("b.gid")) & _may("a", "b", percent))
-    met = met.select(F.col("a.gid").alias("gid"), F.col("b.gid").alias("other")).distinct()
-    across = met.join(hubs.select(F.col("gid").alias("other"), F.col("hub").alias("b")), "other").join(sets.select("gid", F.col("sid").alias("a")), "gid")
-    within = sets.select("gid", F.col("sid").alias("a")).join(hubs.where("members > 1").select("gid", F.col("hub").alias("b")), "gid").where("a <> b")
-    pairs = common.cut(across.select("a", "b").union(within.select("a", "b")), "pairs")
+    met = met.select(F.col("a.gid").alias("mine"), F.col("b.gid").alias("other")).distinct()
+    of_other = hubs.withColumnRenamed("gid", "other").alias("b")
+    across = met.join(of_other, "other").join(sets.alias("a"), F.col("mine") == F.col("a.gid"))
+    within = sets.alias("a").join(hubs.where("members > 1").alias("b"), F.col("a.gid") == F.col("b.gid")).where("a.sid <> b.sid")
+    pairs = reduce(DataFrame.union, [x.where(_alike("a", "b", percent)).select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")) for x in (across, within)])
+    pairs = common.cut(pairs, "pairs")
     first = common.cut(verified(pairs, sets, named, width, percent), "links")
 
     # second round: members of different components
     stars = components(first)
-    marked = common.cut(sets.select("gid", "n", "sid").join(stars.select(F.col("u").alias("sid"), "v"), "sid", "left").select("gid", "n", "sid", F.coalesce("v", "sid").alias("label")), "labels")
-    labels = marked.groupBy("gid", "n", "label").agg(F.count("*").alias("members"))
-    own = labels.join(labels.groupBy("gid").count().where("count > 1").select("gid"), "gid").select(F.xxhash64("gid", F.lit("group")).alias("shingle"), F.lit(0).alias("place"), "gid", "n", "label")
-    spots = common.cut(places.join(labels, ["gid", "n"]).select("shingle", "place", "gid", "n", "label").union(own), "spots")
+    marked = sets.select("gid", "n", "sid", *WORDS).join(stars.select(F.col("u").alias("sid"), "v"), "sid", "left")
+    marked = common.cut(marked.select("gid", "n", "sid", F.coalesce("v", "sid").alias("label"), *WORDS), "labels")
+    alone = [F.when(F.count("*") == 1, F.max(w)).alias(w) for w in WORDS]
+    labels = marked.groupBy("gid", "n", "label").agg(*alone)
+    own = labels.join(labels.groupBy("gid").count().where("count > 1").select("gid"), "gid").withColumns({"shingle": F.xxhash64("gid", F.lit("group")), "place": F.lit(0)})
+    what = ["shingle", "place", "gid", "n", "label", *WORDS]
+    spots = common.cut(places.join(labels, ["gid", "n"]).select(what).union(own.select(what)), "spots")
     mixed = spots.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
     counted = spots.join(mixed, "shingle").groupBy("shingle", "label").agg(F.count("*").alias("spots"))
     main = common.cut(counted.groupBy("shingle").agg(F.max_by("label", F.struct("spots", "label")).alias("main")), "main-labels")
     told = common.cut(spots.join(main, "shingle"), "mixed-spots")
     a, b = told.where("label <> main").alias("a"), told.alias("b")
     other = (F.col("b.label") == F.col("b.main")) | (F.col("a.label") < F.col("b.label"))
-    crossed = a.join(b, F.col("a.shingle") == F.col("b.shingle")).where((F.col("a.label") != F.col("b.label")) & other & _may("a", "b", percent))
+    crossed = a.join(b, F.col("a.shingle") == F.col("b.shingle")).where((F.col("a.label") != F.col("b.label")) & other & _may("a", "b", percent) & _alike("a", "b", percent))
     crossed = crossed.select(F.col("a.gid").alias("ga"), F.col("a.label").alias("la"), F.col("b.gid").alias("gb"), F.col("b.label").alias("lb")).distinct()
-    member = lambda g, l, s: marked.select(F.col("gid").alias(g), F.col("label").alias(l), F.col("sid").alias(s))
-    pairs = crossed.join(member("ga", "la", "a"), ["ga", "la"]).join(member("gb", "lb", "b"), ["gb", "lb"])
-    pairs = common.cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    a, b = marked.alias("a"), marked.alias("b")
+    pairs = crossed.join(a, (F.col("ga") == F.col("a.gid")) & (F.col("la") == F.col("a.label"))).join(b, (F.col("gb") == F.col("b.gid")) & (F.col("lb") == F.col("b.label"))).where(_alike("a", "b", percent))
+    pairs = common.cut(pairs.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")).distinct(), "pairs")
     stars = components(first.union(verified(pairs, sets, named, width, percent)))
 
     rooted = sets.join(stars.select(F.col("u").alias("sid"), "v"), "sid", "left").select("digest", "doc_id", F.coalesce("v", "sid").alias("root"))
