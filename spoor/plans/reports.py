@@ -573,16 +573,17 @@ _LINES = "SELECT conv_id AS file, CAST(row_number() OVER (PARTITION BY conv_id O
 @query(
     "p5_parse",
     oracle(
-        f", l AS ({_LINES}), g AS (SELECT *, sum(CASE WHEN turn % 4 = 3 THEN 0 ELSE 1 END) OVER (PARTITION BY file ORDER BY line) AS m FROM l), c AS (SELECT file, m, min(line) AS line_number, count(*) AS n, arg_min(turn, line) AS turn, arg_min_null(sender, line) AS sender, arg_min(stamp, line) AS stamp FROM g WHERE m > 0 GROUP BY ALL)"
+        f", l AS ({_LINES}), g AS (SELECT *, sum(CASE WHEN turn % 4 = 3 THEN 0 ELSE 1 END) OVER (PARTITION BY file ORDER BY line) AS m FROM l), c AS (SELECT file, m, min(line) AS line_number, count(*) AS n, arg_min(turn, line) AS turn, arg_min_null(sender, line) AS sender, arg_min(stamp, line) AS stamp, string_agg(CASE WHEN turn % 4 = 3 THEN value ELSE regexp_replace(substr(value, length(stamp) + 4), '^[^:]+:\\s*', '') END, chr(10) ORDER BY line) AS said FROM g WHERE m > 0 GROUP BY ALL)"
         " SELECT file, line_number, stamp AS timestamp_raw, strptime(stamp, '%d/%m/%Y %H:%M') AS timestamp, CASE WHEN turn % 5 = 2 THEN NULL WHEN turn % 5 = 1 THEN coalesce(sender, '<anexado') ELSE sender END AS sender,"
         " CASE WHEN turn % 5 = 2 OR sender IS NULL AND turn % 5 <> 1 THEN 'system' WHEN sender IS NULL THEN 'text' WHEN turn % 5 = 0 AND n = 1 THEN 'sticker' WHEN turn % 5 = 1 AND n = 1 THEN 'media_ref' ELSE 'text' END AS message_type,"
-        " CASE WHEN sender IS NOT NULL AND turn % 5 = 1 AND n = 1 THEN 'foto um.jpg' END AS media_filename, turn % 5 > 2 AND n = 1 AS edited FROM c",
+        " CASE WHEN sender IS NOT NULL AND turn % 5 = 1 AND n = 1 THEN 'foto um.jpg' END AS media_filename, turn % 5 > 2 AND n = 1 AS edited,"
+        " CASE WHEN turn % 5 > 2 AND n = 1 THEN rtrim(replace(said, '<Esta mensagem foi editada>', '')) ELSE said END AS content FROM c",
         "messages",
     ),
 )
 def p5_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.sql(_LINES.replace("FROM messages", "FROM {m}"), m=table(spark, sf_dir, "messages"))
-    return chat.parse(lines).select("file", "line_number", "timestamp_raw", "timestamp", "sender", "message_type", "media_filename", "edited")
+    return chat.parse(lines).select("file", "line_number", "timestamp_raw", "timestamp", "sender", "message_type", "media_filename", "edited", "content")
 
 
 @query("p6_ids", oracle(" SELECT conv_id, turn, concat('m_', substr(sha256(content), 1, 12)) AS synthetic, concat('f_', substr(sha256(content), 1, 12)) AS file_id FROM messages", "messages"))

@@ -1,12 +1,11 @@
 """Chat exports: text files to typed messages, media maps and ids.
 
-Lines of a file are numbered by the reader's position in it, so any number of files parse in one job: lines are
-partitioned by file and ordered by line, which keeps a message whole wherever Spark splits its input.
+Lines are numbered by their file's splits, and messages are put together in segments of a file, with what is open
+carried over the edges: files of any number and size parse in one job.
 """
 
 from __future__ import annotations
 
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spoor.functions import temporal, text
+from spoor.sources import scratch
 
 # Header forms, markers and file types of chat exports.
 DASH = r"^(\d{1,2}/\d{1,2}/\d{2,4})\s+(\d{1,2}:\d{2}(?::\d{2})?)\s*-\s*(?:([^:]+):\s*)?(.*)$"
@@ -34,6 +34,8 @@ FILE_TYPES = {
 }
 TASKS = {"audio": "transcribe", "video": "extract_audio", "image": "visual_analysis", "document": "extract_document"}
 LRM = "\u200e"
+#: Lines that one task takes of a file when messages are put together.
+SEGMENT = 100_000
 
 
 def encoding_of(spark: SparkSession, path: str, probe: int = 65536) -> str:
@@ -53,10 +55,9 @@ def encoding_of(spark: SparkSession, path: str, probe: int = 65536) -> str:
 
 
 def _copied(spark: SparkSession, path: str, name: str) -> str:
-    """A copy of a file under a name that Spark reads, in the folder that all executors share if there is one."""
+    """A copy of a file under a name that Spark reads, in this application's part of the shared folder."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    base = spark.conf.get("spark.checkpoint.dir", None) or path.rsplit("/", 1)[0]
-    src, dst = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{base}/.spoor-{uuid.uuid4().hex}/{name}")
+    src, dst = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{scratch.fresh(spark, 'chat')}/{name}")
     jvm.org.apache.hadoop.fs.FileUtil.copy(src.getFileSystem(conf), src, dst.getFileSystem(conf), dst, False, conf)
     return dst.toString()
 
@@ -64,15 +65,21 @@ def _copied(spark: SparkSession, path: str, name: str) -> str:
 def read_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
     """(file, line, value): lines numbered from one within each file, in the file's order.
 
-    A file is one row of its bytes and is cut into lines on the executors; a chat is far below a row's 2 GB.
+    Files are read in splits, so one file of any size is many tasks. A line stands at its split's first byte and its
+    place in the split; how many lines each split has is a small table, whose running totals number the lines.
     Spark passes over names that open with an underscore, which chats have; such a file is read from a copy.
     """
     name = path.rsplit("/", 1)[-1]
     if name.startswith(("_", ".")):
         return read_lines(spark, _copied(spark, path, name.lstrip("_.")), encoding).withColumn("file", F.lit(path))
-    whole = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", encoding).alias("t"))
-    lines = F.split(F.regexp_replace("t", "\n$", ""), "\n")
-    return whole.select("file", F.posexplode(lines).alias("n", "value")).select("file", (F.col("n") + 1).alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
+    charset = {"latin-1": "iso-8859-1"}.get(encoding, encoding)
+    plain = F.decode(F.col("value").cast("binary"), charset)  # the reader takes bytes as they are
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    lines = spark.read.text(path).select(*split, F.monotonically_increasing_id().alias("at"), plain.alias("value"))
+    splits = lines.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    return lines.join(splits, ["file", "start"]).select("file", (F.col("at") + F.col("shift")).alias("line"), "value")
 
 
 def dialect(lines: DataFrame, key: str = "file") -> DataFrame:
@@ -101,6 +108,9 @@ def parse(lines: DataFrame, key: str = "file", strict: bool = False) -> DataFram
 
     lines has key, line and value. Lines that don't open a message continue the one before; those before the
     first message are dropped, and so are files of neither dialect, which are an error if strict.
+
+    A file is scanned in segments of so many lines. The last message that a segment opens is carried into the next
+    ones (a small table, a row a segment), so a message runs on over any edge and no task needs a whole file.
     """
     clean = lines.withColumn("value", F.replace(F.col("value"), F.lit(LRM), F.lit("")))
     spoken = dialect(lines, key)
@@ -110,8 +120,12 @@ def parse(lines: DataFrame, key: str = "file", strict: bool = False) -> DataFram
     known = clean.join(spoken.where("dialect is not null"), key)
     header = F.when(F.col("dialect") == "dash", F.col("value").rlike(DASH)).otherwise(F.col("value").rlike(BRACKET))
     flagged = known.withColumn("head", header)
-    order = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = flagged.withColumn("message", F.sum(F.col("head").cast("int")).over(order)).where("message > 0")
+    opened = F.when(F.col("head"), F.col("line"))
+    flagged = flagged.withColumn("segment", F.floor((F.col("line") - 1) / SEGMENT))
+    earlier = Window.partitionBy(key).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    carried = flagged.groupBy(key, "segment").agg(F.max(opened).alias("last")).select(key, "segment", F.max("last").over(earlier).alias("carried"))
+    within = Window.partitionBy(key, "segment").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = flagged.join(carried, [key, "segment"]).withColumn("message", F.coalesce(F.max(opened).over(within), F.col("carried"))).where("message is not null")
     part = lambda g: F.when(F.col("dialect") == "dash", F.regexp_extract("value", DASH, g)).otherwise(F.regexp_extract("value", BRACKET, g))
     pieces = numbered.select(key, "message", "line", "head", part(1).alias("d"), part(2).alias("t"), part(3).alias("s"), F.when(F.col("head"), part(4)).otherwise(F.col("value")).alias("v"))
     first = lambda c: F.max(F.when(F.col("head"), F.col(c)))

@@ -208,6 +208,32 @@ def test_chat_dialects(spark, tmp_path):
     assert ids.orderBy("line_number").first().message_id == "msg_o_L0001"
 
 
+def test_a_chat_parses_in_many_tasks(spark, tmp_path, monkeypatch):
+    """Splits of a few hundred bytes and segments of seven lines, so messages run over the edges of both."""
+    rnd = random.Random(2)
+    said, lines = [], [""]
+    for i in range(300):
+        body = [f"linha {i} é"] + ["mais " * rnd.randint(0, 9) for _ in range(rnd.choice([0, 0, 1, 30]))]
+        said.append((len(lines) + 1, "\n".join(body)))
+        lines += [f"04/04/2026 09:{i % 60:02d} - Ana: {body[0]}", *body[1:]]
+    (tmp_path / "_chat.txt").write_bytes("\r\n".join(lines).encode("latin-1"))
+    (tmp_path / "um.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "vazio.txt").write_text("")
+    monkeypatch.setattr(chat, "SEGMENT", 7)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "700b")
+    try:
+        for path, encoding in ((f"file://{tmp_path}/_chat.txt", "latin-1"), (f"file://{tmp_path}/*.txt", "utf-8")):
+            read = chat.read_lines(spark, path, encoding)
+            assert [r.value for r in read.orderBy("line").collect()] == lines
+            got = chat.parse(read).orderBy("line_number")
+            assert [(r.line_number, r.content) for r in got.collect()] == said
+            assert spark.read.text(f"file://{tmp_path}/um.txt").rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_hub_reads_each_source(spark):
     c = spark.createDataFrame([("o", 1, "f1", "transcription", None, "porque", None, '["pagamento"]', "classified"), ("o", 2, None, "text_message", "m1", None, None, "x", "classified"), ("o", 3, "f3", "visual_analysis", None, "", None, "[]", "classified"), ("o", 4, "f1", "transcription", None, None, "corrigido", None, "pending")], "obra string, id bigint, source_file_id string, source_type string, source_message_id string, reasoning string, human_corrected_text string, categories string, semantic_status string")
     files = spark.createDataFrame([("f1", "2026-04-06T10:00:00-03:00", "f0", None), ("f0", None, None, "m2"), ("f3", None, "f9", None), ("f9", "2026-04-07T08:00:00Z", None, None)], "file_id string, timestamp_resolved string, derived_from string, referenced_by_message string")
