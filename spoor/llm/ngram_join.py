@@ -181,16 +181,15 @@ def _alike(a: str, b: str, percent: int) -> Column:
     return F.coalesce((100 + percent) * apart <= (100 - percent) * (c(a, "n") + c(b, "n")), F.lit(True))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, named: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of sets (sid, digest, doc_id), those (u, v) that overlap enough, by their whole sets.
+def verified(pairs: DataFrame, named: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) of sets, each a struct (sid, digest, doc_id), those (u, v) that overlap enough, by their whole sets.
 
-    The sets are made again of the texts they came from, after a bitmap of fixed size has kept most others out; the join
-    with the sets' digests is exact.
+    The sets are made again of the texts they came from, after a bitmap of fixed size has kept most others out, and
+    shuffled by their digests once; the pairs come to them.
     """
     spark = pairs.sparkSession
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(sets.select("sid", "digest", "doc_id"), "sid")
-    wanted = common.cut(wanted.withColumn("bit", _bit("doc_id")), "wanted")
-    rows = wanted.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    asked = pairs.select(_bit("a.doc_id").alias("bit")).union(pairs.select(_bit("b.doc_id")))
+    rows = asked.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
     bitmap = np.zeros((1 << BITS) // 8, np.uint8)  # 8 MB, whatever the number of rows
     for r in rows:
         start = (r.bucket - 1) * len(r.bits)
@@ -200,19 +199,18 @@ def verified(pairs: DataFrame, sets: DataFrame, named: DataFrame, width: int, pe
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = sent.value
         for b in batches:
-            at = b.column(2).to_numpy() - 1
+            at = b.column(1).to_numpy() - 1
             b = b.filter(pa.array((bitmap[at >> 3] >> (at & 7)) & 1 == 1))
             for start in range(0, b.num_rows, 64):
-                part = b.slice(start, 64)
-                found = [shingles(t, width) for t in common.as_bytes(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_digest(s) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["id", "of", "shingles"])
-
-    made = named.withColumn("bit", _bit("doc_id")).mapInArrow(run, f"id {named.schema['doc_id'].dataType.simpleString()}, of binary, shingles array<long>")
-    whole = common.cut(made.join(wanted, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("digest"))).select("sid", "shingles").dropDuplicates(["sid"]), "whole-sets")
-    one, two = (whole.select(F.col("sid").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "x"), ("b", "y")))
-    both = pairs.join(one, "a").join(two, "b")
+                found = [shingles(t, width) for t in common.as_bytes(b.column(0).slice(start, 64))]
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["digest", "shingles"])
+
+    made = named.select("text", _bit("doc_id").alias("bit")).mapInArrow(run, "digest binary, shingles array<long>")
+    whole = made.groupBy("digest").agg(F.any_value("shingles").alias("shingles"))
+    one, two = (whole.select(F.col("digest").alias(d), F.col("shingles").alias(s)) for d, s in (("one", "x"), ("two", "y")))
+    both = pairs.select("a.sid", F.col("b.sid").alias("other"), F.col("a.digest").alias("one"), F.col("b.digest").alias("two")).join(one, "one").join(two, "two")
     near = both.where(_enough(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"), percent))
-    return near.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    return near.select(F.greatest("sid", "other").alias("u"), F.least("sid", "other").alias("v")).distinct()
 
 
 def _bit(doc_id: str) -> Column:
@@ -220,6 +218,10 @@ def _bit(doc_id: str) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(1 << BITS)) + 1
 
 
+def _set(side: str) -> Column:
+    return F.struct(*(F.col(f"{side}.{c}") for c in ("sid", "digest", "doc_id"))).alias(side)
+
+
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, ranked: int = RANKED) -> DataFrame:
     """(doc_id, n_shingles, component_id): the groups that links of percent or more connect, named by their least id."""
     spark = docs.sparkSession
@@ -233,7 +235,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     bitmap = [F.max(w).alias(w) for w in WORDS]
     sets = some.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), *bitmap)
     sets = common.cut(sets.join(groups.select("key", "gid", "n"), "key").drop("key").withColumn("sid", F.monotonically_increasing_id()), "sets")
-    hubs = sets.groupBy("gid", "n").agg(F.min_by(F.struct("sid", *WORDS), "sid").alias("hub"), F.count("*").alias("members")).select("gid", "n", "members", "hub.*")
+    hubs = sets.groupBy("gid", "n").agg(F.min_by(F.struct("sid", "digest", "doc_id", *WORDS), "sid").alias("hub"), F.count("*").alias("members")).select("gid", "n", "members", "hub.*")
 
     all_places = groups.select("gid", "n", F.posexplode("prefix").alias("place", "shingle"))
     shared = all_places.groupBy("shingle").agg(F.count("*").alias("groups")).where("groups > 1").select("shingle")
@@ -248,14 +250,14 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     of_other = hubs.withColumnRenamed("gid", "other").alias("b")
     across = met.join(of_other, "other").join(sets.alias("a"), F.col("mine") == F.col("a.gid"))
     within = sets.alias("a").join(hubs.where("members > 1").alias("b"), F.col("a.gid") == F.col("b.gid")).where("a.sid <> b.sid")
-    pairs = reduce(DataFrame.union, [x.where(_alike("a", "b", percent)).select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")) for x in (across, within)])
+    pairs = reduce(DataFrame.union, [x.where(_alike("a", "b", percent)).select(_set("a"), _set("b")) for x in (across, within)])
     pairs = common.cut(pairs, "pairs")
-    first = common.cut(verified(pairs, sets, named, width, percent), "links")
+    first = common.cut(verified(pairs, named, width, percent), "links")
 
     # second round: members of different components
     stars = components(first)
-    marked = sets.select("gid", "n", "sid", *WORDS).join(stars.select(F.col("u").alias("sid"), "v"), "sid", "left")
-    marked = common.cut(marked.select("gid", "n", "sid", F.coalesce("v", "sid").alias("label"), *WORDS), "labels")
+    marked = sets.join(stars.select(F.col("u").alias("sid"), "v"), "sid", "left")
+    marked = common.cut(marked.select("gid", "n", "sid", "digest", "doc_id", F.coalesce("v", "sid").alias("label"), *WORDS), "labels")
     alone = [F.when(F.count("*") == 1, F.max(w)).alias(w) for w in WORDS]
     labels = marked.groupBy("gid", "n", "label").agg(*alone)
     own = labels.join(labels.groupBy("gid").count().where("count > 1").select("gid"), "gid").withColumns({"shingle": F.xxhash64("gid", F.lit("group")), "place": F.lit(0)})
@@ -271,8 +273,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     crossed = crossed.select(F.col("a.gid").alias("ga"), F.col("a.label").alias("la"), F.col("b.gid").alias("gb"), F.col("b.label").alias("lb")).distinct()
     a, b = marked.alias("a"), marked.alias("b")
     pairs = crossed.join(a, (F.col("ga") == F.col("a.gid")) & (F.col("la") == F.col("a.label"))).join(b, (F.col("gb") == F.col("b.gid")) & (F.col("lb") == F.col("b.label"))).where(_alike("a", "b", percent))
-    pairs = common.cut(pairs.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")).distinct(), "pairs")
-    stars = components(first.union(verified(pairs, sets, named, width, percent)))
+    pairs = common.cut(pairs.select(F.least(_set("a"), _set("b")).alias("a"), F.greatest(_set("a"), _set("b")).alias("b")).distinct(), "pairs")
+    stars = components(first.union(verified(pairs, named, width, percent)))
 
     rooted = sets.join(stars.select(F.col("u").alias("sid"), "v"), "sid", "left").select("digest", "doc_id", F.coalesce("v", "sid").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
