@@ -2,9 +2,13 @@
 
 One pass over the training rows gathers counts of words, of grams (``ORDER`` bytes and the one after them) and of
 edges (see below); all else is derived from those. A symbol's probability after a context of up to ``ORDER`` bytes
-follows escape method C: what the context has counted is offered, and what escapes goes to the context a byte
-shorter, with the symbols already offered excluded. A context seen fewer than ``SURE`` times says less than the
-shorter one, so it escapes for certain.
+is that of all it has counted, however seldom, and what escapes goes to the context a byte shorter, with the symbols
+already offered excluded. What escapes is estimated from the counts themselves: leave out one occurrence of a context,
+and it is new to the context if its symbol was counted once. How often that is among all contexts of a length that then
+have about as many occurrences and symbols (a class for each doubling) gives a weight w, and a context of n occurrences
+of k symbols escapes with w k / (n + w k). Method C is w = 1; contexts seen once or twice get the weight they deserve.
+Contexts of ``ORDER`` bytes count every occurrence, and shorter ones each longer context once (update exclusion), as they
+serve what those haven't seen.
 
 Beyond ``ORDER`` bytes the trie is path-compressed: texts are cut into segments after bytes where a hash of the
 last gram allows it (``SEGMENT`` bytes apart on average), and an edge leads from a segment to the whole one after
@@ -33,6 +37,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +48,7 @@ from pyspark.sql import functions as F
 
 from spoor.llm import common
 
-ORDER, SURE, SEGMENT = 6, 16, 512
+ORDER, SEGMENT = 6, 512
 LISTED, FREQUENT = 1 << 22, 150_000
 HELD, HELD_WORDS, PIECE = 1_500_000, 200_000, 1 << 22
 #: Grams that are gathered before they are counted.
@@ -108,8 +113,8 @@ def _merged(ids: np.ndarray, ns: np.ndarray, more: np.ndarray) -> tuple[np.ndarr
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """(word, segment, gram, c): counts over all rows of words, of grams, and of edges seen twice or more, as the
-    segment before and, in gram, the one after; what doesn't apply is null."""
+    """(word, segment, gram, c): counts over all rows of words, of grams, and of edges, as the segment before and, in
+    gram, the one after; what doesn't apply is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
@@ -164,7 +169,7 @@ def _counted(docs: DataFrame) -> DataFrame:
     rows = rows.repartition("word", "segment", "gram")  # a task's rows are combined already: no partial aggregate
     with common.batches_of(spark, ROWS):
         counts = rows.groupBy("word", "segment", "gram").agg(F.sum("c").alias("c"))
-        return common.cut(counts.where("segment is null or c > 1"), "lm-counts")
+        return common.cut(counts, "lm-counts")
 
 
 @dataclass
@@ -208,13 +213,13 @@ class Listed:
 
 
 def _levels(counted: DataFrame) -> list[DataFrame]:
-    """For contexts of ``ORDER`` bytes down to none: (context, gram, c, n, kinds), the last two being the context's
-    sum and number of grams. Levels down to ``SUFFIX`` bytes share one shuffle; the shorter ones are small."""
+    """For contexts of ``ORDER`` bytes down to none: (context, gram, c, n, kinds, ones), the last three being the
+    context's sum, its number of grams, and of those that it has once. Levels down to ``SUFFIX`` bytes share one shuffle; the shorter ones are small."""
     out = []
     by = Window.partitionBy("suffix", "context")  # at most 256 rows each
 
     def level(rows: DataFrame) -> DataFrame:
-        return rows.select("size", "context", "gram", "c", F.sum("c").over(by).alias("n"), F.count("*").over(by).alias("kinds"))
+        return rows.select("size", "context", "gram", "c", F.sum("c").over(by).alias("n"), F.count("*").over(by).alias("kinds"), F.count_if(F.col("c") == 1).over(by).alias("ones"))
 
     def placed(rows: DataFrame, size: int) -> DataFrame:
         gram = rows.withColumn("gram", F.col("gram").bitwiseAND((1 << 8 * (size + 1)) - 1)) if size < ORDER else rows
@@ -226,12 +231,12 @@ def _levels(counted: DataFrame) -> list[DataFrame]:
     rows = suffixed(counted.where("gram is not null and segment is null"), SUFFIX).repartition("suffix")
     long = level(placed(rows, ORDER))
     for size in range(ORDER - 1, SUFFIX - 1, -1):
-        rows = placed(rows, size).groupBy("suffix", "size", "context", "gram").agg(F.sum("c").alias("c")).select("gram", "c", "suffix")
+        rows = placed(rows, size).groupBy("suffix", "size", "context", "gram").agg(F.count("*").alias("c")).select("gram", "c", "suffix")
         long = long.unionAll(level(placed(rows, size)))
     long = common.cut(long, "lm-levels")
     out = [long.where(F.col("size") == size) for size in range(ORDER, SUFFIX - 1, -1)]
     for size in range(SUFFIX - 1, -1, -1):
-        rows = placed(suffixed(out[-1], size), size).groupBy("suffix", "size", "context", "gram").agg(F.sum("c").alias("c"))
+        rows = placed(suffixed(out[-1], size), size).groupBy("suffix", "size", "context", "gram").agg(F.count("*").alias("c"))
         out.append(common.cut(level(rows), "lm-level"))
     return out
 
@@ -240,56 +245,84 @@ def _frequency() -> Column:
     return F.floor(F.log2("c") * 8).cast("int")  # at most 512 classes
 
 
-def listed(level: DataFrame, most: int | None = None) -> tuple[Listed, DataFrame]:
+def _class(n: Column) -> Column:
+    return F.floor(F.log2(n) + 1e-9).cast("int")
+
+
+#: Classes of symbols in a context: 1, 2 to 3, ..., 128 to 255, 256.
+KINDS = 9
+
+
+def _weights(contexts: DataFrame, by: str) -> dict[int, list[float]]:
+    """For each value of ``by``, the weights of escapes by classes of occurrences and symbols, of rows (by, n, kinds,
+    ones, share), of which a context's add up to a share of one. An occurrence that is left out leaves n - 1, and one
+    symbol less if that was counted once."""
+    left, once = F.col("n") - 1, F.col("ones")
+    new = contexts.where("n > 1 and ones > 0").select(by, left.alias("n"), (F.col("kinds") - 1).alias("kinds"), (once * F.col("share")).alias("times"), F.lit(1).alias("new"))
+    old = contexts.where("n > ones").select(by, left.alias("n"), "kinds", ((F.col("n") - once) * F.col("share")).alias("times"), F.lit(0).alias("new"))
+    place = _class(F.col("n")) * KINDS + F.least(_class(F.col("kinds")), F.lit(KINDS - 1))
+    total = lambda c: F.sum(F.col("times") * c)
+    rows = new.unionAll(old).groupBy(by, place.alias("place")).agg(total(F.col("new")).alias("new"), total(F.lit(1)).alias("times"), total(F.col("n")).alias("n"), total(F.col("kinds")).alias("kinds"))
+    out: dict[int, list[float]] = {}
+    for r in rows.collect():  # at most 63 * KINDS for each value
+        rate = (r.new + 0.5) / (r.times + 1)
+        out.setdefault(r[by], [1.0] * (64 * KINDS))[r.place] = rate / (1 - rate) * r.n / r.kinds
+    return out
+
+
+def _weight(weights: list[float] | None) -> Column:
+    """The weight of a context of n occurrences and so many kinds; one where no context tells."""
+    if weights is None:
+        return F.lit(1.0)
+    return F.get(F.lit(weights), _class(F.col("n")) * KINDS + F.least(_class(F.col("kinds")), F.lit(KINDS - 1)))
+
+
+def listed(level: DataFrame, weights: list[float] | None = None, most: int | None = None) -> tuple[Listed, DataFrame]:
     """The table of the most frequent grams, the most that equally frequent ones allow up to ``most``, of the
     longest contexts; and the level's other rows."""
     most = LISTED if most is None else most
-    sure = F.col("n") >= SURE
     at_least, total = 0, 0
-    for r in sorted(level.where(sure).groupBy(_frequency().alias("kind")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.kind):
+    for r in sorted(level.groupBy(_frequency().alias("kind")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.kind):
         total += r.n
         if total > most:
             at_least = r.kind + 1
             break
-    taken = sure & (_frequency() >= at_least)
-    rows = level.where(taken).select("gram", F.log10(F.col("c") / (F.col("n") + F.col("kinds"))).cast("float").alias("p")).toArrow()
+    taken = _frequency() >= at_least
+    rows = level.where(taken).select("gram", F.log10(F.col("c") / (F.col("n") + _weight(weights) * F.col("kinds"))).cast("float").alias("p")).toArrow()
     return Listed(np.array(rows.column("gram"), np.int64), np.array(rows.column("p"), np.float32)), level.where(~taken)
 
 
-def probabilities(levels: list[DataFrame], wanted: DataFrame, others: DataFrame | None = None) -> DataFrame:
+def probabilities(levels: list[DataFrame], weights: list[list[float] | None], wanted: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """(gram, p): log10 of the last byte's probability after those before it, for the distinct grams wanted. ``others``,
     if given, are the rows of the first level that a wanted gram can have.
 
     What longer contexts offered is what the next longer one did, as their symbols are among its own. So a context's
     share under exclusion follows from its count and kinds, less the sum of its counts and the number of the symbols
     that the longer one has. That is looked up only for grams that the context hasn't seen; those that it has are
-    done there, or go on from an unsure context as if it were not.
+    done there.
     """
     zero = F.lit(0).cast("long")
     out = wanted.select("gram", F.lit(0.0).alias("escape"), zero.alias("gone_n"), zero.alias("gone_kinds"))
     done = None
+    left_n, left_kinds = F.col("n") - F.col("gone_n"), F.col("kinds") - F.col("gone_kinds")
     for k, level in enumerate(levels):
         size = ORDER - k
-        least = SURE if size else 1
+        weight = _weight(weights[k])
         low = F.col("gram").bitwiseAND((1 << 8 * (size + 1)) - 1)
         rows = (others if others is not None and not k else level).select(F.col("gram").alias("g"), "c", "n", "kinds")
         met = common.cut(out.withColumn("g", low).join(F.broadcast(rows) if size <= 1 else rows, "g", "left"), "lm-met")  # at most 65,536 rows of one byte's contexts
-        sure = F.col("n") >= least
-        found = met.where(sure).select("gram", (F.col("escape") + F.log10(F.col("c") / (F.col("n") + F.col("kinds") - F.col("gone_n") - F.col("gone_kinds")))).alias("p"))
+        found = met.where("n is not null").select("gram", (F.col("escape") + F.log10(F.col("c") / (left_n + weight * left_kinds))).alias("p"))
         done = found if done is None else done.unionAll(found)
-        unsure = met.where(F.col("n") < least).select("gram", "escape", zero.alias("gone_n"), zero.alias("gone_kinds"))
         new = met.where("n is null").select("gram", "escape", "gone_n", "gone_kinds", F.shiftright("g", 8).alias("context"))
-        had = level.where(sure).join(new.select("context").distinct(), "context", "left_semi")
+        had = level.join(new.select("context").distinct(), "context", "left_semi")
         if size:
             shorter = levels[k + 1].select(F.col("gram").alias("g"), F.col("c").alias("s"))
             had = had.withColumn("g", F.col("gram").bitwiseAND((1 << 8 * size) - 1)).join(shorter, "g")
         else:
             had = had.withColumn("s", zero)
         contexts = had.groupBy("context").agg(F.max("n").alias("n"), F.max("kinds").alias("kinds"), F.sum("s").alias("under"))
-        left_kinds = F.col("kinds") - F.col("gone_kinds")
-        share = left_kinds / (F.col("n") - F.col("gone_n") + left_kinds)
-        escaped = new.join(contexts, "context", "left").select("gram", (F.col("escape") + F.when(left_kinds > 0, F.log10(share)).otherwise(0.0)).alias("escape"), F.coalesce("under", zero).alias("gone_n"), F.coalesce("kinds", zero).alias("gone_kinds"))
-        out = unsure.unionAll(escaped)
+        share = weight * left_kinds / (left_n + weight * left_kinds)
+        out = new.join(contexts, "context", "left").select("gram", (F.col("escape") + F.when(left_kinds > 0, F.log10(share)).otherwise(0.0)).alias("escape"), F.coalesce("under", zero).alias("gone_n"), F.coalesce("kinds", zero).alias("gone_kinds"))
     rest = out.select("gram", (F.col("escape") - F.log10(F.greatest(SYMBOLS - F.col("gone_kinds"), F.lit(1)))).alias("p"))
     return done.unionAll(rest)
 
@@ -387,7 +420,10 @@ def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
     frequent = words.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
     known = dict(zip(frequent.column("word").to_pylist(), (math.log10((c + 1) / whole) for c in frequent.column("c").to_pylist())))
     levels = _levels(counted)
-    table, others = listed(levels[0])
+    shares = [x.select(F.lit(ORDER - k).alias("size"), "n", "kinds", "ones", (1 / F.col("kinds")).alias("share")) for k, x in enumerate(levels)]
+    found = _weights(reduce(DataFrame.unionAll, shares), "size")
+    weights = [found.get(size) for size in range(ORDER, -1, -1)]
+    table, others = listed(levels[0], weights[0])
     first = _first(docs, known, table)
 
     none = F.lit(None).cast("double")
@@ -395,13 +431,16 @@ def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
     c = F.coalesce("c", zero)
     of_words = first.select("row", F.inline("rare")).join(words, "word", "left").select("row", F.lit(-1).alias("seg"), F.lit(0.0).alias("s"), none.alias("edge"), F.lit(0.0).alias("escape"), (F.col("tf") * F.log10((c + 1) / F.lit(float(whole)))).alias("more"), F.when(c > 0, F.col("tf")).otherwise(0).alias("k"))
     grams = first.select("row", F.inline("grams"))
-    p = probabilities(levels, grams.select("gram").distinct(), others)
+    p = probabilities(levels, weights, grams.select("gram").distinct(), others)
     of_grams = grams.join(p, "gram").select("row", "seg", (F.col("tf") * F.col("p")).alias("s"), none.alias("edge"), F.lit(0.0).alias("escape"), F.lit(0.0).alias("more"), zero.alias("k"))
     edges = counted.where("segment is not null").select(F.col("segment").alias("before"), F.col("gram").alias("own"), "c")
-    leaving = edges.groupBy("before").agg(F.sum("c").alias("n"), F.count("*").alias("kinds"))
+    leaving = edges.groupBy("before").agg(F.sum("c").alias("n"), F.count("*").alias("kinds"), F.count_if(F.col("c") == 1).alias("ones"))
+    leaving = common.cut(leaving.withColumn("start", (F.col("before") == 0).cast("int")), "lm-edges")
+    of_edges = _weights(leaving.withColumn("share", F.lit(1.0)), "start")  # texts' starts are a context of their own kind
+    kinds = F.when(F.col("start") == 1, _weight(of_edges.get(1))).otherwise(_weight(of_edges.get(0))) * F.col("kinds")
     segs = first.select("row", F.inline("segs")).join(edges, ["before", "own"], "left").join(leaving, "before", "left")
-    both = F.col("n") + F.col("kinds")
-    of_segs = segs.select("row", "seg", "s", F.log10(F.col("c") / both).alias("edge"), F.coalesce(F.log10(F.col("kinds") / both), F.lit(0.0)).alias("escape"), F.lit(0.0).alias("more"), zero.alias("k"))
+    both = F.col("n") + kinds
+    of_segs = segs.select("row", "seg", "s", F.log10(F.col("c") / both).alias("edge"), F.coalesce(F.log10(kinds / both), F.lit(0.0)).alias("escape"), F.lit(0.0).alias("more"), zero.alias("k"))
 
     all_parts = of_words.unionAll(of_grams).unionAll(of_segs).repartition("row")  # a row's parts serve both groupings
     by_seg = all_parts.groupBy("row", "seg").agg(F.sum("s").alias("s"), F.max("edge").alias("edge"), F.sum("escape").alias("escape"), F.sum("more").alias("more"), F.sum("k").alias("k"))
