@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.operators import correlations, detectors, hub, state, usage
-from spoor.sources import chat, records
+from spoor.sources import chat, records, tables
 
 
 def session() -> SparkSession:
@@ -37,7 +37,7 @@ def ingest(v: Vault, a: argparse.Namespace) -> dict:
     """Parse a chat export's text into messages; what is there already is skipped."""
     lines = chat.read_lines(v.spark, a.chat, chat.encoding_of(v.spark, a.chat))
     messages = chat.with_ids(chat.parse(lines, strict=True), F.lit(a.corpus)).withColumn("obra", F.lit(a.corpus))
-    inserted, skipped = records.append_new(f"{v.path}/messages", messages, ["obra", "content_hash"])
+    inserted, skipped = tables.append_new(f"{v.path}/messages", messages, ["obra", "content_hash"])
     return {"inserted": inserted, "skipped": skipped}
 
 

@@ -69,4 +69,13 @@ def accuracy(analyses: DataFrame, words: list[str], body: str = "body") -> DataF
 
 
 def divergent(a: ColumnOrName, b: ColumnOrName, below: float = 0.3) -> Column:
-    return text.jaccard(text.near_tokens(a), text.near_tokens(b)) < below
+    """Whether two texts, each with words, share fewer of all their folded words than that."""
+    words = lambda c: F.array_distinct(F.filter(F.split(text.inclusive_fold(c), r"\s+"), lambda w: w != ""))
+    one, two = words(a), words(b)
+    return (F.size(one) > 0) & (F.size(two) > 0) & (text.jaccard(one, two) < below)
+
+
+def divergences(analyses: DataFrame) -> DataFrame:
+    """(item, first, last, divergent) of items with two analyses (item, id, body) or more: the first against the last."""
+    ends = analyses.groupBy("item").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min_by("body", "id").alias("_a"), F.max_by("body", "id").alias("_b"))
+    return ends.where("first <> last").select("item", "first", "last", divergent("_a", "_b").alias("divergent"))

@@ -160,9 +160,32 @@ def f11_payment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("id", contracts.payment(said).alias("r")).select("id", "r.doc_type", "r.valor_centavos", "r.moeda", "r.descricao", "r.confidence")
 
 
-@query("a20_accuracy", oracle(" SELECT lang AS version, count(*) AS samples, count(*) FILTER (WHERE contains(lower(strip_accents(replace(text, 'ß', ' '))), 'onhe') OR contains(lower(strip_accents(replace(text, 'ß', ' '))), 'euxa')) AS matched, 0 AS unhelpful FROM documents GROUP BY 1", "files"))
+_SEEN = "SELECT doc_id AS id, lang AS version, CASE doc_id % 5 WHEN 0 THEN concat(substr(text, 1, 60), ' Não identificado') WHEN 1 THEN concat(text, ' não há atividade: NÃO APLICÁVEL') WHEN 2 THEN concat(text, ' sem atividade') ELSE text END AS body FROM documents"
+_FOLD_BODY = "lower(strip_accents(replace(body, 'ß', '§')))"
+_UNHELPFUL = f"list_sum(list_transform([{', '.join(repr(m) for m in contracts.UNHELPFUL)}], lambda m: CASE WHEN contains({_FOLD_BODY}, m) THEN 1 ELSE 0 END))"
+
+
+@query(
+    "a20_accuracy",
+    oracle(f", a AS ({_SEEN}), h AS (SELECT version, contains({_FOLD_BODY}, 'onhe') OR contains({_FOLD_BODY}, 'euxa') AS hit, length({_FOLD_BODY}) AS n, {_UNHELPFUL} AS marks FROM a) SELECT version, count(*) AS samples, count(*) FILTER (WHERE hit) AS matched, count(*) FILTER (WHERE marks >= 2 OR marks >= 1 AND n < 100) AS unhelpful FROM h GROUP BY 1", "files"),
+)
 def a20_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contracts.accuracy(raw(spark, sf_dir, "documents").select(F.col("lang").alias("version"), F.col("text").alias("body")), ["Onhe", "êuxa".replace("ê", "e")])
+    seen = spark.sql(_SEEN.replace("FROM documents", "FROM {d}"), d=raw(spark, sf_dir, "documents"))
+    return contracts.accuracy(seen, ["Onhe", "êuxa".replace("ê", "e")])
+
+
+@query(
+    "a20_divergent",
+    oracle(
+        ", t AS (SELECT doc_id // 3 AS item, doc_id AS id, list_distinct(list_filter(string_split_regex(lower(strip_accents(replace(text, 'ß', '§'))), '\\s+'), lambda w: w <> '')) AS words FROM documents), e AS (SELECT item, min(id) AS a, max(id) AS b FROM t GROUP BY 1 HAVING count(*) > 1)"
+        " SELECT e.item, e.a AS first, e.b AS last, len(x.words) > 0 AND len(y.words) > 0 AND len(list_intersect(x.words, y.words)) / greatest(len(list_distinct(list_concat(x.words, y.words))), 1)::DOUBLE < 0.3 AS divergent FROM e JOIN t x ON x.id = e.a JOIN t y ON y.id = e.b",
+        "files",
+    ),
+)
+def a20_divergent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of several analyses whose first and last have little in common."""
+    d = raw(spark, sf_dir, "documents")
+    return contracts.divergences(d.select(F.floor(F.col("doc_id") / 3).alias("item"), F.col("doc_id").alias("id"), F.col("text").alias("body")))
 
 
 @query("a21_reprocessed", oracle(" SELECT count(*) AS total, count(*) FILTER (WHERE confidence >= 0.5) AS confident, count(*) FILTER (WHERE superseded_by IS NOT NULL) AS archived FROM analyses", "analyses"))

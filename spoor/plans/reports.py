@@ -349,12 +349,18 @@ def f21_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "narratives").select("id", F.array_join(text.cited("narrative_text"), " ").alias("cited"))
 
 
-@query("f22_composed", oracle(f"{_WEEKS}, k AS (SELECT w.obra, w.label, {_CITED} AS ids FROM w JOIN narratives n ON n.obra = w.obra AND n.scope = 'day' AND n.scope_ref BETWEEN CAST(w.first AS VARCHAR) AND CAST(w.last AS VARCHAR)) SELECT obra, label, count(*) AS n, CAST(len(list_distinct(flatten(list(ids)))) AS INT) AS ids FROM k GROUP BY ALL", "narratives"))
+@query(
+    "f22_composed",
+    oracle(
+        f"{_WEEKS}, k AS (SELECT w.obra, w.label, n.scope_ref, trim(n.narrative_text) AS t, {_CITED} AS ids FROM w JOIN narratives n ON n.obra = w.obra AND n.scope = 'day' AND n.scope_ref BETWEEN CAST(w.first AS VARCHAR) AND CAST(w.last AS VARCHAR)),"
+        " g AS (SELECT obra, label, count(*) AS n, string_agg(concat(chr(10), '## ', scope_ref, chr(10), t, chr(10)), '' ORDER BY scope_ref, t) AS body, list_sort(list_distinct(flatten(list(ids)))) AS ids FROM k GROUP BY ALL)"
+        " SELECT obra, label, n, concat('# Período: ', label, ' (week)', chr(10), '# Narrativas filhas (', n, ' de day):', chr(10), body, CASE WHEN len(ids) = 0 THEN '' ELSE concat(chr(10), '# Evidências citadas (file_ids):', chr(10), array_to_string(list_transform(range(0, len(ids), 8), lambda i: array_to_string(ids[i + 1:i + 8], ', ')), chr(10)), chr(10)) END) AS input FROM g",
+        "narratives",
+    ),
+)
 def f22_composed(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "narratives")
-    out = narratives.composed(narratives.children(n, narratives.buckets(n, "week"), "day"), "week")
-    tail = F.regexp_extract("input", r"(?s)\(file_ids\):\n(.*)$", 1)
-    return out.select("obra", "label", "n", F.size(F.regexp_extract_all(tail, F.lit(r"((?:m|f|c|fr)_\w+)"), 1)).alias("ids"))
+    return narratives.composed(narratives.children(n, narratives.buckets(n, "week"), "day"), "week")
 
 
 @query(
@@ -376,9 +382,32 @@ def checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Media and usage.
 
 
-@query("p18_verdict", oracle(" SELECT file_id, CASE WHEN size_bytes < 5120 THEN 'too_small' WHEN width < 100 OR height < 100 THEN 'dimensions_too_small' END AS reason FROM files", "files"))
+_SHOTS = "SELECT file_id, CASE n % 11 WHEN 0 THEN 31457280 WHEN 1 THEN 16777216 WHEN 2 THEN 4096 ELSE size_bytes END AS size, CASE n % 13 WHEN 0 THEN NULL WHEN 1 THEN 9000 WHEN 2 THEN 6000 WHEN 3 THEN 80 ELSE width END AS w, height AS h, CASE n % 7 WHEN 0 THEN NULL ELSE n % 50 END AS sharp FROM files"
+
+
+def _verdicts(least: int, most: int, px: int, wide: int, sharp: int) -> dict[str, str]:
+    return {
+        "too_small": f"size < {least}",
+        "too_large": f"size > {most}",
+        "corrupted": "w IS NULL OR h IS NULL",
+        "dimensions_too_small": f"w < {px} OR h < {px}",
+        "dimensions_too_large": f"w > {wide} OR h > {wide}",
+        "too_blurry": f"sharp < {sharp}",
+    }
+
+
+_STRICT_V, _MILD_V = _verdicts(5120, 15728640, 100, 5000, 30), _verdicts(3072, 26214400, 64, 8192, 10)
+_HARD = ("too_small", "corrupted", "dimensions_too_small")
+_CASES = lambda v, names: "CASE " + " ".join(f"WHEN {v[k]} THEN '{k}'" for k in names) + " END"
+_SOFT = ", ".join(f"CASE WHEN {v} THEN '{k}' END" for k, v in _MILD_V.items() if k not in _HARD)
+
+
+@query("p18_verdict", oracle(f", s AS ({_SHOTS}) SELECT file_id, {_CASES(_STRICT_V, _STRICT_V)} AS strict, {_CASES(_MILD_V, _HARD)} AS mild, CASE WHEN {_CASES(_MILD_V, _HARD)} IS NULL THEN concat_ws(',', {_SOFT}) ELSE '' END AS warnings FROM s", "files"))
 def p18_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "files").select("file_id", media.verdict("size_bytes", "width", "height", F.lit(None).cast("double"), strict=True)[1].alias("reason"))
+    """All reasons of both forms, and what the mild one only warns of."""
+    shots = spark.sql(_SHOTS.replace("FROM files", "FROM {files}"), files=table(spark, sf_dir, "files"))
+    (_, strict, _), (_, mild, warned) = (media.verdict("size", "w", "h", F.col("sharp").cast("double"), strict=x) for x in (True, False))
+    return shots.select("file_id", strict.alias("strict"), mild.alias("mild"), F.array_join(warned, ",").alias("warnings"))
 
 
 @query("p19_route", oracle(" SELECT file_id, CASE WHEN width / greatest(height, 1)::DOUBLE BETWEEN 0.35 AND 0.75 AND width BETWEEN 200 AND 2400 AND height BETWEEN 200 AND 2400 AND n % 3 <> 1 THEN 'financial' WHEN n % 3 = 0 THEN 'document' ELSE 'vision' END AS target FROM files", "files"))
@@ -634,6 +663,25 @@ def f4_prompt_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "narratives").select("id", text.prompt_hash("prompt_template_hash").alias("h"))
 
 
-@query("k4_documents", oracle(f" SELECT doc_id, CAST(len({tokens_sql("replace(text, 'ß', '§')")}) AS INT) AS n FROM documents", "files"))
+# Unicode's decomposition leaves ß a letter of its own, which parts words here; DuckDB would spell it out.
+@query("k4_documents", oracle(f" SELECT doc_id, array_to_string(list_sort({tokens_sql("replace(text, 'ß', '§')")}), ' ') AS tokens FROM documents", "files"))
 def k4_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw(spark, sf_dir, "documents").select("doc_id", F.size(text.scope_tokens("text")).alias("n"))
+    return raw(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(text.scope_tokens("text")), " ").alias("tokens"))
+
+
+_PLAIN = "trim(translate(text, concat(chr(10), chr(9), chr(13), '#'), '    '))"
+_OVERVIEW = f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat('# Narrativa: x', chr(10), chr(10), '## Sumário Executivo', chr(10), trim(substr({_PLAIN}, 1, 1000)), chr(10), chr(10), '## fim') ELSE concat('# Narrativa: x', chr(10), chr(10), 'curto', chr(10), chr(10), {_PLAIN}) END AS body, CASE WHEN doc_id % 2 = 0 THEN trim(substr({_PLAIN}, 1, 1000)) ELSE {_PLAIN} END AS para FROM documents"
+_SHORT = "CASE WHEN length({c}) <= 800 THEN {c} ELSE concat(regexp_replace(substr({c}, 1, 797), ' [^ ]*$', ''), '…') END"
+
+
+@query(
+    "f24_summary",
+    oracle(
+        f", o AS ({_OVERVIEW}), p AS (SELECT *, concat('## Sumário Executivo', chr(10), para) AS headed FROM o) SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND length(para) >= 79 THEN {_SHORT.format(c='para')} WHEN doc_id % 2 = 0 AND length(headed) > 80 THEN headed WHEN doc_id % 2 = 0 THEN concat(headed, chr(10), chr(10), '## fim') WHEN length(para) > 80 THEN {_SHORT.format(c='para')} ELSE trim(concat('curto', chr(10), chr(10), para), concat(' ', chr(10))) END AS summary FROM p",
+        "files",
+    ),
+)
+def f24_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraph under the summary's heading where it is long enough, else the first substantial one, else the start."""
+    made = spark.sql(_OVERVIEW.replace("FROM documents", "FROM {d}"), d=raw(spark, sf_dir, "documents"))
+    return made.select("doc_id", narratives.summary("body").alias("summary"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spoor.functions import temporal, text
-from spoor.sources import scratch
+from spoor.sources import digests, scratch
 
 # Header forms, markers and file types of chat exports.
 DASH = r"^(\d{1,2}/\d{1,2}/\d{2,4})\s+(\d{1,2}:\d{2}(?::\d{2})?)\s*-\s*(?:([^:]+):\s*)?(.*)$"
@@ -173,11 +173,16 @@ def downstream_task(kind: text.ColumnOrName) -> Column:
     return out.otherwise(None)
 
 
-def census(spark: SparkSession, path: str) -> DataFrame:
-    """(path, file_id, sha256, size_bytes, file_type) of all files under path."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    sha = F.sha2("content", 256)
-    return rows.select("path", file_id(sha).alias("file_id"), sha.alias("sha256"), F.col("length").alias("size_bytes"), file_type("path").alias("file_type"))
+def census(spark: SparkSession, path: str, tasks: int = 200) -> DataFrame:
+    """(path, file_id, sha256, size_bytes, file_type) of all files under path, or of one file. Files are digested as
+    streams, where Python reaches their file system; elsewhere each is read as one row, of 2 GB at most."""
+    if path.split(":", 1)[0] in digests.SCHEMES:
+        spark.dataSource.register(digests.FileDigests)
+        rows = spark.read.format("file_digests").option("path", path).option("tasks", tasks).load()
+    else:
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        rows = rows.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    return rows.select("path", file_id("sha256").alias("file_id"), "sha256", "size_bytes", file_type("path").alias("file_type"))
 
 
 def members(spark: SparkSession, zip_path: str) -> DataFrame:

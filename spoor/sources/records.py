@@ -7,7 +7,7 @@ import json
 import re
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,35 +45,29 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.write.mode("errorifexists").text(path)
 
 
+def _all(rows: DataFrame) -> Column:
+    return F.struct(*(F.col(f"`{c}`") for c in rows.columns))
+
+
 def insert_new(existing: DataFrame, incoming: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """Incoming rows whose key isn't there yet, one for each key: the first in order. First write wins."""
     if order is None:
         one = incoming.dropDuplicates(keys)
     else:
-        one = incoming.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_k = 1").drop("_k")
+        one = incoming.groupBy(*keys).agg(F.min_by(_all(incoming), F.struct(order)).alias("_row")).select("_row.*")
     return one.join(existing.select(*keys).distinct(), keys, "left_anti")
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], version: str) -> DataFrame:
+def latest(existing: DataFrame, incoming: DataFrame, keys: list[str], version: str) -> DataFrame:
     """Both, with the greatest version of each key; of equal versions the incoming row, and of those the one whose
-    values are the greatest, so the result doesn't depend on how rows are dealt."""
+    values are the greatest, so the result doesn't depend on how rows are dealt. Rows combine before they are shuffled."""
     both = existing.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
     row = F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(existing.columns))))
-    order = Window.partitionBy(*keys).orderBy(F.desc(version), F.desc("_new"), F.desc(row))
-    return both.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k", "_new")
-
-
-def append_new(path: str, incoming: DataFrame, keys: list[str]) -> tuple[int, int]:
-    """Append what is new under path; (inserted, skipped), counted in the rows as they are written."""
-    spark = incoming.sparkSession
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-    existing = spark.read.parquet(path) if there else incoming.limit(0)
-    came, went = Observation(), Observation()
-    fresh = insert_new(existing, incoming.observe(came, F.count(F.lit(1)).alias("n")), keys)
-    fresh.observe(went, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
-    return went.get["n"], came.get["n"] - went.get["n"]
+    best = F.max_by(_all(existing), F.struct(F.col(version), "_new", row))
+    return both.groupBy(*keys).agg(best.alias("_row")).select("_row.*")
+
+
+upsert = latest
 
 
 def prune(value: Any) -> Any:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from spoor.operators import detectors
-from spoor.sources.records import insert_new
+from spoor.functions import money, temporal
+from spoor.sources.tables import append_new
 
 
 def read_table(spark: SparkSession, path: str, schema: str, per_trigger: int = 64) -> DataFrame:
@@ -29,21 +31,40 @@ def payment_context(events: DataFrame, payments: DataFrame, window: int = detect
     return p.join(e, near).select("obra", F.concat(F.lit("fr_"), "p_id").alias("primary_event_ref"), F.concat(F.lit("c_"), "e_id").alias("related_event_ref"), gap.cast("bigint").alias("time_gap_seconds"), F.least(F.col("n") / 3.0, F.lit(1.0)).alias("confidence"))
 
 
+def math_relations(events: DataFrame, payments: DataFrame, window: int = detectors.WINDOWS["math"], late: str = "1 hour") -> DataFrame:
+    """The value detector over two streams: payments and amounts join on value band and time, so that a new row is
+    compared with those of its own order only; what is older than the window and the watermark leaves the state."""
+    e = detectors.said_amounts(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late))
+    e = e.select(F.col("obra").alias("e_obra"), "e_id", "e_ts", "m", F.col("band").alias("e_band"))
+    p = detectors.paid_amounts(payments.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late))
+    near = F.expr(f"e_obra = obra AND e_band = band AND e_ts BETWEEN p_ts - INTERVAL {window} SECONDS AND p_ts + INTERVAL {window} SECONDS")
+    pairs = p.join(e, near).withColumn("gap", temporal.seconds_between(F.col("e_ts"), F.col("p_ts")))
+    return detectors.related_amounts(pairs)
+
+
+def contract_renegotiation(earlier: DataFrame, later: DataFrame, window: int = detectors.WINDOWS["contract_renegotiation"], late: str = "1 hour") -> DataFrame:
+    """The renegotiation detector over a stream joined with itself (two readers of one source), on specific stem, value
+    band and time; a row stays in the state for the window and the watermark."""
+    timed = lambda rows: rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    first, second = detectors.named_totals(timed(earlier), "p", around=1), detectors.named_totals(timed(later), "e")
+    second = second.withColumnsRenamed({"obra": "e_obra", "stem": "e_stem", "band": "e_band"})
+    ahead = F.expr(f"e_obra = obra AND e_stem = stem AND e_band = band AND e_ts > p_ts AND e_ts <= p_ts + INTERVAL {window} SECONDS")
+    return detectors.renegotiated(first.join(second, ahead))
+
+
 def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Events by corpus, day and source type; a day is final when its watermark has passed."""
     timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
     return timed.groupBy(F.window("at", "1 day"), "obra", "source_type").agg(F.count("*").alias("n")).select("obra", F.to_date("window.start").alias("day"), "source_type", "n")
 
 
-def append_once(stream: DataFrame, path: str, keys: list[str], checkpoint: str) -> DataStreamWriter:
-    """A sink that inserts what isn't under path yet. A batch that is replayed after a failure writes nothing twice."""
+def append_once(stream: DataFrame, path: str, keys: list[str], checkpoint: str, name: str | None = None) -> DataStreamWriter:
+    """A sink that inserts what isn't under path yet, beside other writers of it. A batch that is replayed after a failure
+    is known by its epoch, under ``name`` (the checkpoint's place by default), and writes nothing."""
+    known = hashlib.sha256((name or checkpoint).encode()).hexdigest()[:16]
 
     def put(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-        existing = spark.read.parquet(path) if there else batch.limit(0)
-        insert_new(existing, batch, keys).write.mode("append").parquet(path)
+        append_new(path, batch, keys, f"{known}-{epoch}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
 

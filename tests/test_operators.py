@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from spoor.functions import text
 from spoor.operators import detectors, hub, joins, media, narratives, state, usage
-from spoor.sources import chat, records
+from spoor.sources import chat, records, tables
 from spoor.streaming import live
 
 PAID = dt.datetime(2026, 4, 6, 11)
@@ -293,8 +293,8 @@ def test_sharpness(spark):
 
 def test_append_new_is_idempotent(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "id int, v string")
-    assert records.append_new(f"file://{tmp_path}/t", rows, ["id"]) == (2, 1)
-    assert records.append_new(f"file://{tmp_path}/t", rows, ["id"]) == (0, 3)
+    assert tables.append_new(f"file://{tmp_path}/t", rows, ["id"]) == (2, 1)
+    assert tables.append_new(f"file://{tmp_path}/t", rows, ["id"]) == (0, 3)
 
 
 def test_log_skips_bad_lines(spark, tmp_path):
