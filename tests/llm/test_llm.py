@@ -390,6 +390,16 @@ def test_cascade_keeps_what_every_rule_lets_pass(docs):
     assert {r.doc_id for r in quality.keep(docs).collect()} == kept and kept
 
 
+def test_order_is_settled_by_what_rules_read(docs):
+    named = quality.rules()
+    first = quality.order(docs, named)
+    assert all(quality.order(docs, named) == first for _ in range(4))
+    cost = quality.costs(docs.select("text"), named)
+    assert cost[quality.REPEATED] > cost["letterless_words"] > cost["exclamations"] > cost["few_words"] == cost["symbols"] > 0
+    seconds = quality.timed(docs.select("text").limit(200), named)
+    assert seconds[quality.REPEATED] > seconds["few_words"]
+
+
 def test_dear_rules_go_back(spark):
     """An expensive rule that stands first and rejects as much as a cheap one goes behind it, time after time."""
     rows = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(60))) for i in range(200)], "doc_id long, text string")
