@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoor.functions import money, temporal, text
+from spoor.sources import tables
 
 # Preference among prompt versions, markers of inference, and limits of a narrative.
 PRIORITY = {"narrator_v3_1_anchoring": 100, "narrator_v3_gt": 90, "narrator_v4_adversarial": 85, "narrator_v2_1_anchoring": 70, "narrator_v2_correlations": 60, "narrator_v1": 50}
@@ -130,3 +131,35 @@ def checklist(narratives: DataFrame, payments: DataFrame, timeline: DataFrame, m
 def cache_stats(narratives: DataFrame) -> DataFrame:
     h = F.col("prompt_template_hash")
     return narratives.groupBy("obra", "scope").agg(F.count("*").alias("total"), F.count_if(h.isNotNull()).alias("with_hash"), F.count_if(h.isNull()).alias("legacy"))
+
+
+def file_name(scope: text.ColumnOrName, ref: text.ColumnOrName) -> Column:
+    """The file of a narrative's text: by scope and, where it has one, reference."""
+    s, r = text.col(scope), text.col(ref)
+    return F.concat(s, F.when(F.coalesce(r, F.lit("")) != "", F.concat(F.lit("_"), F.regexp_replace(r, r"[^A-Za-z0-9_-]+", "-"))).otherwise(""), F.lit(".md"))
+
+
+CACHE_KEYS = ["obra", "scope", "scope_key", "dossier_hash"]
+
+
+def save(rows: DataFrame, path: str, force: bool = False) -> tuple[int, int]:
+    """Keep narratives (obra, id, scope, scope_ref, dossier_hash, narrative_text, ...) as rows with their checks' file, and as
+    files; (saved, found), the latter being those of an obra, scope, reference and dossier that were there already.
+
+    A narrative that is there stays, with its file, unless force says that a newer id of its key takes its place. A file
+    has the latest text that was saved of its scope and reference, in a folder of its own under ``files``.
+    """
+    named = rows.withColumns({"file": F.concat_ws("/", "obra", file_name("scope", "scope_ref")), "scope_key": F.coalesce("scope_ref", F.lit(""))})  # no reference is one, too
+    spark, table = rows.sparkSession, f"{path}/rows"
+    if force:
+        total = named.count()
+        tables.upsert_into(table, named, CACHE_KEYS, "id")
+        kept, counts = tables.read_keyed(spark, table), (total, 0)
+    else:
+        counts = tables.append_new(table, named, CACHE_KEYS)
+        kept = spark.read.parquet(table)
+    mine = kept.join(named.select("file").distinct(), "file", "left_semi")
+    texts = mine.groupBy("file").agg(F.max_by("narrative_text", "id").alias("value"))
+    written = texts.select(F.split_part("file", F.lit("/"), F.lit(1)).alias("obra"), F.split_part("file", F.lit("/"), F.lit(2)).alias("file"), "value")
+    written.repartition("obra", "file").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("obra", "file").text(f"{path}/files")
+    return counts

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spoor.operators import contracts
+
 
 def counts(tasks: DataFrame) -> DataFrame:
     """Tasks by type with a column for each status, and a total."""
@@ -143,3 +145,31 @@ def batch_updates(batches: DataFrame, updates: DataFrame, key: str, columns: lis
 def outcomes(rows: DataFrame, column: str = "outcome", *keys: str) -> DataFrame:
     """What a draining loop would count."""
     return rows.groupBy(*keys, column).agg(F.count("*").alias("n"))
+
+
+# The states in which a classification is done with.
+CLASSIFIED, REJECTED = "classified", "rejected"
+
+
+def classified(rows: DataFrame, replies: DataFrame) -> DataFrame:
+    """Classifications (id, semantic_status, ...) with a model's replies (id, reply, call_id, cost_usd) put in.
+
+    A reply that keeps its contract gives categories, confidence and reasoning and makes the row classified; one that
+    doesn't leaves it as it is, with the reason in ``failure``. Of several replies to a row that of the latest call
+    counts. Rows that are classified or rejected already, and rows without a reply, stay as they are.
+    """
+    last = replies.groupBy("id").agg(F.max_by(F.struct("reply", "call_id", "cost_usd"), "call_id").alias("_r")).select("id", "_r.*")
+    joined = rows.join(last, "id", "left")
+    waits = ~F.col("semantic_status").isin(CLASSIFIED, REJECTED) & F.col("reply").isNotNull()
+    why = contracts.classification_fault("reply")
+    fine = waits & why.isNull()
+    put = lambda name, value: F.when(fine, value).otherwise(F.col(name) if name in rows.columns else F.lit(None)).alias(name)
+    new = {
+        "semantic_status": F.lit(CLASSIFIED),
+        "categories": F.get_json_object("reply", "$.categories"),
+        "confidence_model": F.get_json_object("reply", "$.confidence").cast("double"),
+        "reasoning": F.get_json_object("reply", "$.reasoning"),
+        "classifier_api_call_id": F.col("call_id"),
+    }
+    others = [F.col(c) for c in rows.columns if c not in new]
+    return joined.select(*others, *(put(k, v) for k, v in new.items()), F.when(waits, why).alias("failure"), F.when(waits, F.coalesce("cost_usd", F.lit(0.0))).otherwise(0.0).alias("cost_usd"))

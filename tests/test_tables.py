@@ -9,7 +9,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from spoor.operators import detectors
+from spoor.operators import detectors, narratives, reports
 from spoor.sources import chat, digests, migrations, tables
 from spoor.streaming import live
 
@@ -162,3 +162,60 @@ def test_detectors_as_streams_match_batches(spark, tmp_path):
         live.drain(live.append_once(stream, f"{tmp_path}/{name}-out", [*key, *more], f"{tmp_path}/{name}-ck"))
         got, want = (sorted(map(tuple, rows.select(*key, "time_gap_seconds", "confidence", *more).collect())) for rows in (spark.read.parquet(f"{tmp_path}/{name}-out"), batch))
         assert got == want and len(want) > 10
+
+
+def test_a_day_as_one_text(spark):
+    at = lambda h, m: dt.datetime(2026, 4, 4, h, m)
+    events = spark.createDataFrame(
+        [
+            ("o", 2, at(10, 5), "text_message", "segunda  mensagem\nlonga", ["pagamento", "material"], False),
+            ("o", 1, at(9, 0), None, "primeira", ["material"], True),
+            ("o", 3, at(11, 0), "document", "x" * 200, [], None),
+            ("o", 4, at(12, 0), "visual_analysis", None, ["off_topic"], False),
+            ("o", 5, None, "document", "sem data", ["material"], False),
+        ],
+        "obra string, id bigint, ts timestamp_ntz, source_type string, text string, labels array<string>, reviewed boolean",
+    )
+    paid = spark.createDataFrame([("o", 7, at(8, 30), 350000, "sinal"), ("o", 8, at(7, 30), 5, " "), ("p", 9, at(8, 0), 1, "x")], "obra string, id bigint, ts timestamp_ntz, cents bigint, description string")
+    edges = spark.createDataFrame([("o", "MATH", "fr_7", "c_2", 0.8), ("o", "MATH", "fr_7", "c_99", 0.5), ("o", "SEMANTIC", "fr_70", "c_99", 0.9)], "obra string, correlation_type string, primary_event_ref string, related_event_ref string, confidence double")
+    got = reports.daily(events, paid, edges, contractual=True).collect()
+    assert [(r.obra, r.day) for r in got] == [("o", "2026-04-04")]
+    assert [x for x in got[0].report.split("\n") if x] == [
+        "# RDO: o, 2026-04-04",
+        "## Resumo do dia",
+        "- Eventos classificados: **4**",
+        "- Revisados por humano: **1**",
+        "- Não revisados: **3**",
+        "- documentos extraídos: **1**",
+        "- mensagens de texto: **1**",
+        "- áudios transcritos: **1**",
+        "- imagens/frames analisados: **1**",
+        "- `material`: **2** (+1 secundária)",
+        "- `off_topic`: **1**",
+        "- `pagamento`: **1**",
+        "## Comprovantes financeiros (2, total R$ 3.500,05)",
+        "| 07:30 | R$ 0,05 | — |",
+        "| 08:30 | R$ 3.500,00 | sinal |",
+        "### `MATH` (2 total, 1 validadas)",
+        "- ✅ 0.80 `fr_7` ↔ `c_2`",
+        "- · 0.50 `fr_7` ↔ `c_99`",
+        "## material",
+        "- 09:00 [ÁUDIO] primeira",
+        "- 10:05 [TEXTO] segunda mensagem longa (também em pagamento)",
+        "## pagamento",
+        "- 10:05 [TEXTO] segunda mensagem longa (também em material)",
+    ]
+
+
+def test_narratives_are_saved_once_with_their_files(spark, tmp_path):
+    path, schema = f"file://{tmp_path}/n", "obra string, id long, scope string, scope_ref string, dossier_hash string, narrative_text string"
+    first = spark.createDataFrame([("o", 1, "day", "2026-04-04", "h1", "um\ndois"), ("o", 2, "obra_overview", None, "h2", "tudo")], schema)
+    assert narratives.save(first, path) == (2, 0) and narratives.save(first, path) == (0, 2)
+    text_of = lambda name: "\n".join(r.value for r in spark.read.text(f"{path}/files/obra=o/file={name}").collect())
+    assert text_of("day_2026-04-04.md") == "um\ndois" and text_of("obra_overview.md") == "tudo"
+    assert narratives.save(spark.createDataFrame([("o", 3, "day", "2026-04-04", "h9", "novo")], schema), path) == (1, 0)
+    assert text_of("day_2026-04-04.md") == "novo" and text_of("obra_overview.md") == "tudo"
+    forced = f"file://{tmp_path}/f"
+    for i, said in ((1, "velho"), (2, "forçado")):
+        narratives.save(spark.createDataFrame([("o", i, "day", None, "h", said)], schema), forced, force=True)
+    assert [(r.id, r.narrative_text) for r in tables.read_keyed(spark, f"{forced}/rows").collect()] == [(2, "forçado")]
