@@ -219,3 +219,41 @@ def test_narratives_are_saved_once_with_their_files(spark, tmp_path):
     for i, said in ((1, "velho"), (2, "forçado")):
         narratives.save(spark.createDataFrame([("o", i, "day", None, "h", said)], schema), forced, force=True)
     assert [(r.id, r.narrative_text) for r in tables.read_keyed(spark, f"{forced}/rows").collect()] == [(2, "forçado")]
+
+
+def test_commands_over_a_vault(spark, tmp_path, capsys):
+    """The commands that list or report what is to be done, on one small vault."""
+    import json
+
+    from spoor import cli
+
+    base = f"file://{tmp_path}"
+    make = lambda name, schema, *rows: spark.createDataFrame(rows, schema).write.parquet(f"{base}/{name}")
+    make("classifications", "obra string, id bigint, source_file_id string, source_type string, source_message_id string, reasoning string, human_corrected_text string, categories string, semantic_status string, human_reviewed int",
+         ("o", 1, "f1", "transcription", None, None, "corrigido", '["pagamento","material"]', "classified", 1), ("o", 2, "f2", "transcription", None, None, None, None, "pending_classify", 0))
+    make("files", "file_id string, timestamp_resolved string, derived_from string, referenced_by_message string, file_type string, derivation_method string, size_bytes bigint, obra string",
+         ("f1", "2026-04-06T10:00:00-03:00", None, None, "audio", "x", 9, "o"), ("f2", None, None, None, "audio", "x", 9, "o"), ("f3", None, None, None, "image", "x", 99, "o"), ("f4", None, None, None, "video", "x", 9, "o"), ("f5", None, "f6", None, "image", "ffmpeg_frame", 9, "o"), ("f6", None, None, None, "video", "x", 9, "o"))
+    make("messages", "message_id string, content string, timestamp_whatsapp string", ("m", "c", "2026-04-01T09:00:00"))
+    make("transcriptions", "obra string, file_id string, text string", ("o", "f1", "falado"))
+    make("visual_analyses", "obra string, file_id string, analysis_json string", ("o", "f5", "{}"))
+    make("documents", "obra string, file_id string, text string", ("o", "f9", ""))
+    make("financial_records", "obra string, id bigint, valor_centavos bigint, data_transacao string, hora_transacao string, descricao string", ("o", 1, 350000, "2026-04-06", "11:00:00", "sinal"))
+    make("correlations", "obra string, correlation_type string, primary_event_ref string, related_event_ref string, confidence double", ("o", "MATH", "fr_1", "c_1", 0.9))
+    make("tasks", "id bigint, obra string, status string, depends_on string, priority int, created_at string, task_type string", (1, "o", "pending", "[]", 1, "a", "ocr"), (2, "o", "pending", "[1]", 1, "a", "ocr"))
+    make("forensic_narratives", "id bigint, obra string, scope string, scope_ref string, prompt_version string, narrative_text string", (1, "o", "day", "2026-04-06", "narrator_v1", "um m_aaaa"), (2, "o", "day", "2026-04-07", "narrator_v1", "dois"))
+    (tmp_path / "r.jsonl").write_text('{"id": 2, "reply": "{\\"categories\\": [\\"pagamento\\"], \\"confidence\\": 1}", "call_id": 5, "cost_usd": 0.25}\n')
+
+    def run(*args):
+        assert cli.main([*args, "--vault", base, "--corpus", "o"]) == 0
+        return [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+
+    report = run("generate-rdo", "--day", "2026-04-06", "--to", f"{base}/out")[0]["report"]
+    assert "- Revisados por humano: **1**" in report and "✅ 0.90 `fr_1` ↔ `c_1`" in report and "(também em material)" in report
+    assert spark.read.text(f"{base}/out").count() == report.count("\n") + 1
+    assert [r["id"] for r in run("process")] == [1]
+    assert [r["id"] for r in run("classify")] == [2]
+    assert {r["semantic_status"]: (r["n"], r["failures"], r["cost_usd"]) for r in run("classify", "--replies", f"{base}/r.jsonl")} == {"classified": (2, 0, 0.25)}
+    assert [(r["label"], r["n"]) for r in run("narrate")] == [("2026-W15", 2)]
+    assert [r["file_id"] for r in run("transcribe-pending")] == ["f2"]
+    assert [(r["file_id"], r["skip"], r["reason"]) for r in run("process-visual")] == [("f3", True, "too_small")]
+    assert [r["file_id"] for r in run("process-videos")] == ["f4"]
