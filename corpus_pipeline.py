@@ -1,62 +1,5 @@
-"""A training corpus from documents: five stages, each an operator of spoor.llm over all that the one before kept.
+"""The corpus pipeline, as the driver looks for it: its stages, their run and its SQL are those of spoor.llm.pipeline."""
 
-Every stage but the last returns the columns of its documents, whatever they are called, and takes null and empty
-texts, very long ones, repeated rows, rows without an id and empty tables as its docstring says.
-"""
+from spoor.llm.pipeline import ORACLE_SQL, STAGES, Stage, run
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from spoor.llm import common, decontamination, langid, packing, pii, simhash
-from spoor.llm.encoder import vocabulary
-
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; null texts and those without a letter go, and without any labelled row
-    all do. Repeated rows are judged alike."""
-    return langid.keep_accepted(docs)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the least id, null ids last. Texts without words are one group."""
-    return simhash.keep_first(docs)
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item; null and wordless texts hold none."""
-    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def remove_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data and secrets replaced by their kind, and n_chars counted anew; null texts stay null."""
-    return pii.redact(docs)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of documents in training sequences; a null text is its end id alone."""
-    return packing.pack(docs, vocabulary(), end_id=0)
-
-
-STAGES: list[tuple[str, Stage]] = [
-    ("language_id", language_id),
-    ("near_dedup", near_dedup),
-    ("decontamination", decontaminate),
-    ("pii", remove_pii),
-    ("packing", pack),
-]
-
-#: Learned languages and spans, fingerprints and token ids are beyond SQL; tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written and read again."""
-    docs = common.documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = common.cut(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "Stage", "run"]

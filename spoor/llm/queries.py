@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from spoor.llm import decontamination, fill_in_middle, langid, lm, ngram_join, packing, pii, quality, simhash, token_counts, token_files, toxicity, vector_codes
+from spoor.llm import decontamination, fill_in_middle, langid, lm, ngram_join, packing, pii, pipeline, quality, simhash, token_counts, token_files, toxicity, vector_codes
 from spoor.llm.common import documents, scratch
 from spoor.llm.encoder import vocabulary
 
@@ -69,7 +68,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     numbered = (op1_simhash, op2_pii, op3_token_counts, op4_quality, op5_token_files, op6_langid, op7_lm, op8_toxicity, op9_decontamination, op10_packing)
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (*numbered, op11_ngram_join, op12_vector_codes, op13_fill_in_middle)}
+    return {"pipeline": pipeline.run} | {f.__name__: f for f in (*numbered, op11_ngram_join, op12_vector_codes, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
