@@ -406,7 +406,9 @@ def _first(docs: DataFrame, known: dict[bytes, float], table: Listed) -> DataFra
     picked = docs.select("doc_id", "text")
     kinds = "rare array<struct<word:binary,tf:bigint>>, segs array<struct<seg:int,before:bigint,own:bigint,s:double>>, grams array<struct<seg:int,gram:bigint,tf:int>>"
     with common.batches_of(spark, ROWS):
-        return common.cut(picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, row long, n_tokens long, n_known long, base double, {kinds}"), "lm-scores")
+        out = common.cut(picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, row long, n_tokens long, n_known long, base double, {kinds}"), "lm-scores")
+    sent.destroy()  # what it gave is a table now
+    return out
 
 
 def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
@@ -425,6 +427,7 @@ def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
     weights = [found.get(size) for size in range(ORDER, -1, -1)]
     table, others = listed(levels[0], weights[0])
     first = _first(docs, known, table)
+    del known, table, frequent
 
     none = F.lit(None).cast("double")
     zero = F.lit(0).cast("long")
