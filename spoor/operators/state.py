@@ -92,6 +92,23 @@ def superseded_groups(rows: DataFrame, key: str = "file_id") -> DataFrame:
     return sizes.agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("to_mark"))
 
 
+def given(before: tuple[str, object] | None = None, **equal: object) -> Column:
+    """The conditions of those filters that are given: columns equal to a value, or to one of several, and a column before a
+    bound. Without any, every row meets them."""
+    out = F.lit(True)
+    for column, value in equal.items():
+        if value is not None:
+            out = out & (F.col(column).isin(*value) if isinstance(value, (list, tuple, set)) else F.col(column) == F.lit(value))
+    if before is not None and before[1] is not None:
+        out = out & (F.col(before[0]) < F.lit(before[1]))
+    return out
+
+
+def batches(rows: DataFrame, corpus: str, status: str | None = None) -> DataFrame:
+    """A corpus' batches, of one status if given, the latest first."""
+    return rows.where(given(obra=corpus, status=status)).orderBy(F.desc("submitted_at"), F.desc("id"))
+
+
 def invalidated(rows: DataFrame, hash_column: str, *conditions: Column) -> DataFrame:
     """Rows that meet all conditions lose their hash."""
     hit = F.lit(True)

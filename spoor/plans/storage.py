@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,3 +143,15 @@ def s22_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = spark.read.text(f"{path}/files").select("obra", "file").distinct()
     rows = spark.read.parquet(f"{path}/rows").groupBy("obra", F.split_part("file", F.lit("/"), F.lit(2)).alias("file")).agg(F.count("*").alias("kept"))
     return rows.join(files, ["obra", "file"])
+
+
+_FILTERS = {"any": {}, "scope": {"scope": "day"}, "scopes": {"scope": ("day", "week"), "prompt_version": "narrator_v2"}, "ref": {"scope": "day", "scope_ref": "1996-01-02"}, "before": {"scope": None, "before": ("day", "1996-01-01")}}
+_WHERE = {"any": "true", "scope": "scope = 'day'", "scopes": "scope IN ('day', 'week') AND prompt_version = 'narrator_v2'", "ref": "scope = 'day' AND scope_ref = '1996-01-02'", "before": "day < DATE '1996-01-01'"}
+
+
+@query("p17_optional", oracle(" " + " UNION ALL ".join(f"SELECT '{k}' AS filters, id, CASE WHEN NOT coalesce(obra = 'obra_1' AND {w}, false) THEN prompt_template_hash END AS prompt_template_hash FROM narratives" for k, w in _WHERE.items()), "narratives"))
+def p17_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of narratives' hashes after each of five combinations of filters, given or not."""
+    n = table(spark, sf_dir, "narratives")
+    made = [state.invalidated(n, "prompt_template_hash", state.given(obra="obra_1", **f)).select(F.lit(k).alias("filters"), "id", "prompt_template_hash") for k, f in _FILTERS.items()]
+    return reduce(DataFrame.unionByName, made)

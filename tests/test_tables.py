@@ -9,7 +9,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from spoor.operators import detectors, narratives, reports
+from spoor.operators import detectors, narratives, reports, state
 from spoor.sources import chat, digests, migrations, tables
 from spoor.streaming import live
 
@@ -96,6 +96,14 @@ def test_migrations(spark, tmp_path):
     assert spark.read.parquet(f"{base}/messages").select("extra").count() == 2
 
 
+def test_optional_filters(spark):
+    rows = spark.createDataFrame([(1, "o", "done", "2026-01-01"), (2, "o", None, "2026-01-03"), (3, "p", "done", "2026-01-02"), (4, "o", "done", "2026-01-03")], "id int, obra string, status string, submitted_at string")
+    ids = lambda df: [r.id for r in df.collect()]
+    assert ids(state.batches(rows, "o")) == [4, 2, 1] and ids(state.batches(rows, "o", "done")) == [4, 1]
+    assert ids(rows.where(state.given(before=("submitted_at", "2026-01-02"), status=["done"]))) == [1]
+    assert len(ids(rows.where(state.given(before=("submitted_at", None), status=None)))) == 4
+
+
 def test_files_are_digested_in_chunks(spark, tmp_path, monkeypatch):
     rnd = random.Random(1)
     made = {}
