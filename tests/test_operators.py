@@ -43,6 +43,18 @@ def test_seeded_detection(spark):
     assert s.rationale == "overlap de 2 termo(s): serralheria*,sinal* (delta=+172800s, decay=0.80)"
 
 
+def test_decays_print_as_their_exact_values(spark):
+    """All whole seconds of a window that makes many decays halfway between two texts, and their neighbours."""
+    gaps = [*range(0, 2700), *(4320 * k + d for k in range(60) for d in (-1, 0, 1))]
+    rows = [(w, g, 1.0 - 0.3 * min(abs(g) / float(w), 1.0)) for w in (2400, 259200) for g in gaps]
+    rows += [(0, 0, x) for k in range(70, 101) for x in (k / 100, float(f"{10 * k + 5}e-3") if k < 100 else 1.0)]
+    df = spark.createDataFrame(rows, "w int, g int, x double")
+    got = df.select("x", detectors.decay_text("x").alias("said")).collect()
+    assert [r.said for r in got] == [f"{r.x:.2f}" for r in got]
+    held = df.where("w > 0").groupBy("w").agg(F.count_if(detectors.decay(F.col("g"), 259200) == F.col("x")).alias("n")).collect()
+    assert {r.w: r.n for r in held}[259200] == len(gaps)
+
+
 def test_windows_are_monotonous(spark):
     events, payments = seeded(spark)
     sizes = [detectors.detect(events, payments, {k: w for k in detectors.WINDOWS}).count() for w in (0, 60, 86400, 60 * 86400)]
@@ -148,6 +160,9 @@ def test_within_is_a_nested_loop(spark):
         limit = dt.timedelta(seconds=seconds)
         want = sorted((i, j) for (k, i, t), (m, j, u) in itertools.product(a, b) if t and k == m and (dt.timedelta(0) < u - t <= limit if ahead else abs(u - t) <= limit))
         assert got == want
+        gaps = {(r.i, r.j): r.gap for r in joins.within(left, right, ["k"], "t", "u", seconds, ahead, gap="gap").collect()}
+        whole = {(i, j): int((u - t).total_seconds()) for (k, i, t), (m, j, u) in itertools.product(a, b) if t and k == m}
+        assert sorted(gaps) == want and all(gaps[p] == whole[p] for p in want)
 
 
 def test_near_pool_is_the_rolling_pool(spark):
