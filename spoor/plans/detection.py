@@ -99,7 +99,8 @@ def j6_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def j7_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detectors.semantic_payment_scope(*_inputs(spark, sf_dir))
-    return _edge(found.withColumn("shared", F.regexp_extract("rationale", r"termo\(s\): ([^ .]*)", 1)), "shared")
+    shared = F.substring_index(F.substring_index(F.substring_index("rationale", "termo(s): ", -1), " ", 1), ".", 1)
+    return _edge(found.withColumn("shared", shared), "shared")
 
 
 @query(
