@@ -14,7 +14,8 @@ Pairs that are connected already need no comparison, so there are two rounds. Th
 hub of its shingle and size class (the group whose prefix has the shingle earliest) and with one member of its own group:
 a number of pairs linear in the prefixes, which joins up the members of a large group of near copies. The second forms all
 pairs of *different* components on a shingle or in a group; there the largest component of a shingle meets the others, and
-never itself. What both rounds leave out is connected, so components are those of all links.
+never itself. A pair whose prefixes also share one of the two shingles before one isn't made there, as it is made earlier.
+What both rounds leave out is connected, so components are those of all links.
 
 The order is exact and the same for all documents: counted over all of them are the shingles that come first by hash in
 each (a fifth of its set), and the ``RANKED`` most frequent ones, a table of bounded size, go last, by frequency. The bound
@@ -46,6 +47,7 @@ PERCENT = 90
 RANKED = 1 << 20
 BITS = 26
 WORDS = [f"w{i}" for i in range(8)]  # of a set's bitmap
+EARLIER = ["p1", "p2"]  # the shingles just before one in its prefix
 
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -181,6 +183,20 @@ def _alike(a: str, b: str, percent: int) -> Column:
     return F.coalesce((100 + percent) * apart <= (100 - percent) * (c(a, "n") + c(b, "n")), F.lit(True))
 
 
+def _met(a: str, b: str) -> Column:
+    """Whether prefixes share one of the shingles just before this one, where the pair has been made."""
+    same = reduce(Column.__or__, [F.col(f"{a}.{x}") == F.col(f"{b}.{y}") for x in EARLIER for y in EARLIER])
+    return F.coalesce(same, F.lit(False))
+
+
+def crossing(told: DataFrame, percent: int) -> DataFrame:
+    """All pairs of groups of different labels that may overlap enough, each made at few of the shingles it shares."""
+    a, b = told.where("label <> main").alias("a"), told.alias("b")
+    other = (F.col("b.label") == F.col("b.main")) | (F.col("a.label") < F.col("b.label"))
+    met = a.join(b, F.col("a.shingle") == F.col("b.shingle")).where((F.col("a.label") != F.col("b.label")) & other & _may("a", "b", percent) & ~_met("a", "b") & _alike("a", "b", percent))
+    return met.select(F.col("a.gid").alias("ga"), F.col("a.label").alias("la"), F.col("b.gid").alias("gb"), F.col("b.label").alias("lb"))
+
+
 def verified(pairs: DataFrame, named: DataFrame, width: int, percent: int) -> DataFrame:
     """Of pairs (a, b) of sets, each a struct (sid, digest, doc_id), those (u, v) that overlap enough, by their whole sets.
 
@@ -237,7 +253,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     sets = common.cut(sets.join(groups.select("key", "gid", "n"), "key").drop("key").withColumn("sid", F.monotonically_increasing_id()), "sets")
     hubs = sets.groupBy("gid", "n").agg(F.min_by(F.struct("sid", "digest", "doc_id", *WORDS), "sid").alias("hub"), F.count("*").alias("members")).select("gid", "n", "members", "hub.*")
 
-    all_places = groups.select("gid", "n", F.posexplode("prefix").alias("place", "shingle"))
+    all_places = groups.select("gid", "n", "prefix", F.posexplode("prefix").alias("place", "shingle"))
+    all_places = all_places.select("gid", "n", "place", "shingle", *(F.get("prefix", F.col("place") - i).alias(p) for i, p in enumerate(EARLIER, 1)))
     shared = all_places.groupBy("shingle").agg(F.count("*").alias("groups")).where("groups > 1").select("shingle")
     places = common.cut(all_places.join(shared, "shingle"), "places")
 
@@ -260,17 +277,14 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     marked = common.cut(marked.select("gid", "n", "sid", "digest", "doc_id", F.coalesce("v", "sid").alias("label"), *WORDS), "labels")
     alone = [F.when(F.count("*") == 1, F.max(w)).alias(w) for w in WORDS]
     labels = marked.groupBy("gid", "n", "label").agg(*alone)
-    own = labels.join(labels.groupBy("gid").count().where("count > 1").select("gid"), "gid").withColumns({"shingle": F.xxhash64("gid", F.lit("group")), "place": F.lit(0)})
-    what = ["shingle", "place", "gid", "n", "label", *WORDS]
+    own = labels.join(labels.groupBy("gid").count().where("count > 1").select("gid"), "gid").withColumns({"shingle": F.xxhash64("gid", F.lit("group")), "place": F.lit(0)} | {p: F.lit(None).cast("long") for p in EARLIER})
+    what = ["shingle", "place", "gid", "n", "label", *EARLIER, *WORDS]
     spots = common.cut(places.join(labels, ["gid", "n"]).select(what).union(own.select(what)), "spots")
     mixed = spots.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
     counted = spots.join(mixed, "shingle").groupBy("shingle", "label").agg(F.count("*").alias("spots"))
     main = common.cut(counted.groupBy("shingle").agg(F.max_by("label", F.struct("spots", "label")).alias("main")), "main-labels")
     told = common.cut(spots.join(main, "shingle"), "mixed-spots")
-    a, b = told.where("label <> main").alias("a"), told.alias("b")
-    other = (F.col("b.label") == F.col("b.main")) | (F.col("a.label") < F.col("b.label"))
-    crossed = a.join(b, F.col("a.shingle") == F.col("b.shingle")).where((F.col("a.label") != F.col("b.label")) & other & _may("a", "b", percent) & _alike("a", "b", percent))
-    crossed = crossed.select(F.col("a.gid").alias("ga"), F.col("a.label").alias("la"), F.col("b.gid").alias("gb"), F.col("b.label").alias("lb")).distinct()
+    crossed = crossing(told, percent).distinct()
     a, b = marked.alias("a"), marked.alias("b")
     pairs = crossed.join(a, (F.col("ga") == F.col("a.gid")) & (F.col("la") == F.col("a.label"))).join(b, (F.col("gb") == F.col("b.gid")) & (F.col("lb") == F.col("b.label"))).where(_alike("a", "b", percent))
     pairs = common.cut(pairs.select(F.least(_set("a"), _set("b")).alias("a"), F.greatest(_set("a"), _set("b")).alias("b")).distinct(), "pairs")

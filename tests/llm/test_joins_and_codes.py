@@ -96,6 +96,20 @@ def test_ngram_join_odd(spark, odd):
     assert {tuple(r) for r in ngram_join.linked(same).collect()} == {(None, 2, 7), (9, 2, 7), (7, 2, 7), (None, 1, None), (5, 0, 5), (4, 0, 4)}
 
 
+def test_ngram_join_makes_a_pair_once(spark):
+    """Rows whose prefixes share runs of shingles: each pair of labels is found, and a run makes it once."""
+    r = random.Random(4)
+    runs = [list(range(16)) for _ in range(2)] + [sorted(r.sample(range(40), 16)) for _ in range(30)]
+    at = lambda p, i: p[i] if i >= 0 else None
+    rows = [(s, i, g, 150, g, at(p, i - 1), at(p, i - 2), *[0] * 8, 0) for g, p in enumerate(runs) for i, s in enumerate(p)]
+    columns = ["shingle", "place", "gid", "n", "label", *ngram_join.EARLIER, *ngram_join.WORDS, "main"]
+    told = spark.createDataFrame(rows, ", ".join(f"{c} {'int' if c == 'place' else 'long'}" for c in columns))
+    got = [tuple(sorted((x.la, x.lb))) for x in ngram_join.crossing(told, 90).collect()]
+    may = lambda a, b: any(190 * (150 - max(a.index(s), b.index(s))) >= 90 * 300 for s in set(a) & set(b))
+    assert set(got) == {(a, b) for b in range(len(runs)) for a in range(b) if may(runs[a], runs[b])}
+    assert got.count((0, 1)) == 1  # by each shingle it would be eight
+
+
 def test_shingles():
     for text in ("", " \t", "one", "one two", "One two three", "a b c a b c a", "é É x"):
         assert len(ngram_join.shingles(text.encode())) == len(shingle_set(text))
