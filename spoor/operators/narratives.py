@@ -78,10 +78,11 @@ def stripped(c: text.ColumnOrName) -> Column:
 
 
 def summary(c: text.ColumnOrName, most: int = 800) -> Column:
-    """The paragraph under the executive summary's heading, else the first substantial one."""
-    under = F.trim(F.regexp_extract(text.col(c), EXECUTIVE, 1))
+    """The paragraph under the executive summary's heading, else the first substantial one; line ends around it go."""
+    trimmed = lambda p: F.btrim(p, F.lit(" \t\r\n"))
+    under = trimmed(F.regexp_extract(text.col(c), EXECUTIVE, 1))
     body = stripped(c)
-    first = F.get(F.filter(F.transform(F.split(body, "\n\n"), F.trim), lambda p: F.length(p) > 80), 0)
+    first = F.get(F.filter(F.transform(F.split(body, "\n\n"), trimmed), lambda p: F.length(p) > 80), 0)
     return F.coalesce(text.excerpt(F.nullif(under, F.lit("")), most), text.excerpt(first, most), F.substring(body, 1, most))
 
 

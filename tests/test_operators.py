@@ -452,3 +452,11 @@ def test_log_lines_are_read_back(spark, tmp_path):
     assert got == sorted([("cost", "whisper", 0.5), ("cost", "vision", None)] * 2, key=lambda r: r[1])
     with pytest.raises(ValueError):
         records.log_records(rows, "cost", colour=F.col("api"))
+
+
+def test_a_summary_has_no_line_ends_around_it(spark):
+    """A paragraph one short of the least length is found with the line end after it, which isn't part of it."""
+    said = ["x" * 79, "x" * 80, "x " * 39 + "y"]
+    rows = [(f"# Narrativa: x\n\n## Sumário Executivo\n{p}\n\n## fim",) for p in said] + [(f"# Narrativa: x\n\ncurto\n\n\n{'z' * 90}",)]
+    got = spark.createDataFrame(rows, "body string").select(narratives.summary("body").alias("s")).collect()
+    assert [r.s for r in got] == [*said, "z" * 90]
