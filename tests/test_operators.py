@@ -460,3 +460,18 @@ def test_a_summary_has_no_line_ends_around_it(spark):
     rows = [(f"# Narrativa: x\n\n## Sumário Executivo\n{p}\n\n## fim",) for p in said] + [(f"# Narrativa: x\n\ncurto\n\n\n{'z' * 90}",)]
     got = spark.createDataFrame(rows, "body string").select(narratives.summary("body").alias("s")).collect()
     assert [r.s for r in got] == [*said, "z" * 90]
+
+
+@pytest.mark.parametrize("most", [joins.PAIRS_A_PIECE, 100])
+def test_near_hashes_meet_as_classes(spark, monkeypatch, most):
+    """Copies meet neither on bands nor as a broadcast table; a pair of rows is made once, also in pieces."""
+    monkeypatch.setattr(joins, "PAIRS_A_PIECE", most)
+    rnd = random.Random(16)
+    base = [rnd.getrandbits(64) for _ in range(3)]
+    made = [(i, rnd.choice(base) ^ sum(1 << b for b in rnd.sample(range(64), rnd.choice([0, 0, 0, 2, 4])))) for i in range(240)]
+    rows = spark.createDataFrame([*((i, f"{h:016x}") for i, h in made), (900, None), (0, f"{made[0][1]:016x}")], "id long, h string")
+    got = joins.near_hashes(rows, rows, "id", "id", "h", "h")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "explode(transform" not in plan and "band" not in plan and plan.count("SortMergeJoin") >= 1
+    want = sorted((i, f"{x:016x}", j, f"{y:016x}", (x ^ y).bit_count()) for i, x in made for j, y in made if (x ^ y).bit_count() <= 6)
+    assert sorted(map(tuple, got.collect())) == want
