@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoor.functions import money, temporal, text
-from spoor.sources import tables
+from spoor.sources import scratch, tables
 
 # Preference among prompt versions, markers of inference, and limits of a narrative.
 PRIORITY = {"narrator_v3_1_anchoring": 100, "narrator_v3_gt": 90, "narrator_v4_adversarial": 85, "narrator_v2_1_anchoring": 70, "narrator_v2_correlations": 60, "narrator_v1": 50}
@@ -148,19 +148,32 @@ def save(rows: DataFrame, path: str, force: bool = False) -> tuple[int, int]:
     files; (saved, found), the latter being those of an obra, scope, reference and dossier that were there already.
 
     A narrative that is there stays, with its file, unless force says that a newer id of its key takes its place. A file
-    has the latest text that was saved of its scope and reference, in a folder of its own under ``files``.
+    has the latest text that was saved of its scope and reference, in a folder of its own under ``files``. What each file
+    shows is recorded under ``shown`` once it is there, and only files that should show something else are written;
+    a writer that was lost before that writes them when it comes again. Making a file takes its time however small
+    it is, so they are dealt over a stated number of tasks.
     """
     named = rows.withColumns({"file": F.concat_ws("/", "obra", file_name("scope", "scope_ref")), "scope_key": F.coalesce("scope_ref", F.lit(""))})  # no reference is one, too
-    spark, table = rows.sparkSession, f"{path}/rows"
+    spark, table, shown = rows.sparkSession, f"{path}/rows", f"{path}/shown"
     if force:
         total = named.count()
         tables.upsert_into(table, named, CACHE_KEYS, "id")
-        kept, counts = tables.read_keyed(spark, table), (total, 0)
+        counts = (total, 0)
     else:
         counts = tables.append_new(table, named, CACHE_KEYS)
-        kept = spark.read.parquet(table)
-    mine = kept.join(named.select("file").distinct(), "file", "left_semi")
-    texts = mine.groupBy("file").agg(F.max_by("narrative_text", "id").alias("value"))
-    written = texts.select(F.split_part("file", F.lit("/"), F.lit(1)).alias("obra"), F.split_part("file", F.lit("/"), F.lit(2)).alias("file"), "value")
-    written.repartition("obra", "file").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("obra", "file").text(f"{path}/files")
+    with tables.locked(spark, f"{path}/files"):
+        kept = tables.read_keyed(spark, table) if force else spark.read.parquet(table)
+        mine = kept.join(named.select("file").distinct(), "file", "left_semi")
+        texts = mine.groupBy("file").agg(F.max_by("narrative_text", "id").alias("value")).withColumn("digest", F.sha2("value", 256))
+        turn = 0
+        if tables.has_rows(spark, shown):
+            before = spark.read.parquet(shown)
+            turn = before.agg(F.max("turn")).first()[0] + 1
+            texts = texts.join(before.groupBy("file").agg(F.max_by("digest", "turn").alias("digest")), ["file", "digest"], "left_anti")
+        texts = scratch.cut(texts, "texts")
+        if not texts.isEmpty():
+            parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+            written = texts.select(F.split_part("file", F.lit("/"), F.lit(1)).alias("obra"), F.split_part("file", F.lit("/"), F.lit(2)).alias("file"), "value").repartition(parts, "obra", "file")
+            written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("obra", "file").text(f"{path}/files")
+            texts.select("file", "digest", F.lit(turn).alias("turn")).write.mode("append").parquet(shown)
     return counts

@@ -140,9 +140,9 @@ def s22_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     again, found = narratives.save(n, path)
     if again or found < saved:
         raise ValueError("a narrative was saved twice")
-    files = spark.read.text(f"{path}/files").select("obra", "file").distinct()
-    rows = spark.read.parquet(f"{path}/rows").groupBy("obra", F.split_part("file", F.lit("/"), F.lit(2)).alias("file")).agg(F.count("*").alias("kept"))
-    return rows.join(files, ["obra", "file"])
+    files = spark.read.parquet(f"{path}/shown").select("file").distinct()  # recorded once they are there; listing each file's folder is a task
+    rows = spark.read.parquet(f"{path}/rows").groupBy("obra", "file").agg(F.count("*").alias("kept")).join(files, "file")
+    return rows.select("obra", F.split_part("file", F.lit("/"), F.lit(2)).alias("file"), "kept")
 
 
 _FILTERS = {"any": {}, "scope": {"scope": "day"}, "scopes": {"scope": ("day", "week"), "prompt_version": "narrator_v2"}, "ref": {"scope": "day", "scope_ref": "1996-01-02"}, "before": {"scope": None, "before": ("day", "1996-01-01")}}

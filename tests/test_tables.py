@@ -229,6 +229,21 @@ def test_narratives_are_saved_once_with_their_files(spark, tmp_path):
     assert [(r.id, r.narrative_text) for r in tables.read_keyed(spark, f"{forced}/rows").collect()] == [(2, "forçado")]
 
 
+def test_only_narratives_files_that_change_are_written(spark, tmp_path):
+    path, schema = f"file://{tmp_path}/n", "obra string, id long, scope string, scope_ref string, dossier_hash string, narrative_text string"
+    rows = [("o", i, "day", f"2026-04-{i:02}", "h", f"texto {i}") for i in range(1, 9)]
+    narratives.save(spark.createDataFrame(rows, schema), path)
+    written = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "n" / "files").rglob("part-*")}
+    first = written()
+    assert len(first) == 8 and narratives.save(spark.createDataFrame(rows, schema), path) == (0, 8) and written() == first
+    narratives.save(spark.createDataFrame([*rows, ("o", 90, "day", "2026-04-03", "g", "novo")], schema), path)
+    assert len(written()) == 8 and len(written().items() - first.items()) == 1
+    assert [r.value for r in spark.read.text(f"{path}/files/obra=o/file=day_2026-04-03.md").collect()] == ["novo"]
+    for i, said in ((5, "a"), (5, "b"), (5, "a")):  # back to what it was
+        narratives.save(spark.createDataFrame([("o", i, "day", None, "h", said)], schema), f"{path}-f", force=True)
+        assert [r.value for r in spark.read.text(f"{path}-f/files/obra=o/file=day.md").collect()] == [said]
+
+
 def test_commands_over_a_vault(spark, tmp_path, capsys):
     """The commands that list or report what is to be done, on one small vault."""
     import json
