@@ -475,3 +475,27 @@ def test_near_hashes_meet_as_classes(spark, monkeypatch, most):
     assert "explode(transform" not in plan and "band" not in plan and plan.count("SortMergeJoin") >= 1
     want = sorted((i, f"{x:016x}", j, f"{y:016x}", (x ^ y).bit_count()) for i, x in made for j, y in made if (x ^ y).bit_count() <= 6)
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_near_pool_rows_meet_in_blocks(spark):
+    """Hundreds of copies, large sets, repeated places and rows without key or tokens; and no pair is listed with its tokens."""
+    rnd = random.Random(17)
+    words = [f"w{i}" for i in range(3000)]
+    base = [rnd.sample(words, n) for n in (3, 40, 40, 1500)]
+    rows = [(rnd.choice("ab"), i, " ".join(w for w in base[i % 7 % 4] if rnd.random() < (0.97 if i % 2 else 2)) + (f" z{i % 5}" if i % 3 else "")) for i in range(300)]
+    rows += [(None, 900, "um dois"), ("a", 901, "  "), ("a", 902, None), ("b", 903, "só um texto"), ("b", 903, "só um texto")]
+    df = spark.createDataFrame(rows, "k string, i int, x string")
+    out = joins.near_pool(df, "k", "i", "x", 0.8, 50)
+    got = {(r.k, r.later): (r.earlier, round(r.similarity, 9)) for r in out.collect()}
+    want = {("b", 903): (903, 1.0)}
+    for k in "ab":
+        pool = []
+        for _, i, x in sorted((r for r in rows if r[0] == k and r[1] < 900), key=lambda r: r[1]):
+            t = {w for w in x.split()}
+            near = [(len(t & u) / len(t | u), n, j) for n, (j, u) in enumerate(pool)]
+            if near and max(near)[0] >= 0.8:
+                want[k, i] = (max(near)[2], round(max(near)[0], 9))
+            pool = (pool + [(i, t)])[-50:]
+    assert got == want
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("SortMergeJoin") == 1 and "BroadcastHashJoin" not in plan
