@@ -499,3 +499,17 @@ def test_near_pool_rows_meet_in_blocks(spark):
     assert got == want
     plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("SortMergeJoin") == 1 and "BroadcastHashJoin" not in plan
+
+
+def test_counted_edges_are_those_of_the_detectors(spark):
+    """Copies of rows, which meet as one row with their number, count as they would one by one."""
+    events, payments = seeded(spark)
+    more = [("o", 10 + i, PAID + dt.timedelta(minutes=i % 4 - 1, days=i % 3), f"pix da serralheria e telhas, total de R$ {1000 + 250 * (i % 3)},00; sinal" if i % 2 else "sinal e saldo da serralheria, R$ 3.500,00") for i in range(36)]
+    events = events.unionByName(spark.createDataFrame(more, events.schema))
+    payments = payments.unionByName(spark.createDataFrame([("o", 50 + i, PAID, 350000, ("sinal da serralheria", "telhas, sinal e pix")[i % 2]) for i in range(9)], payments.schema))
+    for name in detectors.DETECTORS:
+        want = detectors.detect(events, payments, names=(name,)).groupBy("correlation_type", F.round("confidence", 9).alias("c")).agg(F.count("*").alias("n")).collect()
+        rows = detectors.detect_counted(events, payments, names=(name,))
+        got = rows.groupBy("correlation_type", F.round("confidence", 9).alias("c")).agg(F.sum("n").alias("n")).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
+        assert rows.count() < sum(r.n for r in want)  # fewer pairs are made than there are edges
